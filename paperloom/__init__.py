@@ -1 +1,8 @@
-"""Spark-native document-operations analytics: listings, batch pipelines, retrieval and metrics."""
+"""Document-operations analytics on Spark: DataFrames in, DataFrames out."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks are sent by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
