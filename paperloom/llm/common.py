@@ -32,7 +32,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     The table is a plain Parquet folder, so a lost executor costs nothing and later
     readers take only the columns they need. It goes with the application, or with
-    ``release_scratch``.
+    ``release_scratch``. The shuffle files behind it are no longer needed: a collection
+    in the driver lets Spark's cleaner delete them.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/paperloom-{name}-{uuid.uuid4().hex}"
@@ -40,6 +41,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     _scratch.append(path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

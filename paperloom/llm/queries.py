@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .chat import format_chats, loss_text, read_chats
 from .common import table
 from .decontaminate import find_overlaps
+from .jaccard import near_duplicates
 from .mixing import mix
 from .secrets import BASE_RULES, RULES, find_secrets, span_list
 
@@ -110,3 +111,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "seeds", "first_word", "equal")
+
+
+@query("op10_jaccard")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=75, width=5)
