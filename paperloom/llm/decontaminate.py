@@ -2,8 +2,9 @@
 
 A seed is a fixed mask over consecutive words: the hash of a window takes the words under
 the mask's ones and ignores the rest, so a substituted word spoils only the windows that
-have it under a one. Windows of the training texts join those of the benchmark; around
-each hit, the two texts are compared word by word along the hit's diagonal.
+have it under a one. Windows of the training texts join those of the benchmark. The hits
+of a document and an item on one diagonal (equal distance of their places) are verified
+together, by comparing the two texts word by word along it.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from .common import broadcast_if_small, stored
 MASKS = ("1101001011", "1110100101")
 #: Benchmark windows are broadcast up to so many rows; beyond, the join shuffles by hash.
 BROADCAST_WINDOWS = 500_000
-#: Contaminated documents are removed by a broadcast up to so many; beyond, by a shuffled join.
+#: Keys of documents are broadcast up to so many; beyond, they are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
 
@@ -27,26 +28,19 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seed_windows(words: Column, masks: tuple[str, ...] = MASKS) -> Column:
-    """The window hashes of all masks, one mask after the other; none for fewer words than a mask spans."""
-    span = len(masks[0])
-    places = F.sequence(F.lit(0), F.size(words) - span)
-
-    def of(mask: str, n: int) -> Column:
-        ones = [i for i, bit in enumerate(mask) if bit == "1"]
-        return F.transform(places, lambda p: F.xxhash64(F.lit(n), *[F.get(words, p + i) for i in ones]))
-
-    none = F.expr("CAST(array() AS array<bigint>)")
-    return F.when(F.size(words) >= span, F.concat(*[of(m, n) for n, m in enumerate(masks)])).otherwise(none)
+def seed_windows(texts: DataFrame, keep: list[str], masks: tuple[str, ...] = MASKS) -> DataFrame:
+    """(seed, at, *keep): the window hashes of all masks over ``words``; none for fewer words than a mask spans.
 
-
-def _exploded(df: DataFrame, keep: list[str], masks: tuple[str, ...], prefix: str) -> DataFrame:
-    windows = df.select(*keep, "words", seed_windows(F.col("words"), masks).alias("windows"))
-    rows = windows.select(*keep, "words", F.size("words").alias("n"), F.posexplode("windows").alias("at", "seed"))
-    count = F.col("n") - len(masks[0]) + 1
-    return rows.select(
-        "seed", *keep, F.col("words").alias(f"{prefix}_words"), F.col("n").alias(f"{prefix}_n"), (F.col("at") % count).cast("int").alias(f"{prefix}_at")
-    )
+    The words under each place of the window are zipped, so that a window is a row of a
+    few numbers from there on and the document itself isn't carried along.
+    """
+    span = len(masks[0])
+    used = [i for i in range(span) if any(mask[i] == "1" for mask in masks)]
+    count = F.greatest(F.size("words") - (span - 1), F.lit(0))
+    shifted = F.arrays_zip(*[F.slice("words", F.lit(i + 1), count).alias(f"w{i}") for i in used])
+    rows = texts.select(*keep, F.posexplode(shifted).alias("at", "w"))
+    seeds = [F.xxhash64(F.lit(n), *[F.col(f"w.w{i}") for i in used if mask[i] == "1"]) for n, mask in enumerate(masks)]
+    return rows.select(*keep, "at", F.explode(F.array(*seeds)).alias("seed"))
 
 
 def find_overlaps(
@@ -55,39 +49,54 @@ def find_overlaps(
     masks: tuple[str, ...] = MASKS,
     least_words: int = 20,
     least_equal: float = 0.8,
-    around: int = 20,
 ) -> DataFrame:
     """Verified overlaps: (key, doc_id, item_id, seeds, first_word, equal).
 
-    A hit counts if within ``around`` words of it some window of ``least_words`` aligned
-    words (or of the whole item, if that is shorter) has a share of equal words of at
-    least ``least_equal``. ``equal`` is the best such share, ``first_word`` the first
-    hit's place in the document, ``key`` a hash of doc_id and text. Items and documents
-    with fewer words than a mask spans have no windows and so no overlaps. Null texts are
-    empty; null ids are kept; repeated rows give one row; other columns are not read.
+    A diagonal with hits counts if some window of ``least_words`` aligned words (or of the
+    whole item, if that is shorter) has a share of equal words of at least
+    ``least_equal``. ``seeds`` is the number of hits on such diagonals, ``equal`` the best
+    share, ``first_word`` the first such diagonal's place in the document, ``key`` a hash
+    of doc_id and text. Items and documents with fewer words than a mask spans have no
+    windows and so no overlaps. Null texts are empty; null ids are kept; repeated rows
+    give one row; other columns are not read.
     """
-    span = len(masks[0])
-    items = benchmark.select("item_id", word_hashes(F.col("text")).alias("words"))
-    items = stored(_exploded(items, ["item_id"], masks, "item").dropDuplicates(["seed", "item_id", "item_at"]), "seeds")
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", word_hashes(F.col("text")).alias("words"))
-    hits = _exploded(texts, ["key", "doc_id"], masks, "doc").join(broadcast_if_small(items, BROADCAST_WINDOWS), "seed")
-    back = F.least("doc_at", "item_at", F.lit(around))
-    ahead = F.least(F.col("doc_n") - F.col("doc_at"), F.col("item_n") - F.col("item_at"), F.lit(span + around))
-    part = lambda side: F.slice(f"{side}_words", F.col(f"{side}_at") - F.col("back") + 1, F.col("back") + F.col("ahead"))
-    aligned = hits.withColumn("back", back).withColumn("ahead", ahead).select(
-        "key", "doc_id", "item_id", "doc_at", "item_n", part("doc").alias("doc_part"), part("item").alias("item_part")
+    items = stored(benchmark.select("item_id", word_hashes(F.col("text")).alias("words")).distinct(), "items")
+    item_key = F.xxhash64("item_id", "words").alias("item_key")
+    seeds = stored(
+        seed_windows(items.select(item_key, "words"), ["item_key"], masks).select("seed", "item_key", F.col("at").alias("item_at")).distinct(),
+        "seeds",
+    )
+    key = F.xxhash64("doc_id", "text").alias("key")
+    texts = docs.select(key, "doc_id", "text")
+    windows = seed_windows(texts.select("key", word_hashes(F.col("text")).alias("words")), ["key"], masks)
+    met = windows.join(broadcast_if_small(seeds, BROADCAST_WINDOWS), "seed")
+    diagonals = stored(
+        met.groupBy("key", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.count_distinct("at", "item_at").alias("seeds")), "diagonals"
+    )
+
+    hit = texts.join(broadcast_if_small(diagonals.select("key").distinct(), BROADCAST_KEYS), "key", "left_semi").dropDuplicates(["key"])
+    pairs = diagonals.join(hit.select("key", "doc_id", word_hashes(F.col("text")).alias("doc_words")), "key")
+    aimed = items.select(item_key, "item_id", F.col("words").alias("item_words"))
+    pairs = pairs.join(broadcast_if_small(aimed, BROADCAST_WINDOWS // 50), "item_key")
+    start = F.greatest("shift", F.lit(0))
+    length = F.least(F.size("doc_words") - start, F.size("item_words") + F.least("shift", F.lit(0)))
+    flags = F.zip_with(
+        F.slice("doc_words", start + 1, length),
+        F.slice("item_words", F.greatest(-F.col("shift"), F.lit(0)) + 1, length),
+        lambda a, b: F.when(a == b, F.lit(1)).otherwise(F.lit(0)),
     )
-    equal = F.zip_with("doc_part", "item_part", lambda a, b: F.when(a == b, F.lit(1)).otherwise(F.lit(0)))
-    aligned = aligned.select("key", "doc_id", "item_id", "doc_at", F.least("item_n", F.lit(least_words)).alias("need"), equal.alias("equal"))
+    aligned = pairs.select(
+        "key", "doc_id", "item_id", "seeds", start.alias("first_word"), F.least(F.size("item_words"), F.lit(least_words)).alias("need"), flags.alias("flags")
+    ).filter(F.size("flags") >= F.col("need"))
     shares = F.transform(
-        F.sequence(F.lit(1), F.size("equal") - F.col("need") + 1),
-        lambda s: F.aggregate(F.slice("equal", s, F.col("need")), F.lit(0), lambda acc, x: acc + x) / F.col("need"),
+        F.sequence(F.lit(1), F.size("flags") - F.col("need") + 1),
+        lambda s: F.aggregate(F.slice("flags", s, F.col("need")), F.lit(0), lambda acc, x: acc + x) / F.col("need"),
     )
-    best = aligned.withColumn("best", F.when(F.size("equal") >= F.col("need"), F.array_max(shares)))
     return (
-        best.filter(F.col("best") >= least_equal)
+        aligned.withColumn("best", F.array_max(shares))
+        .filter(F.col("best") >= least_equal)
         .groupBy("key", "doc_id", "item_id")
-        .agg(F.count(F.lit(1)).alias("seeds"), F.min("doc_at").alias("first_word"), F.max("best").alias("equal"))
+        .agg(F.sum("seeds").alias("seeds"), F.min("first_word").alias("first_word"), F.max("best").alias("equal"))
     )
 
 
