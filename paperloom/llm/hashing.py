@@ -77,12 +77,13 @@ def span_hashes(sums: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: n
     return mixed((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of a block, A-Z lower-cased if asked, and the index of the first word of each row (and the end)."""
+def words_in(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of all words of a block, A-Z lower-cased if asked, and the first word of each row (and the end)."""
     if lower:
         data = _LOWER[data]
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     inside = ~_SEPARATES[data]
     edges = offsets[1:-1]
     edges = edges[(edges > 0) & (edges < len(data))]
@@ -92,13 +93,13 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     last[:-1] &= ~inside[1:]
     last[edges - 1] = inside[edges - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return span_hashes(running_sum(data), starts, ends), np.searchsorted(starts, offsets)
+    return starts, ends, span_hashes(running_sum(data), starts, ends), np.searchsorted(starts, offsets)
 
 
 def shingle_sets(texts: pa.Array, width: int = 5) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct hashes of its ``width``-word shingles); fewer words make one shingle, none make an empty set."""
     for row, end, data, offsets in text_blocks(texts):
-        hashes, first = words(data, offsets)
+        _, _, hashes, first = words_in(data, offsets, lower=True)
         n = len(hashes)
         total = np.zeros(n, np.uint64)
         for k in range(width):

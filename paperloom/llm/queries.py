@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_chats, loss_text, read_chats
+from .classifier import score_quality
 from .common import table
 from .decontaminate import find_overlaps
 from .jaccard import near_duplicates
@@ -116,3 +117,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_jaccard")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=75, width=5)
+
+
+@query("op9_quality")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality")
