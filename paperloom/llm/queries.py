@@ -12,6 +12,7 @@ from .decontaminate import find_overlaps
 from .jaccard import near_duplicates
 from .mixing import mix
 from .secrets import BASE_RULES, RULES, find_secrets, span_list
+from .substrings import remove_repeats
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -122,3 +123,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_quality")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality")
+
+
+@query("op5_substrings")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), length=400, gap=128).select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
