@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .audio import decode_media, encode_texts
 from .chat import format_chats, loss_text, read_chats
 from .classifier import score_quality
-from .common import table
+from .common import stored, table
 from .decontaminate import find_overlaps
 from .jaccard import near_duplicates
 from .mixing import mix
@@ -134,3 +135,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op2_telephony")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = stored(encode_texts(table(spark, sf_dir, "documents")), "media", compression="zstd")
+    feature = F.concat_ws(
+        ",",
+        F.format_string("mu:%d/%d/%d", "mu_level", "mu_peak", "mu_turns"),
+        F.format_string("a:%d/%d", "a_level", "a_peak"),
+        F.format_string("adpcm:%d/%d", "adpcm_level", "adpcm_peak"),
+        F.format_string("pcm:%08x", F.crc32("pcm")),
+    )
+    found = decode_media(media)
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
