@@ -11,6 +11,8 @@ from .classifier import score_quality
 from .common import stored, table
 from .decontaminate import find_overlaps
 from .jaccard import near_duplicates
+from .licenses import scan_licenses
+from .lines import LEAST_WORDS, remove_units
 from .mixing import mix
 from .secrets import BASE_RULES, RULES, find_secrets, span_list
 from .substrings import remove_repeats
@@ -149,3 +151,37 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = decode_media(media)
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+_LINES_SQL = rf"""
+WITH units AS (
+  SELECT doc_id, unnest(str_split(coalesce(text, ''), chr(10))) AS unit, generate_subscripts(str_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents
+), clean AS (
+  SELECT *, trim(regexp_replace(lower(unit), '[ 	-]+', ' ', 'g')) AS norm FROM units
+), ranked AS (
+  SELECT *, len(regexp_extract_all(norm, '[^ 	-]+')) >= {LEAST_WORDS}
+      AND row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST, place) > 1 AS gone,
+    coalesce(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM clean
+)
+SELECT doc_id, count(*) AS n_units, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
+  coalesce(string_agg(CAST(CAST(pos AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(pos + length(unit) AS BIGINT) AS VARCHAR), ',' ORDER BY place) FILTER (gone), '') AS removed,
+  coalesce(string_agg(unit, chr(10) ORDER BY place) FILTER (NOT gone), '') AS text
+FROM ranked GROUP BY doc_id
+"""
+
+
+@query("op6_lines", _LINES_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_units(table(spark, sf_dir, "documents"), "line", LEAST_WORDS)
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return found.select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"), "text")
+
+
+@query("op7_licenses")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths: they are laid out as source/lang/part/name, each tenth one as a licence file."""
+    docs = table(spark, sf_dir, "documents")
+    name = F.when(F.col("doc_id") % 10 == 0, F.lit("LICENSE")).otherwise(F.concat("doc_id", F.lit(".txt")))
+    part = F.pmod(F.floor(F.col("doc_id") / 10), F.lit(1000)).cast("string")
+    return scan_licenses(docs.select("doc_id", F.concat_ws("/", "source", "lang", part, name).alias("path"), "text"))
