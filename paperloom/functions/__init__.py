@@ -1 +1 @@
-"""See the modules of this package."""
+"""Column expressions: text, JSON, files, vectors."""

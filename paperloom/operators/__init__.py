@@ -1 +1 @@
-"""See the modules of this package."""
+"""Operators of the document-operations workload: DataFrames in, DataFrames out."""

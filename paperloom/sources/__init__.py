@@ -1 +1 @@
-"""See the modules of this package."""
+"""Readers: tables, workbooks, files and JSON fixtures."""

@@ -1 +1 @@
-"""See the modules of this package."""
+"""Recurring runs as Structured Streaming queries."""
