@@ -40,10 +40,7 @@ def extension(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"(\.[^./\\]+)$", 1))
 
 
-@F.pandas_udf("array<struct<name:string,size:long>>")
-def package_entries(content: pd.Series) -> pd.Series:
-    """Entries and sizes of ZIP packages; null for anything else."""
-
+def _entries(content: pd.Series) -> pd.Series:
     def of(raw):
         try:
             with zipfile.ZipFile(io.BytesIO(raw)) as z:
@@ -54,6 +51,11 @@ def package_entries(content: pd.Series) -> pd.Series:
     return content.map(of)
 
 
+def package_entries(content: str | Column) -> Column:
+    """Entries (name, size) of ZIP packages; null for anything else."""
+    return F.pandas_udf(_entries, "array<struct<name:string,size:long>>")(content)
+
+
 def file_checks(files: DataFrame, name: str = "path") -> DataFrame:
     """``files`` with ``kind`` (extension) and ``expected``: whether the content is what the extension says. Only packages are opened in Python."""
     ext = extension(F.col(name))
