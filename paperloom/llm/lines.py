@@ -42,7 +42,9 @@ def later_occurrences(keyed: DataFrame, kind: str = "line", least_words: int = L
     units = stored(unit_digests(keyed, kind, least_words), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key", "place")
     groups = units.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).filter("n > 1")
-    met = units.join(groups.select("d1", "d2", F.col("first.key").alias("first_key"), F.col("first.place").alias("first_place")).hint("shuffle_hash"), ["d1", "d2"])
+    # Stored, so that the join may split the rows of a hot digest.
+    groups = stored(groups.select("d1", "d2", F.col("first.key").alias("first_key"), F.col("first.place").alias("first_place")), "groups")
+    met = units.join(groups, ["d1", "d2"])
     return met.filter("key <> first_key OR place <> first_place").select("key", "place")
 
 
