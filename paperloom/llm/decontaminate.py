@@ -71,7 +71,7 @@ def find_overlaps(
     windows = seed_windows(texts.select("key", word_hashes(F.col("text")).alias("words")), ["key"], masks)
     met = windows.join(broadcast_if_small(seeds, BROADCAST_WINDOWS), "seed")
     diagonals = stored(
-        met.groupBy("key", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.count_distinct("at", "item_at").alias("seeds")), "diagonals"
+        met.groupBy("key", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.count_distinct("at", "seed").alias("seeds")), "diagonals"
     )
 
     hit = texts.join(broadcast_if_small(diagonals.select("key").distinct(), BROADCAST_KEYS), "key", "left_semi").dropDuplicates(["key"])

@@ -1,0 +1,69 @@
+import random
+import re
+
+import pytest
+
+from paperloom.llm.secrets import BASE_RULES, RULES, Rule, find_secrets, redact_secrets, trigram_query
+
+PLAIN = {
+    "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    "access": (r"AKIA[A-Z0-9]+", 0, 20),
+    "hex": (r"[0-9a-f]+", 0, 24),
+}
+
+
+def brute(text):
+    out = []
+    for place, (kind, (pattern, group, least)) in enumerate(PLAIN.items()):
+        out += [(m.start(), place, kind, m.end()) for m in re.finditer(pattern, text or "") if len(m[group]) >= least]
+    return sorted(out)
+
+
+def found(df):
+    return [(r.doc_id, [(s.start, s.place, s.kind, s.end) for s in r.spans if s.place < len(BASE_RULES)]) for r in df.collect()]
+
+
+def texts():
+    rng = random.Random(4)
+    parts = ["password", "PassWd", "secret", "Api_Key", "apikey", "token", ":", "=", " ", '"', "'", "hunter2.x", "ab", "AKIA", "A1B2" * 4, "Z9" * 10, "deadbeef" * 3, "0a1b" * 7, "é", "\n", "g", "\U0001f600"]
+    return ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(300)]
+
+
+def test_spans_are_those_of_the_plain_rules(documents):
+    rows = list(enumerate(texts()))
+    assert dict(found(find_secrets(documents(rows)))) == {i: brute(t) for i, t in rows}
+
+
+def test_nulls_empty_long_and_repeated(documents):
+    long = ("x " * 50_000 + "token=abcdef1 ") * 3
+    rows = [(1, None), (2, ""), (3, long), (3, long), (None, "secret: abcdefg"), (None, None)]
+    got = sorted(found(find_secrets(documents(rows))), key=str)
+    assert got == sorted([(i, brute(t)) for i, t in rows], key=str) and len(brute(long)) == 3
+    assert find_secrets(documents([])).count() == 0
+
+
+def test_trigram_queries():
+    assert trigram_query(r"AKIA[A-Z0-9]{16,}") == [frozenset({"aki", "kia"})]
+    assert trigram_query(r"[0-9a-f]{24,}") is None and trigram_query(r"a?bc") is None
+    assert {frozenset({"abc", "bcd"}), frozenset({"xyz"})} == set(trigram_query(r"abcd|xyz"))
+    assert all(trigram_query(r.pattern) for r in RULES if r.kind != "hex")
+
+
+@pytest.mark.parametrize("rule", RULES, ids=lambda r: r.kind)
+def test_every_match_holds_a_clause(rule: Rule):
+    query = trigram_query(rule.pattern)
+    seen = 0
+    samples = [*texts(), "ghp_" + "a1" * 20, "xoxb-123456789-abc", "eyJhbGciOiJIUzI1.eyJzdWIiOiIx.SflKxwRJSMe_x", "-----BEGIN RSA PRIVATE KEY-----"]
+    for t in samples:
+        for m in re.finditer(rule.pattern, t):
+            seen += 1
+            assert query is None or any(all(g in m[0].lower() for g in clause) for clause in query)
+    assert seen
+
+
+def test_redaction(documents):
+    rows = [(1, "a token=abcdef1 b"), (2, None), (3, "clean"), (4, "é AKIA" + "A" * 20), (5, "secret=ab secret=abcdefgh")]
+    got = {r.doc_id: r for r in redact_secrets(documents(rows)).collect()}
+    assert got[1].text == "a [SECRET] b" and got[1].n_chars == len("a [SECRET] b") and got[2].text is None and got[3].text == "clean" and got[4].text == "é [SECRET]"
+    assert got[5].text == "secret=ab [SECRET]" and got[1].rank == "rank"
+    assert redact_secrets(documents([])).columns == documents([]).columns
