@@ -7,6 +7,10 @@ with their offsets in the original text retained.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,26 +66,24 @@ def remove_units(docs: DataFrame, kind: str = "line", least_words: int = LEAST_W
     later = later_occurrences(keyed, kind, least_words)
     gone = stored(later.groupBy("key").agg(F.collect_set("place").alias("gone")), "gone")
     brk = BREAKS[kind]
-    pieces = lambda: F.split("text", f"\\Q{brk}\\E", -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, removed, texts = [], [], []
+            for text, places in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
+                units, places = text.split(brk), set(places)
+                ends = np.cumsum([len(u) + len(brk) for u in units]) - len(brk)
+                counts.append(len(units))
+                removed.append([{"start": int(ends[i]) - len(units[i]), "end": int(ends[i])} for i in sorted(places)])
+                texts.append(brk.join(u for i, u in enumerate(units) if i not in places))
+            spans = pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), spans, pa.array(texts, pa.string())], names=["doc_id", "n_units", "removed", "text"])
+
+    spans = "array<struct<start:bigint,end:bigint>>"
     ids = broadcast_if_small(gone.select("key"), BROADCAST_KEYS)
-    touched = keyed.join(ids, "key", "left_semi").join(gone, "key").select("doc_id", "gone", pieces().alias("units"))
-    # One pass over the units keeps the running offset; flags avoid a search in ``gone`` for each unit.
-    marked = touched.withColumn(
-        "flags", F.transform(F.sequence(F.lit(0), F.size("units") - 1), lambda i: F.array_contains("gone", i))
-    ).withColumn("sizes", F.transform("units", lambda u: F.length(u)))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)").alias("spans"))
-    walked = F.aggregate(
-        F.arrays_zip("sizes", "flags"),
-        start,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["sizes"] + len(brk)).alias("at"),
-            F.when(x["flags"], F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + x["sizes"]).alias("end"))))).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    kept = F.transform(F.filter(F.arrays_zip("units", "flags"), lambda x: ~x["flags"]), lambda x: x["units"])
-    changed = marked.select("doc_id", F.size("units").cast("long").alias("n_units"), walked.alias("removed"), F.array_join(kept, brk).alias("text"))
+    touched = keyed.join(ids, "key", "left_semi").join(gone, "key").select("doc_id", "text", "gone")
+    changed = touched.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_units long, removed {spans}, text string")
     same = keyed.join(ids, "key", "left_anti").select(
-        "doc_id", F.size(pieces()).cast("long").alias("n_units"), F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)").alias("removed"), "text"
+        "doc_id", F.size(F.split("text", f"\\Q{brk}\\E", -1)).cast("long").alias("n_units"), F.expr(f"CAST(array() AS {spans})").alias("removed"), "text"
     )
     return changed.unionByName(same)
