@@ -27,7 +27,7 @@ WORD_SLOTS = 256
 #: Labelled documents of each class that the model is fitted on, at most.
 SAMPLE_PER_CLASS = 1500
 #: Passages of a document that take part in fitting, evenly spread over it, at most. Scoring takes all.
-FIT_PASSAGES = 64
+FIT_PASSAGES = 32
 HIDDEN, GATE = 24, 12
 EPOCHS, RATE, DECAY = 120, 0.02, 1e-3
 
@@ -181,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
 
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text").mapInArrow(encode, "doc_id long, y int, features binary")
-    found = {r.doc_id: r for r in rows.toLocalIterator()}  # bounded: 2 * per_class documents of 64 passages at most
+    found = {r.doc_id: r for r in rows.collect()}  # bounded: 2 * per_class documents of FIT_PASSAGES passages at most
     ordered = [found[k] for k in sorted(found)]
     y = np.array([r.y for r in ordered], np.float32)
     if len(set(y.tolist())) < 2:
