@@ -81,7 +81,7 @@ def remove_units(docs: DataFrame, kind: str = "line", least_words: int = LEAST_W
 
     spans = "array<struct<start:bigint,end:bigint>>"
     ids = broadcast_if_small(gone.select("key"), BROADCAST_KEYS)
-    touched = keyed.join(ids, "key", "left_semi").join(gone, "key").select("doc_id", "text", "gone")
+    touched = keyed.join(ids, "key", "left_semi").join(gone.hint("shuffle_hash"), "key").select("doc_id", "text", "gone")
     changed = touched.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_units long, removed {spans}, text string")
     same = keyed.join(ids, "key", "left_anti").select(
         "doc_id", F.size(F.split("text", f"\\Q{brk}\\E", -1)).cast("long").alias("n_units"), F.expr(f"CAST(array() AS {spans})").alias("removed"), "text"
