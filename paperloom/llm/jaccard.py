@@ -111,13 +111,12 @@ def candidate_pairs(left: DataFrame, right: DataFrame, percent: int, apart: str)
     return a.join(b, met).select(F.least("a.doc", "b.doc").alias("a"), F.greatest("a.doc", "b.doc").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int = 5) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough; each is tested once."""
-    sketch = texts.select("doc", "n", "parts")
+def verified(pairs: DataFrame, docs: DataFrame, sketch: DataFrame, percent: int, width: int = 5) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough; each is tested once, and only texts of pairs that pass the suffix filter are moved."""
     met = pairs.join(sketch.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("parts").alias("parts_a")), "a")
     met = met.join(sketch.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("parts").alias("parts_b")), "b")
     common = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, x: s + x)
-    kept = met.filter(common >= _least_overlap("n_a", "n_b", percent)).select("a", "b").distinct()
+    kept = stored(met.filter(common >= _least_overlap("n_a", "n_b", percent)).select("a", "b").distinct(), "kept")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, one = None, None
@@ -131,14 +130,15 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int = 5) -
                 passed[i] = both * 100 >= percent * (len(one) + len(other) - both)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(passed)) for c in (batch.column("a"), batch.column("b"))], names=["a", "b"])
 
-    held = texts.select("doc", "text")
+    ids = kept.select(F.col("a").alias("doc")).union(kept.select("b")).distinct()
+    held = docs.select(F.col("doc_id").alias("doc"), "text").join(broadcast_if_small(ids, BROADCAST_IDS), "doc", "left_semi")
     full = kept.join(held.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
     full = full.join(held.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
     return full.select("a", "text_a", "b", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def texts_of(docs: DataFrame, ids: DataFrame, width: int = 5) -> DataFrame:
-    """(doc, text, n, parts) of the documents in ``ids``; parts: how many of its shingles fall into each of 64 hash ranges."""
+def sketches(docs: DataFrame, ids: DataFrame, width: int = 5) -> DataFrame:
+    """(doc, n, parts) of the documents in ``ids``; parts: how many of its shingles fall into each of 64 hash ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,13 +146,10 @@ def texts_of(docs: DataFrame, ids: DataFrame, width: int = 5) -> DataFrame:
             for _, hashes in shingle_sets(batch.column("text"), width):
                 sizes.append(len(hashes))
                 parts.append(np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=PARTS).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text"), pa.array(sizes, pa.int32()), pa.array(parts, pa.list_(pa.int32()))],
-                names=["doc", "text", "n", "parts"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(parts, pa.list_(pa.int32()))], names=["doc", "n", "parts"])
 
     kept = docs.join(broadcast_if_small(ids, BROADCAST_IDS), "doc_id", "left_semi").select("doc_id", "text")
-    return stored(kept.mapInArrow(run, "doc long, text string, n int, parts array<int>"), "texts")
+    return stored(kept.mapInArrow(run, "doc long, n int, parts array<int>"), "sketches")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
@@ -174,13 +171,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataF
     # A document that copies a lesser one in one text may have another text of its own (repeated ids).
     first = docs.filter("doc_id IS NOT NULL").join(broadcast_if_small(_only_copies(linkable, classes), BROADCAST_IDS), "doc_id", "left_anti")
 
+    # Tables in between are stored, so that the shuffle files behind them can go and joins may split hot tokens.
     rows = prefix_rows(first, histogram, percent, width)
-    shared = rows.groupBy("token").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").drop("most")
-    met = stored(rows.join(shared.hint("shuffle_hash"), "token"), "shared")
-    texts = texts_of(first, met.select(F.col("doc").alias("doc_id")).distinct(), width)
-
-    stars = stored(candidate_pairs(met.filter("doc <> least"), met.filter("doc = least"), percent, "doc"), "pairs")
-    near = stored(verified(stars, texts, percent, width), "near")
+    repeated = stored(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token"), "tokens")
+    met = stored(rows.join(repeated.hint("shuffle_hash"), "token"), "shared")
+    sketch = sketches(first, met.select(F.col("doc").alias("doc_id")).distinct(), width)
+
+    least = stored(met.groupBy("token").agg(F.min("doc").alias("least")), "least")
+    led = met.join(least.hint("shuffle_hash"), "token")
+    stars = stored(candidate_pairs(led.filter("doc <> least"), led.filter("doc = least"), percent, "doc"), "pairs")
+    near = stored(verified(stars, first, sketch, percent, width), "near")
     grouped = stored(components(near), "groups")
 
     # Pairs across groups: of each token, the documents outside its largest group against all.
@@ -192,8 +192,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataF
     largest = by_part.groupBy("token").agg(F.max_by("part", "held").alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     mixed_tokens = placed.join(largest, "token").drop("parts")
     rest = candidate_pairs(mixed_tokens.filter("part <> main"), mixed_tokens, percent, "part")
-    rest = rest.join(stars, ["a", "b"], "left_anti")
-    far = stored(verified(rest, texts, percent, width), "far")
+    rest = stored(rest.join(stars, ["a", "b"], "left_anti"), "rest")
+    far = stored(verified(rest, first, sketch, percent, width), "far")
 
     joined = components(links.unionByName(near).unionByName(far))
     return (
