@@ -141,7 +141,8 @@ def repeated_starts(keyed: DataFrame, length: int = LENGTH, gap: int = GAP) -> D
     """(key, low, high): every start from low to high has its ``length`` bytes elsewhere, too."""
     runs = stored(cover_runs(keyed.select("key", "text"), length, gap), "runs")
     buckets = runs.groupBy("rank").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most")).filter("n > 1")
-    buckets = buckets.select("rank", (F.col("least") != F.col("most")).alias("open"))
+    # Stored, so that the join may split the rows of a hot rank.
+    buckets = stored(buckets.select("rank", (F.col("least") != F.col("most")).alias("open")), "buckets")
     tied = stored(runs.join(buckets.hint("shuffle_hash"), "rank"), "tied")
     strings = stored(
         tied.filter("open").groupBy("rank", "whole").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("key", "low", "high"), F.struct("key", "low")).alias("one")),
