@@ -58,5 +58,4 @@ def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
     ``df`` should be cheap to count (a stored table or a small aggregate). Without the
     hint the join shuffles both sides, and adaptive execution splits its hot keys.
     """
-    few = df.limit(most_rows + 1).count() <= most_rows
-    return F.broadcast(df) if few else df
+    return F.broadcast(df) if df.count() <= most_rows else df
