@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: A word: a run of characters other than space, tab, newline, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of whole texts that go to a Python worker at once, at most.
+BATCH_ROWS = 1000
+
 _scratch: list[str] = []
 
 
@@ -52,6 +55,13 @@ def release_scratch(spark: SparkSession) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch: rows hold whole texts, and a batch is held whole on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most_rows`` rows, else as it is.
 

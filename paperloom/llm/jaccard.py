@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, stored
+from .common import bound_batches, broadcast_if_small, stored
 from .graph import components
 from .hashing import shingle_sets
 
@@ -162,6 +162,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataF
     a null component_id. Rows of one doc_id are one document, linked through each of its
     texts. An empty table gives no rows; other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     summaries, histogram = shingle_summaries(docs, width)
     linkable = summaries.filter("n_shingles > 0 AND doc_id IS NOT NULL")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, broadcast_if_small, stored
+from .common import WORD, bound_batches, broadcast_if_small, stored
 
 #: Unit breaks by kind, and what joins units again.
 BREAKS = {"line": "\n", "paragraph": "\n\n"}
@@ -62,6 +62,7 @@ def remove_units(docs: DataFrame, kind: str = "line", least_words: int = LEAST_W
     texts are empty, and empty texts have one empty unit, which stays; a text all of whose
     units go becomes empty. An empty table gives no rows; other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     keyed = _keyed(docs)
     later = later_occurrences(keyed, kind, least_words)
     gone = stored(later.groupBy("key").agg(F.collect_set("place").alias("gone")), "gone")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, stored
+from .common import bound_batches, broadcast_if_small, stored
 from .hashing import BLOCK_BYTES, mixed, running_sum, span_hashes, text_blocks
 
 LENGTH = 400
@@ -171,6 +171,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gap: int = GAP) -> Dat
     kept; an empty table gives no rows; other columns are not read. ``kept`` is binary, as
     a cut may fall inside a character. Strings are compared by 64-bit hashes.
     """
+    bound_batches(docs.sparkSession)
     keyed = _keyed(docs)
     starts = repeated_starts(keyed, length, gap)
     cuts = stored(starts.groupBy("key").agg(F.collect_set(F.struct("low", "high")).alias("starts")), "cuts")
