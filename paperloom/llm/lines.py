@@ -18,7 +18,7 @@ from .common import WORD, bound_batches, broadcast_if_small, stored
 
 #: Unit breaks by kind, and what joins units again.
 BREAKS = {"line": "\n", "paragraph": "\n\n"}
-#: Shorter units are left alone: short lines repeat by chance.
+#: An option for callers that leave shorter units alone, such as the registered query; by default every unit with a word counts.
 LEAST_WORDS = 10
 #: Keys of documents are broadcast up to so many; beyond, they are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
@@ -33,7 +33,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
 
 
-def unit_digests(keyed: DataFrame, kind: str = "line", least_words: int = LEAST_WORDS) -> DataFrame:
+def unit_digests(keyed: DataFrame, kind: str = "line", least_words: int = 1) -> DataFrame:
     """(key, doc_id, place, digest) of the units that have enough words; place counts units of the text from 0."""
     units = keyed.select("key", "doc_id", F.posexplode(F.split("text", f"\\Q{BREAKS[kind]}\\E", -1)).alias("place", "unit"))
     clean = units.select("key", "doc_id", "place", normalised(F.col("unit")).alias("unit")).filter(F.regexp_count("unit", F.lit(WORD)) >= least_words)
@@ -41,7 +41,7 @@ def unit_digests(keyed: DataFrame, kind: str = "line", least_words: int = LEAST_
     return clean.select("key", "doc_id", "place", F.xxhash64("unit").alias("d1"), F.xxhash64(F.lit(6), F.reverse("unit")).alias("d2"))
 
 
-def later_occurrences(keyed: DataFrame, kind: str = "line", least_words: int = LEAST_WORDS) -> DataFrame:
+def later_occurrences(keyed: DataFrame, kind: str = "line", least_words: int = 1) -> DataFrame:
     """(key, place) of all occurrences but the first by (doc_id with null last, key, place)."""
     units = stored(unit_digests(keyed, kind, least_words), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key", "place")
@@ -52,11 +52,12 @@ def later_occurrences(keyed: DataFrame, kind: str = "line", least_words: int = L
     return met.filter("key <> first_key OR place <> first_place").select("key", "place")
 
 
-def remove_units(docs: DataFrame, kind: str = "line", least_words: int = LEAST_WORDS) -> DataFrame:
+def remove_units(docs: DataFrame, kind: str = "line", least_words: int = 1) -> DataFrame:
     """(doc_id, n_units, removed, text): per input row, the text without its later occurrences.
 
     ``removed`` is an array of (start, end) of the removed units in the original text, in
-    code points, without the break; ``text`` joins what is left by the break. Documents
+    code points, without the break; ``text`` joins what is left by the break. Units of
+    fewer than ``least_words`` words stay; by default only blank ones do. Documents
     rank by doc_id, null last, then by a hash; within one text the earlier unit comes
     first. Rows that repeat both id and text are one document: they share its fate. Null
     texts are empty, and empty texts have one empty unit, which stays; a text all of whose

@@ -49,3 +49,10 @@ def test_repeated_rows_long_and_empty(documents):
     assert sorted(r.doc_id for r in got) == [1, 1, 2, 3] and all(r.text == unit for r in got if r.doc_id == 1)
     assert [(r.n_units, len(r.removed)) for r in got if r.doc_id == 2] == [(3001, 1)]
     assert remove_units(documents([])).count() == 0
+
+
+def test_short_lines_go_by_default(documents):
+    rows = [(1, "Released under the MIT License.\n\n}\none two"), (2, "x\n  released under the  MIT license.\n\n \n}"), (3, "One Two"), (4, "")]
+    got = {r.doc_id: (len(r.removed), r.text) for r in remove_units(documents(rows)).collect()}
+    assert got == {1: (0, rows[0][1]), 2: (2, "x\n\n "), 3: (1, ""), 4: (0, "")}
+    assert all(not r.removed for r in remove_units(documents(rows), "line", 10).collect())
