@@ -9,13 +9,20 @@ together, by comparing the two texts word by word along it.
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, stored
 
-# The masks, all of one span.
-MASKS = ("1101001011", "1110100101")
+# Masks of weight 5. Whatever words are substituted, a stretch of 8 to 20 words
+# that meets the default criterion has a hit of one of them (enumerated in the tests).
+MASKS = ("11111", "111011", "11001011")
+#: Items of fewer words than MASKS are sure for have masks of their own, as long as the item;
+#: those of one or two words have none: as plain phrases they are in any text.
+SHORT_ITEM, LEAST_ITEM = 8, 3
 #: Benchmark windows are broadcast up to so many rows; beyond, the join shuffles by hash.
 BROADCAST_WINDOWS = 500_000
 #: Keys of documents are broadcast up to so many; beyond, they are joined by a shuffle.
@@ -28,19 +35,33 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seed_windows(texts: DataFrame, keep: list[str], masks: tuple[str, ...] = MASKS) -> DataFrame:
+def whole_masks(n: int, least_equal: float) -> tuple[str, ...]:
+    """Masks as long as an item of ``n`` words that leave out as many words as may differ, in every choice."""
+    differ = min(n - math.ceil(n * least_equal - 1e-9), n - 1)
+    return tuple("".join("0" if i in out else "1" for i in range(n)) for out in combinations(range(n), differ))
+
+
+def seed_windows(texts: DataFrame, keep: list[str], masks: tuple[str, ...] = MASKS, whole: tuple[str, ...] = (), item: bool = False) -> DataFrame:
     """(seed, at, *keep): the window hashes of all masks over ``words``; none for fewer words than a mask spans.
 
-    The words under each place of the window are zipped, so that a window is a row of a
-    few numbers from there on and the document itself isn't carried along.
+    Masks of ``whole`` are for short items: an item of as many words as one spans has only
+    those windows, a document has them besides the others. The words under each place of
+    the window are zipped, so that a window is a row of a few numbers from there on and the
+    document itself isn't carried along.
     """
-    span = len(masks[0])
-    used = [i for i in range(span) if any(mask[i] == "1" for mask in masks)]
-    count = F.greatest(F.size("words") - (span - 1), F.lit(0))
+    every = [*masks, *whole]
+    used = [i for i in range(max(map(len, every))) if any(mask[i : i + 1] == "1" for mask in every)]
+    count = F.greatest(F.size("words") - (min(map(len, every)) - 1), F.lit(0))
     shifted = F.arrays_zip(*[F.slice("words", F.lit(i + 1), count).alias(f"w{i}") for i in used])
-    rows = texts.select(*keep, F.posexplode(shifted).alias("at", "w"))
-    seeds = [F.xxhash64(F.lit(n), *[F.col(f"w.w{i}") for i in used if mask[i] == "1"]) for n, mask in enumerate(masks)]
-    return rows.select(*keep, "at", F.explode(F.array(*seeds)).alias("seed"))
+    rows = texts.select(*keep, F.size("words").alias("n_words"), F.posexplode(shifted).alias("at", "w"))
+
+    def seed(n: int, mask: str) -> Column:
+        fits = F.col("at") <= F.col("n_words") - len(mask)
+        if item:
+            fits &= (F.col("n_words") == len(mask)) if n >= len(masks) else ~F.col("n_words").isin(sorted({len(m) for m in whole}))
+        return F.when(fits, F.xxhash64(F.lit(n), *[F.col(f"w.w{i}") for i in used if mask[i : i + 1] == "1"]))
+
+    return rows.select(*keep, "at", F.explode(F.array(*[seed(n, mask) for n, mask in enumerate(every)])).alias("seed")).filter("seed IS NOT NULL")
 
 
 def find_overlaps(
@@ -56,19 +77,22 @@ def find_overlaps(
     whole item, if that is shorter) has a share of equal words of at least
     ``least_equal``. ``seeds`` is the number of hits on such diagonals, ``equal`` the best
     share, ``first_word`` the first such diagonal's place in the document, ``key`` a hash
-    of doc_id and text. Items and documents with fewer words than a mask spans have no
-    windows and so no overlaps. Null texts are empty; null ids are kept; repeated rows
-    give one row; other columns are not read.
+    of doc_id and text. With the default masks and criterion no such diagonal is without a
+    hit; items of under ``SHORT_ITEM`` words have masks of their own, those of under
+    ``LEAST_ITEM`` words no overlaps. Null texts are empty; null ids are kept; repeated
+    rows give one row; other columns are not read.
     """
     items = stored(benchmark.select("item_id", word_hashes(F.col("text")).alias("words")).distinct(), "items")
     item_key = F.xxhash64("item_id", "words").alias("item_key")
+    lengths = items.select(F.size("words").alias("n")).filter(F.col("n").between(LEAST_ITEM, SHORT_ITEM - 1)).distinct().collect()  # a few numbers
+    whole = tuple(mask for r in sorted(lengths) for mask in whole_masks(r.n, least_equal))
     seeds = stored(
-        seed_windows(items.select(item_key, "words"), ["item_key"], masks).select("seed", "item_key", F.col("at").alias("item_at")).distinct(),
+        seed_windows(items.select(item_key, "words"), ["item_key"], masks, whole, item=True).select("seed", "item_key", F.col("at").alias("item_at")).distinct(),
         "seeds",
     )
     key = F.xxhash64("doc_id", "text").alias("key")
     texts = docs.select(key, "doc_id", "text")
-    windows = seed_windows(texts.select("key", word_hashes(F.col("text")).alias("words")), ["key"], masks)
+    windows = seed_windows(texts.select("key", word_hashes(F.col("text")).alias("words")), ["key"], masks, whole)
     met = windows.join(broadcast_if_small(seeds, BROADCAST_WINDOWS), "seed")
     diagonals = stored(
         met.groupBy("key", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.count_distinct("at", "seed").alias("seeds")), "diagonals"

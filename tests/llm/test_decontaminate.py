@@ -1,6 +1,7 @@
 import random
+from itertools import combinations
 
-from paperloom.llm.decontaminate import MASKS, decontaminate, find_overlaps
+from paperloom.llm.decontaminate import LEAST_ITEM, MASKS, SHORT_ITEM, decontaminate, find_overlaps
 
 RNG = random.Random(8)
 VOCABULARY = ["".join(RNG.choices("abcdefghij", k=5)) for _ in range(3000)]
@@ -59,3 +60,35 @@ def test_edges(spark, documents):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4] and kept.columns == documents(rows).columns
     assert kept.filter("doc_id = 3").first().row == "row"
     assert decontaminate(documents([]), bench).count() == 0 and decontaminate(documents(rows), items(spark, [])).count() == len(rows)
+
+
+def meet(d, b):
+    """Whether some diagonal meets the criterion, whatever the masks."""
+    need = min(len(b), 20)
+    for shift in range(-len(b) + 1, len(d)):
+        flags = [x == y for x, y in zip(d[max(shift, 0) :], b[max(-shift, 0) :], strict=False)]
+        if any(5 * sum(flags[s : s + need]) >= 4 * need for s in range(len(flags) - need + 1)):
+            return True
+    return False
+
+
+def test_masks_miss_no_substitution():
+    for n in range(SHORT_ITEM, 21):
+        windows = [{p + i for i, bit in enumerate(m) if bit == "1"} for m in MASKS for p in range(n - len(m) + 1)]
+        assert all(any(w.isdisjoint(gone) for w in windows) for gone in combinations(range(n), n // 5)), n
+
+
+def test_every_overlap_is_found(spark, documents):
+    """All placements of as many substitutions as the criterion allows, and short items, without a word on seeds."""
+    rng = random.Random(88)
+    bench = [(n, prose(n, rng)) for n in range(LEAST_ITEM, 17)] + [(20, prose(20, rng)), (33, prose(33, rng))]
+    docs = []
+    for n, item in bench:
+        ways = list(combinations(range(min(n, 20)), min(n, 20) // 5))
+        for gone in rng.sample(ways, min(len(ways), 60)):
+            docs.append(prose(3, rng) + ["other" if i in gone else w for i, w in enumerate(item[:20])] + prose(2, rng))
+        docs.append(item)
+        docs.append([*item[:2], "other", "other", "other", *item[5:]])
+    docs.append(["one", "two"])
+    found = find_overlaps(documents([(i, " ".join(w)) for i, w in enumerate(docs)]), items(spark, [(j, " ".join(w)) for j, w in bench]))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(i, j) for i, d in enumerate(docs) for j, b in bench if meet(d, b)}
