@@ -1,6 +1,8 @@
 """License scans: sparse TF-IDF cosine of notices to templates, then inheritance along paths.
 
-Lines of a file that speak of a licence are its notices. A notice is a sparse vector of
+Lines of a file that speak of a licence are its notices; so are the paragraphs and header
+blocks around such a line, as wrapped headers need, and the whole text of a licence file. A
+notice is a sparse vector of
 the templates' terms, weighted by how rare a term is among the notices of all files and by
 the notice's own length; its cosine to each template decides. A file without a licence of
 its own takes the one of the nearest directory above it that holds a licence file: paths
@@ -32,8 +34,61 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("Proprietary", "Copyright. All rights reserved."),
 )
-# A line with none of these is no notice.
+_GNU = "{0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2} as published by the Free Software Foundation{1} either version {3} of the License, or (at your option) any later version."
+_GNU_ONLY = "{0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1} {2} as published by the Free Software Foundation."
+_WARRANTY = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES '
+    "OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, "
+    "EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must "
+    "retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of "
+    "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_NEITHER = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_MIT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without '
+    "restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom "
+    "the Software is furnished to do so, subject to the following conditions:"
+)
+_MIT_REST = (
+    ' The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY '
+    "KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT "
+    "HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR "
+    "OTHER DEALINGS IN THE SOFTWARE."
+)
+# Standard source headers, headings of the long licence files and the short full texts.
+STANDARD = (
+    ("GPL-2.0-only", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0-only", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1-only", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0-only", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0-only", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("GPL-2.0-only", _GNU_ONLY.format("This program", "General Public License", "version 2")),
+    ("GPL-3.0-only", _GNU_ONLY.format("This program", "General Public License", "version 3")),
+    ("GPL-2.0-or-later", _GNU.format("This program", ";", "General Public License", "2")),
+    ("GPL-3.0-or-later", _GNU.format("This program", ":", "General Public License", "3")),
+    ("LGPL-2.1-or-later", _GNU.format("This library", ";", "Lesser General Public License", "2.1")),
+    ("LGPL-3.0-or-later", _GNU.format("This library", ":", "Lesser General Public License", "3")),
+    ("AGPL-3.0-or-later", _GNU.format("This program", ":", "Affero General Public License", "3")),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MIT", _MIT),
+    ("MIT", _MIT + _MIT_REST),
+    ("BSD-3-Clause", _BSD + "3. " + _NEITHER + " " + _WARRANTY),
+    ("BSD-3-Clause", _NEITHER),
+    ("BSD-2-Clause", _BSD + _WARRANTY),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+)
+# A text with none of these is no notice.
 NOTICE = r"(?i)licen[cs]e|copyright|spdx|all rights reserved|permission is hereby|redistribution"
+# The expression of an SPDX line, one level of brackets deep.
+SPDX = r"(?i)SPDX-License-Identifier:[ \t]*((?-i)\(?[A-Za-z0-9.+-]*[A-Za-z0-9+]\)?(?:[ \t]+(?:OR|AND|WITH)[ \t]+\(?[A-Za-z0-9.+-]*[A-Za-z0-9+]\)?){0,20})"
 # Names of licence files.
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice)(\.[a-z]+)?$"
 LEAST_COSINE = 0.6
@@ -49,28 +104,44 @@ def _terms(text: str) -> list[str]:
 def template_terms(spark: SparkSession) -> DataFrame:
     """(template, license, term, tf): a few rows per template."""
     rows = []
-    for n, (name, text) in enumerate(TEMPLATES):
+    for n, (name, text) in enumerate((*TEMPLATES, *STANDARD)):
         words = _terms(text)
         rows += [(n, name, term, float(words.count(term))) for term in sorted(set(words))]
     return spark.createDataFrame(rows, "template int, license string, term string, tf double")
 
 
 def notices(files: DataFrame) -> DataFrame:
-    """(key, line, term, tf) of the notice lines of (key, text); all terms, template or not."""
-    lines = files.filter(F.rlike("text", F.lit(NOTICE))).select("key", F.posexplode(F.split("text", "\n", -1)).alias("line", "said")).filter(F.rlike("said", F.lit(NOTICE)))
+    """(key, line, term, tf) of the notices of (key, text, whole); all terms, template or not.
+
+    ``line`` counts lines from 0; paragraphs and header blocks, which end where comment
+    lines do, count downwards from -2, and -1 is the text of a licence file (``whole``).
+    """
+    some = files.filter(F.rlike("text", F.lit(NOTICE)))
+    # Lines without a letter or digit end a paragraph; so does the last comment line before other text.
+    blocks = F.split(F.regexp_replace("text", r"(?m)^([ \t]*(?:#|//|/\*|\*|--|;|%)[^\n]*)\n(?=[ \t]*[^\s#/*;%-])", "$1\n\u0000"), "\u0000", -1)
+    broken = F.transform("blocks", lambda b: F.split(F.regexp_replace(b, r"(?m)^[^\p{L}\p{N}\n]*+$", ""), "\n{2,}", -1))
+    apart = some.select("key", "text", "whole", blocks.alias("blocks")).select("key", "text", "whole", F.array_distinct(F.concat("blocks", F.flatten(broken))).alias("wide"))
+    # One line alone is there as a line.
+    wide = F.filter("wide", lambda b: F.contains(F.trim(b, F.lit("\n")), F.lit("\n")))
+    units = F.concat(
+        F.transform(F.split("text", "\n", -1), lambda x, n: F.struct(n.alias("line"), x.alias("said"))),
+        F.transform(wide, lambda x, n: F.struct((-n - 2).alias("line"), x.alias("said"))),
+        F.when(F.col("whole"), F.array(F.struct(F.lit(-1).alias("line"), F.col("text").alias("said")))).otherwise(F.expr("CAST(array() AS array<struct<line:int,said:string>>)")),
+    )
+    lines = apart.select("key", F.explode(units).alias("u")).select("key", "u.line", "u.said").filter(F.rlike("said", F.lit(NOTICE)))
     words = lines.select("key", "line", F.explode(F.regexp_extract_all(F.lower("said"), F.lit(_TERM), F.lit(0))).alias("term"))
     return words.groupBy("key", "line", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
 
 
 def own_licenses(files: DataFrame, least_cosine: float = LEAST_COSINE) -> DataFrame:
-    """(key, license, cosine): the best match of the notices of (key, text); ties go to the earlier template.
+    """(key, license, cosine): the best match of the notices of (key, text, whole); ties go to the earlier template.
 
-    A notice's vector has all its terms, so words that no template has only lengthen it.
+    An SPDX line names its licence: its expression counts as it is, with a cosine of 1. A notice's vector has all its terms, so words that no template has only lengthen it.
     """
     found = stored(notices(files), "notices")
     wanted = template_terms(files.sparkSession)
     # Rarity over the notices of all files, each template being one more, so no term is without.
-    n_notices = found.select("key", "line").distinct().count() + len(TEMPLATES)
+    n_notices = found.select("key", "line").distinct().count() + len(TEMPLATES) + len(STANDARD)
     held = found.select("term").unionByName(wanted.select("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = stored(held.select("term", (F.log((F.lit(n_notices) + 1) / (F.col("df") + 1)) + 1).alias("idf")), "idf")
 
@@ -87,7 +158,9 @@ def own_licenses(files: DataFrame, least_cosine: float = LEAST_COSINE) -> DataFr
     scored = dots.join(lengths, ["key", "line"]).select(
         "key", "license", "template", F.round(F.col("dot") / F.col("norm") / F.col("template_norm"), 6).alias("cosine")
     )
-    best = scored.filter(F.col("cosine") >= least_cosine).groupBy("key").agg(F.max(F.struct("cosine", (-F.col("template")).alias("order"), "license")).alias("best"))
+    scored = scored.filter(F.col("cosine") >= least_cosine).select("key", "license", "template", "cosine")
+    spdx = files.select("key", F.regexp_extract("text", SPDX, 1).alias("license"), F.lit(-1).alias("template"), F.lit(1.0).alias("cosine")).filter("license <> ''")
+    best = scored.unionByName(spdx).groupBy("key").agg(F.max(F.struct("cosine", (-F.col("template")).alias("order"), "license")).alias("best"))
     return best.select("key", "best.license", "best.cosine")
 
 
@@ -102,7 +175,7 @@ def scan_licenses(files: DataFrame, id_column: str = "doc_id", least_cosine: flo
     """
     slim = files.select(F.col(id_column).alias("id"), "path", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = slim.select("id", "path", "text", F.xxhash64("id", "path", "text").alias("key"))
-    own = stored(own_licenses(keyed.select("key", "text").filter(F.rlike("text", F.lit(NOTICE))).dropDuplicates(["key"]), least_cosine), "own")
+    own = stored(own_licenses(keyed.select("key", "text", F.coalesce(F.rlike(F.element_at(F.split("path", "/", -1), -1), F.lit(LICENSE_FILE)), F.lit(False)).alias("whole")).filter(F.rlike("text", F.lit(NOTICE))).dropDuplicates(["key"]), least_cosine), "own")
     known = stored(keyed.select("id", "path", "key").join(own, "key", "left").drop("key"), "known")
 
     parts = F.split("path", "/", -1)

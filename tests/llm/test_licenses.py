@@ -74,3 +74,70 @@ def test_repeated_rows_ties_and_empty(spark):
     got = sorted((r.doc_id, r.license, r.origin) for r in scan_licenses(table(spark, rows)).collect())
     assert got == [(1, "MIT", "a/LICENSE")] * 2 + [(2, "MIT", "a/COPYING")] + [(3, "MIT", "a/COPYING")] * 2 + [(4, "MIT", "a/y")]
     assert scan_licenses(table(spark, [])).count() == 0
+
+
+GNU = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version {} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the
+GNU General Public License for more details.
+"""
+BSD = """Copyright (c) 2020, Somebody
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+NEITHER = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE = """Copyright 2020 Somebody
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+
+
+def commented(text, mark):
+    return "".join(f"{mark} {line}\n" for line in text.split("\n")) + "import os\nprint(os.name)\n" * 20
+
+
+def test_standard_wordings(spark):
+    rows = [
+        (1, "g2/COPYING", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc.\n"),
+        (2, "g2/x.c", "int main;"),
+        (3, "s/g2.py", commented(GNU.format(2), "#")),
+        (4, "s/g3.c", commented(GNU.format(3), " *")),
+        (5, "b3/LICENSE", BSD.format(NEITHER)),
+        (6, "s/b3.py", commented(BSD.format(NEITHER), "#")),
+        (7, "b2/LICENSE", BSD.format("")),
+        (8, "s/b2.c", commented(BSD.format(""), "//")),
+        (9, "s/apache.py", commented(APACHE, "#")),
+        (10, "s/mit.py", "# SPDX-License-Identifier: MIT\nimport os\n"),
+        (11, "s/zlib.c", "/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR Zlib */\n"),
+    ]
+    got = {r.doc_id: r.license for r in scan_licenses(table(spark, rows)).collect()}
+    assert got == {
+        1: "GPL-2.0-only", 2: "GPL-2.0-only", 3: "GPL-2.0-or-later", 4: "GPL-3.0-or-later", 5: "BSD-3-Clause", 6: "BSD-3-Clause",
+        7: "BSD-2-Clause", 8: "BSD-2-Clause", 9: "Apache-2.0", 10: "MIT", 11: "(GPL-2.0-only WITH Linux-syscall-note) OR Zlib",
+    }
