@@ -19,7 +19,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
 from .hashing import text_blocks, words_in
 
 PASSAGE_WORDS = 64
@@ -155,7 +154,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     The sample takes the ``per_class`` ids of least hash of each class; losses are weighted
     so that the classes count as in all labels. Ids with contradicting labels are left out.
     """
-    bound_batches(docs.sparkSession)
     known = (
         labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
         .groupBy("doc_id").agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("other"))

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of characters other than space, tab, newline, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows of whole texts that go to a Python worker at once, at most.
-BATCH_ROWS = 1000
+#: A side is broadcast up to so many bytes, measured; beyond, the join shuffles.
+BROADCAST_BYTES = 16 << 20
+#: What a row of a broadcast table takes besides its values, about.
+ROW_BYTES = 32
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _scratch: list[str] = []
 
 
@@ -22,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``. Where it is unset, a folder of our own on a local master, an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="paperloom-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -34,38 +40,57 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it back.
 
     The table is a plain Parquet folder, so a lost executor costs nothing and later
-    readers take only the columns they need. It goes with the application, or with
-    ``release_scratch``. The shuffle files behind it are no longer needed: a collection
-    in the driver lets Spark's cleaner delete them.
+    readers take only the columns they need. It goes with the application, or earlier
+    with ``settled``. The shuffle files behind it go as soon as it is written.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/paperloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     _scratch.append(path)
-    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_scratch(spark: SparkSession) -> None:
-    """Delete the tables written so far; for callers whose earlier results have been saved."""
-    while _scratch:
-        target = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``make()`` as a stored table; the tables that were stored on the way to it are deleted."""
+    first = len(_scratch)
+    out = stored(make(), name)
+    for path in _scratch[first:-1]:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's rows per Arrow batch: rows hold whole texts, and a batch is held whole on both sides."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
-
-
-def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``most_rows`` rows, else as it is.
-
-    ``df`` should be cheap to count (a stored table or a small aggregate). Without the
+    del _scratch[first:-1]
+    return out
+
+
+def _bytes(df: DataFrame) -> Column:
+    """About what a row takes in memory."""
+    total = F.lit(ROW_BYTES)
+    for name, kind in df.dtypes:
+        column = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(column), F.lit(0))
+        elif kind.startswith("array") and "<" not in kind[6:] and "string" not in kind:
+            total = total + 8 * F.greatest(F.size(column), F.lit(0))
+        elif "<" in kind:
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+        else:
+            total = total + 8
+    return total.cast("long")
+
+
+def broadcast_if_small(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its rows take at most ``most_bytes``, else as it is.
+
+    ``df`` should be cheap to read (a stored table or a small aggregate). Without the
     hint the join shuffles both sides, and adaptive execution splits its hot keys.
     """
-    return F.broadcast(df) if df.count() <= most_rows else df
+    return F.broadcast(df) if (df.agg(F.sum(_bytes(df))).first()[0] or 0) <= most_bytes else df

@@ -23,10 +23,6 @@ MASKS = ("11111", "111011", "11001011")
 #: Items of fewer words than MASKS are sure for have masks of their own, as long as the item;
 #: those of one or two words have none: as plain phrases they are in any text.
 SHORT_ITEM, LEAST_ITEM = 8, 3
-#: Benchmark windows are broadcast up to so many rows; beyond, the join shuffles by hash.
-BROADCAST_WINDOWS = 500_000
-#: Keys of documents are broadcast up to so many; beyond, they are joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -93,15 +89,15 @@ def find_overlaps(
     key = F.xxhash64("doc_id", "text").alias("key")
     texts = docs.select(key, "doc_id", "text")
     windows = seed_windows(texts.select("key", word_hashes(F.col("text")).alias("words")), ["key"], masks, whole)
-    met = windows.join(broadcast_if_small(seeds, BROADCAST_WINDOWS), "seed")
+    met = windows.join(broadcast_if_small(seeds), "seed")
     diagonals = stored(
         met.groupBy("key", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.count_distinct("at", "seed").alias("seeds")), "diagonals"
     )
 
-    hit = texts.join(broadcast_if_small(diagonals.select("key").distinct(), BROADCAST_KEYS), "key", "left_semi").dropDuplicates(["key"])
+    hit = texts.join(broadcast_if_small(diagonals.select("key").distinct()), "key", "left_semi").dropDuplicates(["key"])
     pairs = diagonals.join(hit.select("key", "doc_id", word_hashes(F.col("text")).alias("doc_words")), "key")
     aimed = items.select(item_key, "item_id", F.col("words").alias("item_words"))
-    pairs = pairs.join(broadcast_if_small(aimed, BROADCAST_WINDOWS // 50), "item_key")
+    pairs = pairs.join(broadcast_if_small(aimed), "item_key")
     start = F.greatest("shift", F.lit(0))
     length = F.least(F.size("doc_words") - start, F.size("item_words") + F.least("shift", F.lit(0)))
     flags = F.zip_with(
@@ -128,4 +124,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` without an overlap, as they are."""
     found = stored(find_overlaps(docs, benchmark, **how).select("key").distinct(), "contaminated")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("key"))
-    return keyed.join(broadcast_if_small(found, BROADCAST_KEYS), "key", "left_anti").select("row.*")
+    return keyed.join(broadcast_if_small(found), "key", "left_anti").select("row.*")

@@ -1,16 +1,22 @@
 """N-gram Jaccard join: rare-first prefix filtering, then one verification per pair.
 
-A document is the set of its word shingles. All sets are ordered alike, rare shingles
-first, so that two sets of similarity t share a shingle within their first
-``n - ceil(t * n) + 1``. How rare a shingle is comes from a histogram of a fixed number
-of hash buckets that counts the shingles of all documents; only the order depends on it,
-never the result. Pairs that meet pass a length filter, a positional filter and a suffix
-filter (the sets cut at fixed hashes; the smaller parts bound the overlap) before their
-texts are compared.
-
-Documents of one set are one class from the start. Large groups of near copies would meet
-in all pairs, so each shared shingle first links its documents to the least one only;
-after that, just the pairs whose documents aren't yet connected are left to be tried.
+A document is the set of its word shingles. If two sets of similarity t are ordered alike,
+they share a shingle within their first ``n - ceil(t * n) + 1``. The order here is by exact
+frequency, rare ones first. Counting all shingles of all documents would move each of them
+twice, so documents that can't have a partner leave first:
+
+1. In any order, longer prefixes of a similar pair share more shingles: with m more than
+   the prefix needs, m + 1. In the order of the hashes, the first third of each set is
+   counted; documents with too few shingles there that any other document has are out.
+2. The sets of what is left are kept, their shingles counted exactly, and each set's prefix
+   in rare-first order taken.
+3. Prefixes join by shingle. Pairs pass a length, a positional and a suffix filter (how
+   many shingles fall into each of 64 hash ranges; the smaller counts bound the overlap)
+   before their sets are compared, once for each pair.
+
+Documents of one set are one node from the start. A large group of near copies would meet
+in all pairs, so each shared shingle first links its documents to one leader; after that,
+just the pairs whose documents aren't yet connected are left to be tried.
 """
 
 from __future__ import annotations
@@ -20,78 +26,152 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, broadcast_if_small, stored
+from .common import broadcast_if_small, stored
 from .graph import components
 from .hashing import shingle_sets
 
-#: Buckets of the histogram that orders shingles.
-BUCKET_BITS = 16
-#: Parts into which the suffix filter cuts a set.
+#: Hash ranges of the suffix filter.
 PARTS = 64
-#: Sets of ids are broadcast up to so many; beyond, they are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: The longer prefix has a shingle more for each so many of the set.
+LONGER = 12
+#: Shingles that a task counts before it passes them on.
+FLUSH = 1 << 20
 
 
-def shingle_summaries(docs: DataFrame, width: int = 5) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_shingles, signature) of all documents, and the histogram of their shingles' first bits."""
+def _least_common(n, percent: int):
+    """How many shingles a set of n shares with any similar one: ceil(t * n)."""
+    return -(-percent * n // 100)
+
+
+def _asked(n, percent: int):
+    """Common shingles within the longer prefix."""
+    return np.minimum(_least_common(n, percent), 1 - (-n // LONGER))
+
+
+def _node(hashes: np.ndarray) -> int:
+    """The key of a set: 64 bits of a digest of its shingles."""
+    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
+
+
+def text_key() -> Column:
+    return F.xxhash64("text")
+
+
+def set_summaries(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, text_key, n, node) of all rows of (doc_id, text_key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in batches:
-            n, signature = np.zeros(len(batch), np.int64), [b""] * len(batch)
+            n, node = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
             for i, hashes in shingle_sets(batch.column("text"), width):
-                n[i], signature[i] = len(hashes), xxhash.xxh3_128_digest(hashes.tobytes())
-                np.add.at(counts, hashes >> np.uint64(64 - BUCKET_BITS), 1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), pa.array(signature, pa.binary()), pa.nulls(len(batch), pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "signature", "counts"],
-            )
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.array([b""], pa.binary()), pa.array([counts], pa.list_(pa.int64()))],
-            names=["doc_id", "n_shingles", "signature", "counts"],
+                n[i], node[i] = len(hashes), _node(hashes)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(n), pa.array(node)], names=["doc_id", "text_key", "n", "node"])
+
+    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, n long, node long")
+
+
+def shared_counts(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """(node, surplus): the shingles of the longer prefix that another set may have, less those that a similar one would have."""
+
+    def flushed(nodes: list[int], tokens: list[np.ndarray], asked: list[int]) -> pa.RecordBatch:
+        sizes = np.array([len(t) for t in tokens])
+        every, of = np.concatenate(tokens), np.repeat(np.arange(len(nodes)), sizes)
+        values, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
+        common = counts[inverse] > 1
+        # What this task knows to be shared is counted here, and one row stands for it: a hot shingle is a row for each flush.
+        surplus = np.bincount(of[common], minlength=len(nodes)) - np.array(asked)
+        keys, alone, hot = np.array(nodes, np.int64), ~common, values[counts > 1]
+        token = np.concatenate([every[alone], hot]).view(np.int64)
+        node = pa.array(np.concatenate([keys[of[alone]], np.zeros(len(hot), np.int64)]), mask=np.arange(len(token)) >= alone.sum())
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.concat_arrays([pa.array(token), pa.array(keys)]),
+                pa.concat_arrays([node, pa.array(keys)]),
+                pa.concat_arrays([pa.nulls(len(token), pa.int64()), pa.array(surplus)]),
+            ],
+            names=["token", "node", "surplus"],
         )
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = stored(slim.mapInArrow(run, "doc_id long, n_shingles long, signature binary, counts array<long>"), "shingles")
-    sums = found.filter("counts IS NOT NULL").select(F.posexplode("counts").alias("bucket", "n")).groupBy("bucket").agg(F.sum("n").alias("n"))
-    histogram = np.zeros(1 << BUCKET_BITS, np.int64)
-    for bucket, n in sums.collect():  # a row per bucket, 65,536 at most
-        histogram[bucket] = n
-    return found.filter("counts IS NULL").drop("counts"), histogram
-
-
-def prefix_rows(docs: DataFrame, histogram: np.ndarray, percent: int, width: int = 5) -> DataFrame:
-    """(token, doc, n, place) of each set's prefix, rarest first, ties by hash."""
-    rank = np.empty(len(histogram), np.uint16)
-    rank[np.argsort(histogram, kind="stable")] = np.arange(len(histogram))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, tokens, asked, held, seen = [], [], [], 0, set()
+        for batch in batches:
+            for _, hashes in shingle_sets(batch.column("text"), width):
+                if not (n := len(hashes)) or (node := _node(hashes)) in seen:
+                    continue
+                seen.add(node)
+                prefix = hashes[: min(n, n - _least_common(n, percent) + int(_asked(n, percent)))]
+                nodes.append(node)
+                tokens.append(prefix)
+                asked.append(int(_asked(_least_common(n, percent), percent)))
+                held += len(prefix)
+                if held > FLUSH:
+                    yield flushed(nodes, tokens, asked)
+                    nodes, tokens, asked, held, seen = [], [], [], 0, set()
+        if nodes:
+            yield flushed(nodes, tokens, asked)
+
+    rows = docs.filter("doc_id IS NOT NULL").select("text").mapInArrow(run, "token long, node long, surplus long")
+    # Rows with a surplus have their node as the token; they count as they are.
+    known = F.col("surplus").isNotNull()
+    met = F.count(F.lit(1)).over(Window.partitionBy("token", known)) > 1
+    one = F.when(known, F.col("surplus")).when(met, F.lit(1)).otherwise(F.lit(0))
+    # A set that several tasks have seen is shared in whole, so its sum is never below 0.
+    counted = rows.select("node", one.alias("surplus"), known.alias("known")).filter("node IS NOT NULL AND (known OR surplus > 0)")
+    return counted.groupBy("node").agg(F.sum("surplus").alias("surplus"))
+
+
+def open_sets(docs: DataFrame, summaries: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, n, parts, hashes) of the sets in ``nodes``; hashes: the sorted shingles, 8 bytes each; parts: how many fall into each of 64 ranges."""
+    first = summaries.filter("n > 0 AND doc_id IS NOT NULL").join(broadcast_if_small(nodes.select("node")), "node", "left_semi")
+    first = stored(first.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("one")).select("one.*"), "firsts")
+    texts = docs.join(broadcast_if_small(first), ["doc_id", "text_key"], "left_semi").select("doc_id", "text_key", "text").dropDuplicates(["doc_id", "text_key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            tokens, docs_, sizes, places, held = [], [], [], [], 0
+            held, rows = 0, []
             for i, hashes in shingle_sets(batch.column("text"), width):
-                n = len(hashes)
-                if n:
-                    k = n - -(-percent * n // 100) + 1
-                    rare = np.argsort(rank[hashes >> np.uint64(64 - BUCKET_BITS)], kind="stable")[:k]
-                    tokens.append(hashes[rare].view(np.int64))
-                    docs_.append(np.full(k, ids[i], np.int64))
-                    sizes.append(np.full(k, n, np.int32))
-                    places.append(np.arange(k, dtype=np.int32))
-                    held += k
-                if held > 100_000 or i == len(batch) - 1 and held:
+                parts = np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=PARTS).astype(np.int32)
+                rows.append((_node(hashes), len(hashes), parts, hashes.tobytes()))
+                held += len(hashes)
+                if held > FLUSH or i == len(batch) - 1:
+                    node, n, parts, sets = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(x)) for x in (tokens, docs_, sizes, places)], names=["token", "doc", "n", "place"]
+                        [pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(parts, pa.list_(pa.int32())), pa.array(sets, pa.binary())], names=["node", "n", "parts", "hashes"]
                     )
-                    tokens, docs_, sizes, places, held = [], [], [], [], 0
+                    held, rows = 0, []
 
-    return docs.mapInArrow(run, "token long, doc long, n int, place int")
+    return texts.select("text").mapInArrow(run, "node long, n int, parts array<int>, hashes binary")
 
 
-def _least_overlap(a: str, b: str, percent: int):
+def rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, node, n, place) of each set's prefix, rarest shingle first, ties by hash; shingles of one set only are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, nodes = batch.column("n").to_numpy(), batch.column("node").to_numpy()
+            row = 0
+            while row < len(batch):
+                end = max(row + 1, int(np.searchsorted(np.cumsum(sizes[row:]), FLUSH)) + row)
+                tokens = np.frombuffer(b"".join(x.as_py() for x in batch.column("hashes").slice(row, end - row)), np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(tokens), pa.array(np.repeat(nodes[row:end], sizes[row:end])), pa.array(np.repeat(sizes[row:end], sizes[row:end]))], names=["token", "node", "n"]
+                )
+                row = end
+
+    rows = sets.select("node", "n", "hashes").mapInArrow(run, "token long, node long, n int")
+    counts = stored(rows.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "counts")
+    met = rows.join(counts.hint("shuffle_hash"), "token")
+    own = Window.partitionBy("node")
+    # Shingles of one set only come first in it: they take places, but meet nothing.
+    place = (F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("held", "token")) - 1).cast("int")
+    least = F.ceil(F.col("n") * percent / 100 - F.lit(1e-9))
+    return met.select("token", "node", "n", place.alias("place")).filter(F.col("place") <= F.col("n") - least)
+
+
+def _least_overlap(a: str, b: str, percent: int) -> Column:
     """The overlap that two sizes need: ceil(t / (1 + t) * (a + b))."""
     return F.ceil((F.col(a) + F.col(b)) * F.lit(percent) / F.lit(100 + percent) - F.lit(1e-9))
 
@@ -108,115 +188,113 @@ def candidate_pairs(left: DataFrame, right: DataFrame, percent: int, apart: str)
         & (small * 100 >= large * percent)
         & (after >= _least_overlap("a.n", "b.n", percent))
     )
-    return a.join(b, met).select(F.least("a.doc", "b.doc").alias("a"), F.greatest("a.doc", "b.doc").alias("b")).distinct()
+    return a.join(b, met).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sketch: DataFrame, percent: int, width: int = 5) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough; each is tested once, and only texts of pairs that pass the suffix filter are moved."""
-    met = pairs.join(sketch.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("parts").alias("parts_a")), "a")
-    met = met.join(sketch.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("parts").alias("parts_b")), "b")
-    common = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, x: s + x)
-    kept = stored(met.filter(common >= _least_overlap("n_a", "n_b", percent)).select("a", "b").distinct(), "kept")
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough; each is tested once, and only sets of pairs that pass the suffix filter are moved."""
+    nodes = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "paired")
+    held = sets.join(broadcast_if_small(nodes), "node", "left_semi")
+    side = lambda x, *columns: held.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+    met = pairs.join(side("a", "n", "parts"), "a").join(side("b", "n", "parts"), "b")
+    common = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    kept = stored(met.filter(common >= _least_overlap("n_a", "n_b", percent)).select("a", "b"), "kept")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, one = None, None
         for batch in batches:
             passed = np.zeros(len(batch), bool)
-            ids, ours = batch.column("a").to_numpy(zero_copy_only=False), batch.column("text_a")
-            for i, other in shingle_sets(batch.column("text_b"), width):
-                if (key := (ids[i], ours[i].as_py())) != last:
-                    last, one = key, next(shingle_sets(ours[i : i + 1], width))[1]
-                both = len(np.intersect1d(one, other, assume_unique=True))
-                passed[i] = both * 100 >= percent * (len(one) + len(other) - both)
+            for i, (x, y) in enumerate(zip(batch.column("hashes_a"), batch.column("hashes_b"), strict=True)):
+                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                passed[i] = both * 100 >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(passed)) for c in (batch.column("a"), batch.column("b"))], names=["a", "b"])
 
-    ids = kept.select(F.col("a").alias("doc")).union(kept.select("b")).distinct()
-    held = docs.select(F.col("doc_id").alias("doc"), "text").join(broadcast_if_small(ids, BROADCAST_IDS), "doc", "left_semi")
-    full = kept.join(held.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
-    full = full.join(held.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
-    return full.select("a", "text_a", "b", "text_b").mapInArrow(run, "a long, b long").distinct()
-
+    full = kept.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b")
+    return full.select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a long, b long")
 
-def sketches(docs: DataFrame, ids: DataFrame, width: int = 5) -> DataFrame:
-    """(doc, n, parts) of the documents in ``ids``; parts: how many of its shingles fall into each of 64 hash ranges."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, parts = [], []
-            for _, hashes in shingle_sets(batch.column("text"), width):
-                sizes.append(len(hashes))
-                parts.append(np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=PARTS).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(parts, pa.list_(pa.int32()))], names=["doc", "n", "parts"])
+def similar_pairs(docs: DataFrame, summaries: DataFrame, percent: int, width: int) -> DataFrame:
+    """(a, b): links between nodes that connect what is similar; in a large group only as many as that takes."""
+    nodes = stored(shared_counts(docs, percent, width).filter("surplus >= 0").select("node"), "open")
+    sets = stored(open_sets(docs, summaries, nodes, width), "sets")
+    met = stored(rare_prefixes(sets, percent), "prefixes")
 
-    kept = docs.join(broadcast_if_small(ids, BROADCAST_IDS), "doc_id", "left_semi").select("doc_id", "text")
-    return stored(kept.mapInArrow(run, "doc long, n int, parts array<int>"), "sketches")
-
-
-def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id): per input row, the least doc_id that links lead to.
-
-    Documents link when their sets of ``width``-word shingles (A-Z lower-cased, split at
-    ASCII white space) have 100 * intersection >= ``percent`` * union; sets are compared
-    by 64-bit hashes. Fewer words than ``width`` form one shingle. Null, empty and blank
-    texts have empty sets and link with nothing. A null doc_id links with nothing and has
-    a null component_id. Rows of one doc_id are one document, linked through each of its
-    texts. An empty table gives no rows; other columns are not read.
-    """
-    bound_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    summaries, histogram = shingle_summaries(docs, width)
-    linkable = summaries.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = stored(linkable.groupBy("signature").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies")), "classes")
-    copies = linkable.join(broadcast_if_small(classes.filter("copies > 1"), BROADCAST_IDS), "signature").select("doc_id", "doc")
-    links = stored(copies.filter("doc_id <> doc").distinct().select(F.col("doc").alias("a"), F.col("doc_id").alias("b")), "copies")
-    # A document that copies a lesser one in one text may have another text of its own (repeated ids).
-    first = docs.filter("doc_id IS NOT NULL").join(broadcast_if_small(_only_copies(linkable, classes), BROADCAST_IDS), "doc_id", "left_anti")
-
-    # Tables in between are stored, so that the shuffle files behind them can go and joins may split hot tokens.
-    rows = prefix_rows(first, histogram, percent, width)
-    repeated = stored(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token"), "tokens")
-    met = stored(rows.join(repeated.hint("shuffle_hash"), "token"), "shared")
-    sketch = sketches(first, met.select(F.col("doc").alias("doc_id")).distinct(), width)
-
-    least = stored(met.groupBy("token").agg(F.min("doc").alias("least")), "least")
-    led = met.join(least.hint("shuffle_hash"), "token")
-    stars = stored(candidate_pairs(led.filter("doc <> least"), led.filter("doc = least"), percent, "doc"), "pairs")
-    near = stored(verified(stars, first, sketch, percent, width), "near")
+    leaders = met.groupBy("token").agg(F.min(F.struct("node", "n", "place")).alias("first"), F.count(F.lit(1)).alias("held")).filter("held > 1")
+    leaders = stored(leaders.select("token", "first.*"), "leaders")
+    stars = stored(candidate_pairs(met, leaders, percent, "node"), "stars")
+    near = stored(verified(stars, sets, percent), "near")
     grouped = stored(components(near), "groups")
 
     # Pairs across groups: of each token, the documents outside its largest group against all.
-    placed = met.alias("m").join(grouped.alias("g"), F.col("m.doc") == F.col("g.node"), "left").select(
-        "token", "doc", "n", "place", F.coalesce("component", "doc").alias("part")
-    )
+    placed = met.join(grouped, "node", "left").select("token", "node", "n", "place", F.coalesce("component", "node").alias("part"))
     placed = stored(placed, "placed")
     by_part = placed.groupBy("token", "part").agg(F.count(F.lit(1)).alias("held"))
-    largest = by_part.groupBy("token").agg(F.max_by("part", "held").alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    mixed_tokens = placed.join(largest, "token").drop("parts")
-    rest = candidate_pairs(mixed_tokens.filter("part <> main"), mixed_tokens, percent, "part")
+    largest = by_part.groupBy("token").agg(F.max_by("part", F.struct("held", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    mixed = stored(placed.join(stored(largest, "mixed").hint("shuffle_hash"), "token").drop("parts"), "across")
+    rest = candidate_pairs(mixed.filter("part <> main"), mixed, percent, "part")
     rest = stored(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    far = stored(verified(rest, first, sketch, percent, width), "far")
+    return near.unionByName(stored(verified(rest, sets, percent), "far"))
 
-    joined = components(links.unionByName(near).unionByName(far))
-    return (
-        summaries.drop("signature")
-        .join(joined, F.col("doc_id") == F.col("node"), "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    )
+
+def _members(found: DataFrame) -> DataFrame:
+    """(node, component) of all nodes that have links, the least of each component too."""
+    found = stored(found, "joined")
+    return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
 
 
-def _only_copies(linkable: DataFrame, classes: DataFrame) -> DataFrame:
-    """doc_ids all of whose texts stand first in no class of copies."""
-    return linkable.select("doc_id").distinct().join(classes.select(F.col("doc").alias("doc_id")), "doc_id", "left_anti")
+def _prepared(docs: DataFrame) -> DataFrame:
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return slim.withColumn("text_key", text_key())
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
+    """(doc_id, n_shingles, component_id): per input row, the least doc_id that links lead to.
+
+    Documents link when their sets of ``width``-word shingles (A-Z lower-cased, split at
+    ASCII white space) have 100 * intersection >= ``percent`` * union; shingles and sets
+    are compared by 64-bit hashes. Fewer words than ``width`` form one shingle. Null, empty
+    and blank texts have empty sets and link with nothing. A null doc_id links with nothing
+    and has a null component_id. Rows of one doc_id are one document, linked through each of
+    its texts. An empty table gives no rows; other columns are not read.
+    """
+    docs = _prepared(docs)
+    summaries = stored(set_summaries(docs, width), "summaries")
+    links = similar_pairs(docs, summaries, percent, width)
+    linkable = summaries.filter("n > 0 AND doc_id IS NOT NULL")
+    # The sets of one doc_id hang together, too.
+    of_id = linkable.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("most")).filter("a <> most")
+    own = linkable.select("doc_id", "node").join(of_id, "doc_id").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
+    joined = _members(components(links.unionByName(own)))
+    classes = linkable.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    placed = stored(classes.join(joined, "node", "left").filter("copies > 1 OR component IS NOT NULL").select("node", "first", F.coalesce("component", "node").alias("component")), "placed")
+    least = placed.groupBy("component").agg(F.min("first").alias("least"))
+    found = placed.join(least, "component").select("node", "least")
+    reached = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
+    return summaries.join(found, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), reached.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its group; rows without an id stay, repeated ids keep one row."""
-    found = near_duplicates(docs, percent, width)
-    fate = stored(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows")), "fates")
-    gone = fate.filter("component_id < doc_id").select("doc_id")
-    kept = docs.join(broadcast_if_small(gone, BROADCAST_IDS), "doc_id", "left_anti")
-    repeated = fate.filter("rows > 1 AND doc_id IS NOT NULL").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(again)
+    """The rows of ``docs`` with one of each group of similar texts, as they are.
+
+    The row of least doc_id stays, of one doc_id's texts the one of least hash. Rows that
+    repeat both id and text keep the one whose other columns hash lowest. A group goes by
+    the texts alone: another, unrelated text under the same doc_id stays. Rows without an
+    id or without words stay.
+    """
+    slim = _prepared(docs)
+    summaries = stored(set_summaries(slim, width), "summaries")
+    joined = _members(components(similar_pairs(slim, summaries, percent, width)))
+    rows = summaries.filter("n > 0 AND doc_id IS NOT NULL").groupBy("node", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows"))
+    rows = stored(rows.join(joined, "node", "left").select("doc_id", "text_key", "rows", F.coalesce("component", "node").alias("component")), "fates")
+    chosen = rows.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    gone = rows.join(chosen, "component").filter(F.struct("doc_id", "text_key") != F.col("first")).select("doc_id", "text_key")
+    keys = [F.col("doc_id").cast("long").alias("__id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__key")]
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *keys)
+    named = lambda df: df.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    kept = kept.join(broadcast_if_small(named(stored(gone, "gone"))), ["__id", "__key"], "left_anti")
+    repeated = named(rows.filter("rows > 1"))
+    if not repeated.isEmpty():
+        again = kept.join(repeated, ["__id", "__key"], "left_semi")
+        again = again.groupBy("__id", "__key").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
+        kept = kept.join(repeated, ["__id", "__key"], "left_anti").select("__row").unionByName(again.select("__row"))
+    return kept.select("__row.*")

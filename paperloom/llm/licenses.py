@@ -92,8 +92,6 @@ SPDX = r"(?i)SPDX-License-Identifier:[ \t]*((?-i)\(?[A-Za-z0-9.+-]*[A-Za-z0-9+]\
 # Names of licence files.
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice)(\.[a-z]+)?$"
 LEAST_COSINE = 0.6
-#: Directories with a licence are broadcast up to so many; beyond, the join shuffles.
-BROADCAST_DIRECTORIES = 200_000
 _TERM = r"[\p{L}\p{N}]+(?:\.[0-9]+)*"
 
 
@@ -189,7 +187,7 @@ def scan_licenses(files: DataFrame, id_column: str = "doc_id", least_cosine: flo
 
     bare = named.filter("license IS NULL AND path IS NOT NULL").select("path", "parts").distinct()
     steps = bare.select("path", F.posexplode(upwards).alias("depth", "directory"))
-    nearest = steps.join(broadcast_if_small(stored(directories, "directories"), BROADCAST_DIRECTORIES), "directory").groupBy("path").agg(
+    nearest = steps.join(broadcast_if_small(stored(directories, "directories")), "directory").groupBy("path").agg(
         F.max_by(F.struct("license", "cosine", "origin"), "depth").alias("up")
     )
     joined = known.filter("license IS NULL").join(nearest, "path", "left").select("id", "path", "up.license", "up.cosine", "up.origin")

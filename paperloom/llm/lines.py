@@ -14,14 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, bound_batches, broadcast_if_small, stored
+from .common import WORD, broadcast_if_small, stored
 
 #: Unit breaks by kind, and what joins units again.
 BREAKS = {"line": "\n", "paragraph": "\n\n"}
 #: An option for callers that leave shorter units alone, such as the registered query; by default every unit with a word counts.
 LEAST_WORDS = 10
-#: Keys of documents are broadcast up to so many; beyond, they are joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
 
 
 def normalised(unit: Column) -> Column:
@@ -63,7 +61,6 @@ def remove_units(docs: DataFrame, kind: str = "line", least_words: int = 1) -> D
     texts are empty, and empty texts have one empty unit, which stays; a text all of whose
     units go becomes empty. An empty table gives no rows; other columns are not read.
     """
-    bound_batches(docs.sparkSession)
     keyed = _keyed(docs)
     later = later_occurrences(keyed, kind, least_words)
     gone = stored(later.groupBy("key").agg(F.collect_set("place").alias("gone")), "gone")
@@ -82,7 +79,7 @@ def remove_units(docs: DataFrame, kind: str = "line", least_words: int = 1) -> D
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), spans, pa.array(texts, pa.string())], names=["doc_id", "n_units", "removed", "text"])
 
     spans = "array<struct<start:bigint,end:bigint>>"
-    ids = broadcast_if_small(gone.select("key"), BROADCAST_KEYS)
+    ids = broadcast_if_small(gone.select("key"))
     touched = keyed.join(ids, "key", "left_semi").join(gone.hint("shuffle_hash"), "key").select("doc_id", "text", "gone")
     changed = touched.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_units long, removed {spans}, text string")
     same = keyed.join(ids, "key", "left_anti").select(

@@ -18,8 +18,6 @@ from .common import WORD, broadcast_if_small, stored
 
 HASH_BITS = 60
 LEVEL_BITS = 12
-#: Thresholds are broadcast up to so many sources; beyond, the join shuffles.
-BROADCAST_SOURCES = 20_000
 
 
 def document_size(text: str = "text"):
@@ -67,7 +65,7 @@ def hash_thresholds(slim: DataFrame, targets: DataFrame, budgets: Sequence[float
     while True:
         shift -= LEVEL_BITS
         inside = slim.alias("d").join(
-            broadcast_if_small(edge, BROADCAST_SOURCES).alias("e"),
+            broadcast_if_small(edge).alias("e"),
             F.col("d.source").eqNullSafe(F.col("e.source")) & (F.shiftright("d.h", shift + LEVEL_BITS) == F.col("e.prefix")),
         )
         bucket = (
@@ -118,7 +116,7 @@ def mix(
         targets.alias("t").join(by_source.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left").select("t.source", "source_size", "target", "cuts"),
         "thresholds",
     )
-    joined = slim.alias("d").join(broadcast_if_small(plan, BROADCAST_SOURCES).alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
+    joined = slim.alias("d").join(broadcast_if_small(plan).alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
 
     def count(i: int, b: float):
         cut = F.col("cuts")[i]

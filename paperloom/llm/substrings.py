@@ -29,13 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, broadcast_if_small, stored
+from .common import broadcast_if_small, stored
 from .hashing import BLOCK_BYTES, mixed, running_sum, span_hashes, text_blocks
 
 LENGTH = 400
 GAP = 128
-#: Keys of documents are broadcast up to so many; beyond, they are joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -154,7 +152,7 @@ def repeated_starts(keyed: DataFrame, length: int = LENGTH, gap: int = GAP) -> D
     unsettled = strings.filter("n = 1").select("rank").distinct()
     asked = strings.join(unsettled, "rank", "left_semi").select("one.*", (F.col("n") == 1).alias("open"))
     asked = stored(asked.groupBy("key").agg(F.collect_list(F.struct("low", "high", "open")).alias("runs")), "asked")
-    held = keyed.select("key", "text").join(broadcast_if_small(asked.select("key"), BROADCAST_KEYS), "key", "left_semi").dropDuplicates(["key"])
+    held = keyed.select("key", "text").join(broadcast_if_small(asked.select("key")), "key", "left_semi").dropDuplicates(["key"])
     suffixes = stored(suffix_ranks(held.join(asked, "key"), length), "suffixes")
     shared = suffixes.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("rank")
     found = suffixes.filter("open").join(shared, "rank", "left_semi")
@@ -171,7 +169,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gap: int = GAP) -> Dat
     kept; an empty table gives no rows; other columns are not read. ``kept`` is binary, as
     a cut may fall inside a character. Strings are compared by 64-bit hashes.
     """
-    bound_batches(docs.sparkSession)
     keyed = _keyed(docs)
     starts = repeated_starts(keyed, length, gap)
     cuts = stored(starts.groupBy("key").agg(F.collect_set(F.struct("low", "high")).alias("starts")), "cuts")
@@ -191,7 +188,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gap: int = GAP) -> Dat
                 yield pa.RecordBatch.from_arrays([one.column("doc_id"), pa.array([len(text)], pa.int64()), spans, pa.array([text[~gone].tobytes()], pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    ids = broadcast_if_small(cuts.select("key"), BROADCAST_KEYS)
+    ids = broadcast_if_small(cuts.select("key"))
     touched = keyed.join(ids, "key", "left_semi").join(cuts, "key").select("doc_id", "text", "starts")
     touched = touched.mapInArrow(run, f"doc_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     whole = keyed.join(ids, "key", "left_anti").select(
