@@ -15,8 +15,9 @@ twice, so documents that can't have a partner leave first:
    before their sets are compared, once for each pair.
 
 Documents of one set are one node from the start. A large group of near copies would meet
-in all pairs, so each shared shingle first links its documents to one leader; after that,
-just the pairs whose documents aren't yet connected are left to be tried.
+in all pairs, so each shared shingle names a leader, the document whose prefix meets most
+others, and each document first tries the best of its leaders; after that, just the pairs
+whose documents aren't yet connected are left to be tried.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ PARTS = 64
 #: The longer prefix has a shingle more for each so many of the set.
 LONGER = 12
 #: Shingles that a task counts before it passes them on.
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 
 
 def _least_common(n, percent: int):
@@ -147,7 +148,10 @@ def open_sets(docs: DataFrame, summaries: DataFrame, nodes: DataFrame, width: in
 
 
 def rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, node, n, place) of each set's prefix, rarest shingle first, ties by hash; shingles of one set only are left out."""
+    """(token, node, n, place, weight) of each set's prefix, rarest shingle first, ties by hash; shingles of one set only are left out.
+
+    ``weight`` is how often the prefix's shingles occur in all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +172,8 @@ def rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
     # Shingles of one set only come first in it: they take places, but meet nothing.
     place = (F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("held", "token")) - 1).cast("int")
     least = F.ceil(F.col("n") * percent / 100 - F.lit(1e-9))
-    return met.select("token", "node", "n", place.alias("place")).filter(F.col("place") <= F.col("n") - least)
+    prefix = met.select("token", "node", "n", "held", place.alias("place")).filter(F.col("place") <= F.col("n") - least)
+    return prefix.select("token", "node", "n", "place", F.sum("held").over(own).alias("weight"))
 
 
 def _least_overlap(a: str, b: str, percent: int) -> Column:
@@ -176,8 +181,8 @@ def _least_overlap(a: str, b: str, percent: int) -> Column:
     return F.ceil((F.col(a) + F.col(b)) * F.lit(percent) / F.lit(100 + percent) - F.lit(1e-9))
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, percent: int, apart: str) -> DataFrame:
-    """Distinct (a, b), a < b, that share a prefix token, differ in ``apart`` and pass the length and positional filters."""
+def meetings(left: DataFrame, right: DataFrame, percent: int, apart: str) -> DataFrame:
+    """``left`` (as a) and ``right`` (as b) where they share a prefix token, differ in ``apart`` and pass the length and positional filters."""
     a, b = left.alias("a"), right.alias("b")
     small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
     after = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
@@ -188,7 +193,11 @@ def candidate_pairs(left: DataFrame, right: DataFrame, percent: int, apart: str)
         & (small * 100 >= large * percent)
         & (after >= _least_overlap("a.n", "b.n", percent))
     )
-    return a.join(b, met).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+    return a.join(b, met)
+
+
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -219,9 +228,11 @@ def similar_pairs(docs: DataFrame, summaries: DataFrame, percent: int, width: in
     sets = stored(open_sets(docs, summaries, nodes, width), "sets")
     met = stored(rare_prefixes(sets, percent), "prefixes")
 
-    leaders = met.groupBy("token").agg(F.min(F.struct("node", "n", "place")).alias("first"), F.count(F.lit(1)).alias("held")).filter("held > 1")
+    best = F.struct((-F.col("weight")).alias("order"), "node", "n", "place")
+    leaders = met.groupBy("token").agg(F.min(best).alias("first"), F.count(F.lit(1)).alias("held")).filter("held > 1")
     leaders = stored(leaders.select("token", "first.*"), "leaders")
-    stars = stored(candidate_pairs(met, leaders, percent, "node"), "stars")
+    led = meetings(met, leaders, percent, "node").groupBy("a.node").agg(F.min(F.struct("b.order", "b.node")).alias("best"))
+    stars = stored(led.select(*_pair("node", "best.node")).distinct(), "stars")
     near = stored(verified(stars, sets, percent), "near")
     grouped = stored(components(near), "groups")
 
@@ -231,7 +242,7 @@ def similar_pairs(docs: DataFrame, summaries: DataFrame, percent: int, width: in
     by_part = placed.groupBy("token", "part").agg(F.count(F.lit(1)).alias("held"))
     largest = by_part.groupBy("token").agg(F.max_by("part", F.struct("held", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     mixed = stored(placed.join(stored(largest, "mixed").hint("shuffle_hash"), "token").drop("parts"), "across")
-    rest = candidate_pairs(mixed.filter("part <> main"), mixed, percent, "part")
+    rest = meetings(mixed.filter("part <> main"), mixed, percent, "part").select(*_pair("a.node", "b.node")).distinct()
     rest = stored(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     return near.unionByName(stored(verified(rest, sets, percent), "far"))
 
