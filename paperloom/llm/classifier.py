@@ -16,9 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import WORD, stored
 from .hashing import text_blocks, words_in
 
 PASSAGE_WORDS = 64
@@ -26,8 +27,10 @@ TRIGRAM_SLOTS = 256
 WORD_SLOTS = 256
 #: Labelled documents of each class that the model is fitted on, at most.
 SAMPLE_PER_CLASS = 1500
-#: Passages of a document that take part in fitting, evenly spread over it, at most. Scoring takes all.
-FIT_PASSAGES = 32
+#: Passages of all of them together, at most: a document whose passages no longer fit in isn't taken into the sample.
+SAMPLE_PASSAGES = 30_000
+#: Passages that are scored at once.
+BLOCK = 2048
 HIDDEN, GATE = 24, 12
 EPOCHS, RATE, DECAY = 120, 0.02, 1e-3
 
@@ -75,6 +78,17 @@ def passage_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return np.concatenate([grams, kinds, shape], axis=1).astype(np.float32), begin
 
 
+def in_order(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The product in 64 bits with each sum taken in the order of the columns, so that a row's result doesn't depend on the rows around it."""
+    out = np.zeros((len(x), w.shape[1]))
+    w = w.astype(np.float64)
+    for start in range(0, len(x), BLOCK):
+        part, columns = out[start : start + BLOCK], np.ascontiguousarray(x[start : start + BLOCK].T, np.float64)
+        for column, weights in zip(columns, w, strict=True):
+            part += column[:, None] * weights
+    return out
+
+
 @dataclass
 class Model:
     mean: np.ndarray
@@ -87,23 +101,24 @@ class Model:
     score: np.ndarray
     score_bias: np.ndarray
 
-    def forward(self, features: np.ndarray, begin: np.ndarray) -> dict[str, np.ndarray]:
+    def forward(self, features: np.ndarray, begin: np.ndarray, times=np.matmul) -> dict[str, np.ndarray]:
         x = (features - self.mean) / self.scale
-        h = np.tanh(x @ self.encode + self.encode_bias)
-        t, s = np.tanh(h @ self.gate_tanh), 1 / (1 + np.exp(-(h @ self.gate_sigmoid)))
-        e = (t * s) @ self.attend
+        h = np.tanh(times(x, self.encode) + self.encode_bias)
+        t, s = np.tanh(times(h, self.gate_tanh)), 1 / (1 + np.exp(-times(h, self.gate_sigmoid)))
+        e = times(t * s, self.attend[:, None])[:, 0]
         sizes = np.diff(begin)
         e = np.exp(e - np.repeat(np.maximum.reduceat(e, begin[:-1]), sizes))
         a = e / np.repeat(np.add.reduceat(e, begin[:-1]), sizes)
         z = np.add.reduceat(a[:, None] * h, begin[:-1], axis=0)
-        p = 1 / (1 + np.exp(-np.clip(z @ self.score + self.score_bias, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(times(z, self.score[:, None])[:, 0] + self.score_bias, -30, 30)))
         return {"x": x, "h": h, "t": t, "s": s, "a": a, "z": z, "p": p}
 
     def scores(self, texts: pa.Array) -> np.ndarray:
+        """A score for each text, the same whatever other texts are scored with it."""
         out = np.zeros(len(texts))
         for row, end, data, offsets in text_blocks(texts):
             features, begin = passage_features(data, offsets)
-            out[row:end] = self.forward(features, begin)["p"]
+            out[row:end] = self.forward(features, begin, times=in_order)["p"]
         return out
 
 
@@ -151,8 +166,10 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> Model | float:
     """A model fitted to the labelled documents that aren't held out; the share of label 1 if there is only one class.
 
-    The sample takes the ``per_class`` ids of least hash of each class; losses are weighted
-    so that the classes count as in all labels. Ids with contradicting labels are left out.
+    The sample takes the ``per_class`` ids of least hash of each class, as far as all their
+    passages fit into ``SAMPLE_PASSAGES``; losses are weighted so that the classes count as
+    in all labels. Ids with contradicting labels are left out; of an id with several texts
+    the least text counts.
     """
     known = (
         labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
@@ -166,22 +183,25 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     for y in (0, 1):
         part = known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         sample = part if sample is None else sample.unionByName(part)
+    # A row per id of the sample, and never more.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    chosen = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    passages = F.greatest(F.ceil(F.regexp_count("text", F.lit(WORD)) / PASSAGE_WORDS), F.lit(1))
+    chosen = stored(chosen.withColumn("passages", passages), "sample")
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # over 2 * per_class ids at most
+    fits = chosen.select("doc_id", F.sum("passages").over(order).alias("upto")).filter(F.col("upto") <= SAMPLE_PASSAGES).select("doc_id")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, end, data, offsets in text_blocks(batch.column("text")):
                 features, begin = passage_features(data, offsets)
-                packed = []
-                for a, b in zip(begin[:-1], begin[1:], strict=True):
-                    kept = np.unique(np.linspace(a, b - 1, min(b - a, FIT_PASSAGES)).astype(int))
-                    packed.append(features[kept].tobytes())
+                packed = [features[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c).slice(row, end - row) for c in ("doc_id", "y")), pa.array(packed, pa.binary())], names=["doc_id", "y", "features"]
                 )
 
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text").mapInArrow(encode, "doc_id long, y int, features binary")
-    found = {r.doc_id: r for r in rows.collect()}  # bounded: 2 * per_class documents of FIT_PASSAGES passages at most
+    rows = chosen.join(F.broadcast(fits), "doc_id").select("doc_id", "y", "text").mapInArrow(encode, "doc_id long, y int, features binary")
+    found = {r.doc_id: r for r in rows.collect()}  # bounded: SAMPLE_PASSAGES passages of 2 * per_class documents at most
     ordered = [found[k] for k in sorted(found)]
     y = np.array([r.y for r in ordered], np.float32)
     if len(set(y.tolist())) < 2:

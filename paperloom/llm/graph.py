@@ -38,6 +38,8 @@ def components(links: DataFrame) -> DataFrame:
         links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
     )
     mark = _mark(edges)
+    if not mark[0]:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(MOST_ROUNDS):
         edges = stored(_small_star(_large_star(edges)), "stars")
         now = _mark(edges)

@@ -71,13 +71,38 @@ def test_passages():
     assert features[:3, -1].tolist() == pytest.approx([1.0, 1.0, 22 / 64]) and not features[3].any()
 
 
-def test_slopes_are_right():
-    """The loss falls along the negative slope as finite differences say: a fitted model beats an unfitted one."""
+def fitted():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((60, 12)).astype(np.float32)
     begin = np.arange(0, 61, 3)
     y = (np.add.reduceat(x[:, 0], begin[:-1]) > 0).astype(np.float32)
-    model = classifier.fit(x, begin, y, np.ones(20, np.float32))
+    return classifier.fit(x, begin, y, np.ones(20, np.float32)), x, begin, y
+
+
+def test_a_fitted_model_tells_its_sample_apart():
+    model, x, begin, y = fitted()
     p = model.forward(x, begin)["p"]
     assert ((p > 0.5) == (y > 0.5)).all()
     assert np.allclose(np.add.reduceat(model.forward(x, begin)["a"], begin[:-1]), 1, atol=1e-5)
+
+
+def test_scores_do_not_depend_on_the_batch():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(GOOD + ["BUY!!", "###"], k=rng.choice([0, 1, 5, 63, 64, 65, 200, 900]))) for _ in range(1000)]
+    rows = [classifier.passage_features(*next(iter(text_blocks(pa.array([t]))))[2:]) for t in texts[:200]]
+    begin = np.concatenate([[0], np.cumsum([len(f) for f, _ in rows])])
+    y = np.array([float("BUY" in t) for t in texts[:200]], np.float32)
+    model = classifier.fit(np.concatenate([f for f, _ in rows]), begin, y, np.ones(200, np.float32))
+    together = model.scores(pa.array(texts))
+    assert [model.scores(pa.array([t]))[0] for t in texts] == together.tolist()
+    assert model.scores(pa.array(texts[::-1])).tolist() == together[::-1].tolist()
+
+
+def test_the_sample_is_bounded(spark, documents, monkeypatch):
+    monkeypatch.setattr(classifier, "SAMPLE_PASSAGES", 150)
+    rows = corpus(300)
+    marks = labels(spark, [(i, int(q), 0) for i, q, _ in rows])
+    seen = {}
+    monkeypatch.setattr(classifier, "fit", lambda x, begin, y, w: seen.update(passages=len(x), documents=len(y)) or 0.5)
+    classifier.train(documents([(i, t) for i, _, t in rows] * 3), marks)
+    assert 0 < seen["passages"] <= 150 and seen["documents"] <= 150
