@@ -18,8 +18,6 @@ from .common import WORD, broadcast_if_small, stored
 
 #: Unit breaks by kind, and what joins units again.
 BREAKS = {"line": "\n", "paragraph": "\n\n"}
-#: An option for callers that leave shorter units alone, such as the registered query; by default every unit with a word counts.
-LEAST_WORDS = 10
 
 
 def normalised(unit: Column) -> Column:

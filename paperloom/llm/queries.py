@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .audio import decode_media, encode_texts
+from .audio import decode_media, encode_texts, with_pcm_features
 from .chat import format_chats, loss_text, read_chats
 from .classifier import score_quality
 from .common import stored, table
 from .decontaminate import find_overlaps
 from .jaccard import near_duplicates
 from .licenses import scan_licenses
-from .lines import LEAST_WORDS, remove_units
+from .lines import remove_units
 from .mixing import mix
 from .secrets import BASE_RULES, RULES, find_secrets, span_list
 from .substrings import remove_repeats
@@ -43,9 +43,13 @@ WITH turns AS (
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
 ), sized AS (
-  SELECT *, replace(replace(text, '\\', '\\\\'), '<|', '<\\|') AS escaped FROM turns
+  SELECT *, replace(replace(text, '\\', '\\\\'), '<|', '<\\|') AS escaped,
+    coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text), 'start') || '>' || role AS step,
+    lead(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS later
+  FROM turns
 )
-SELECT conv_id, count(*) AS n_turns,
+SELECT conv_id, bool_and(step IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user')) AND bool_or(later IS NULL AND role = 'assistant') AS valid,
+  count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
@@ -65,6 +69,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("loss", loss_text())
         .select(
             "conv_id",
+            "valid",
             F.size("turns").cast("long").alias("n_turns"),
             F.sha2(said, 256).alias("turns_sha256"),
             F.length("loss").cast("long").alias("loss_chars"),
@@ -132,8 +137,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=400, gap=128).select(
         "doc_id",
-        "n_bytes",
         (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        "n_bytes",
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
@@ -141,30 +146,25 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_telephony")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text as a mu-law, A-law or ADPCM file; the files and then their resampled PCM are stored, and each read back."""
     media = stored(encode_texts(table(spark, sf_dir, "documents")), "media", compression="zstd")
-    feature = F.concat_ws(
-        ",",
-        F.format_string("mu:%d/%d/%d", "mu_level", "mu_peak", "mu_turns"),
-        F.format_string("a:%d/%d", "a_level", "a_peak"),
-        F.format_string("adpcm:%d/%d", "adpcm_level", "adpcm_peak"),
-        F.format_string("pcm:%08x", F.crc32("pcm")),
-    )
-    found = decode_media(media)
+    found = with_pcm_features(stored(decode_media(media), "pcm", compression="zstd"))
+    feature = F.format_string("coding:%d,rate:%d,pcm:%d/%d/%d/%08x", "coding", "rate", "level", "peak", "turns", "pcm_crc32")
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
-_LINES_SQL = rf"""
+_LINES_SQL = r"""
 WITH units AS (
   SELECT doc_id, unnest(str_split(coalesce(text, ''), chr(10))) AS unit, generate_subscripts(str_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents
 ), clean AS (
-  SELECT *, trim(regexp_replace(lower(unit), '[ 	-]+', ' ', 'g')) AS norm FROM units
+  SELECT *, trim(regexp_replace(lower(unit), '[ 	-
+]+', ' ', 'g')) AS norm FROM units
 ), ranked AS (
-  SELECT *, len(regexp_extract_all(norm, '[^ 	-]+')) >= {LEAST_WORDS}
-      AND row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST, place) > 1 AS gone,
+  SELECT *, norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST, place) > 1 AS gone,
     coalesce(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
   FROM clean
 )
-SELECT doc_id, count(*) AS n_units, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
+SELECT doc_id, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
   coalesce(string_agg(CAST(CAST(pos AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(pos + length(unit) AS BIGINT) AS VARCHAR), ',' ORDER BY place) FILTER (gone), '') AS removed,
   coalesce(string_agg(unit, chr(10) ORDER BY place) FILTER (NOT gone), '') AS text
 FROM ranked GROUP BY doc_id
@@ -173,9 +173,9 @@ FROM ranked GROUP BY doc_id
 
 @query("op6_lines", _LINES_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_units(table(spark, sf_dir, "documents"), "line", LEAST_WORDS)
+    found = remove_units(table(spark, sf_dir, "documents"), "line")
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
-    return found.select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"), "text")
+    return found.select("doc_id", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"), "text")
 
 
 @query("op7_licenses")
