@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, stored
@@ -159,6 +159,16 @@ def repeated_starts(keyed: DataFrame, length: int = LENGTH, gap: int = GAP) -> D
     return spans.unionByName(found.select("key", F.col("at").alias("low"), F.col("at").alias("high")))
 
 
+def merged(starts: DataFrame, length: int) -> DataFrame:
+    """(key, low, high) with ranges joined whose strings of ``length`` bytes touch or overlap, so that a text has a row for each removed run."""
+    before = Window.partitionBy("key").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("key").orderBy("low", "high")
+    apart = F.coalesce(F.col("low") > F.max("high").over(before) + length, F.lit(True))
+    marked = starts.select("key", "low", "high", apart.cast("int").alias("apart"))
+    run = marked.select("key", "low", "high", F.sum("apart").over(upto).alias("run"))
+    return run.groupBy("key", "run").agg(F.min("low").alias("low"), F.max("high").alias("high")).select("key", "low", "high")
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gap: int = GAP) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): per input row, the removed byte runs (start, end) and the bytes left.
 
@@ -171,7 +181,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gap: int = GAP) -> Dat
     """
     keyed = _keyed(docs)
     starts = repeated_starts(keyed, length, gap)
-    cuts = stored(starts.groupBy("key").agg(F.collect_set(F.struct("low", "high")).alias("starts")), "cuts")
+    cuts = stored(merged(starts, length).groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("starts")), "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
