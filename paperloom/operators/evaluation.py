@@ -59,11 +59,33 @@ def decision_scores(decisions: DataFrame, expected: DataFrame, case: str = "case
 
 
 def leaks(texts: DataFrame, fragments: DataFrame, text: str = "text", fragment: str = "fragment") -> DataFrame:
-    """(texts, leaking): how many texts hold a fragment, without regard to case. ``fragments`` is a short list."""
-    listed = F.broadcast(fragments.agg(F.collect_set(F.lower(fragment)).alias("__fragments")))  # one row
-    joined = texts.join(listed)
-    leaking = F.exists("__fragments", lambda f: F.contains(F.lower(F.coalesce(text, F.lit(""))), f))
-    return joined.agg(F.count(F.lit(1)).alias("texts"), F.count_if(leaking).alias("leaking"))
+    """(texts, leaking): how many texts hold a fragment, without regard to case. Blank fragments are in every text.
+
+    A fragment's inner words are whole words of any text that holds it, so its longest pair
+    of neighbouring inner words is its seed: texts and fragments meet by a join of seeds,
+    and only pairs that met are compared. Fragments without such a pair are looked for in
+    each text; they are phrases of a few words.
+    """
+    asked = fragments.select(F.lower(fragment).alias("fragment")).filter("fragment IS NOT NULL").distinct()
+    inner = F.regexp_extract_all("fragment", F.lit(r"(?<=\s)\S+(?=\s)"), F.lit(0))
+    pairs = _word_pairs(inner)
+    seeded = asked.select("fragment", F.xxhash64(F.array_max(F.transform(pairs, lambda p: F.struct(F.length(p).alias("n"), p.alias("seed"))))["seed"]).alias("seed"), (F.size(pairs) > 0).alias("long"))
+    lowered = texts.select(F.lower(F.coalesce(text, F.lit(""))).alias("text"))
+    words = F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))
+    seeds = lowered.select("text", F.explode_outer(F.array_distinct(F.transform(_word_pairs(words), lambda p: F.xxhash64(p)))).alias("seed"))
+    held = lambda f: F.contains(F.col("text"), f)
+    by_seed = seeds.join(seeded.filter("long"), "seed").filter(held(F.col("fragment"))).select(F.xxhash64("text").alias("found"), F.length("text").alias("size"))
+    short = lowered.join(seeded.filter("NOT long").select("fragment"), held(F.col("fragment")), "left_semi").select(F.xxhash64("text").alias("found"), F.length("text").alias("size"))
+    marked = by_seed.unionByName(short).distinct()
+    keyed = lowered.select(F.xxhash64("text").alias("found"), F.length("text").alias("size"))
+    leaking = keyed.join(marked, ["found", "size"], "left_semi").agg(F.count(F.lit(1)).alias("leaking"))
+    return keyed.agg(F.count(F.lit(1)).alias("texts")).join(leaking)  # one row each
+
+
+def _word_pairs(words: Column) -> Column:
+    """Neighbouring words, joined by a space."""
+    after = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
+    return F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), after, lambda a, b: F.concat(a, F.lit(" "), b))
 
 
 def gates(metrics: DataFrame, limits: dict[str, tuple[str, float]]) -> DataFrame:

@@ -88,6 +88,17 @@ def import_errors(rows: DataFrame, members: DataFrame) -> DataFrame:
     return own.unionByName(duplicate).unionByName(known).orderBy("row_number", rank, "message")
 
 
+def messages_by_field(errors: DataFrame, by: list[str] = (), order: str | None = None) -> DataFrame:
+    """(by..., fields): a map from each field to its messages, by ``order`` and then message; one row in all without ``by``.
+
+    ``errors`` has (field, message); null fields count as "".
+    """
+    item = F.struct(*([F.col(order).alias("at")] if order else []), F.col("message").alias("message"))
+    lists = errors.groupBy(*by, F.coalesce("field", F.lit("")).alias("field")).agg(F.sort_array(F.collect_list(item)).alias("said"))
+    entry = F.struct("field", F.transform("said", lambda x: x["message"]).alias("messages"))
+    return lists.groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("fields"))
+
+
 def import_members(cells: DataFrame, members: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """(members after the import, errors): with any error nothing is taken in."""
     problems = cells.filter("problem IS NOT NULL").select(F.lit(0).alias("row_number"), F.lit("file").alias("field"), F.col("problem").alias("message"))

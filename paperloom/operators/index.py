@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
 
 TOP = 5
-#: Queries are broadcast up to so many; more are searched in blocks of so many.
+#: More queries than that are searched in blocks of about as many.
 QUERY_BLOCK = 2_000
 
 
@@ -36,26 +40,70 @@ def wrong_size(index: DataFrame, size: int, vector: str = "embedding") -> DataFr
     return index.filter(F.coalesce(F.size(vector), F.lit(-1)) != size)
 
 
-def search(queries: DataFrame, index: DataFrame, keep: Column | None = None, least: float | None = None, top: int = TOP, query_id: str = "query_id", point: str = "point_id") -> DataFrame:
+def search(queries: DataFrame, index: DataFrame, keep: Column | None = None, least: float | None = None, top: int = TOP, query_id: str = "query_id", point: str = "point_id", but: Column | None = None) -> DataFrame:
     """(query_id, point, score, rank): the best points of each query, exactly, by cosine and then id.
 
-    ``queries`` has (query_id, query), ``index`` an ``embedding``. Points are filtered
-    before they are scored. A block of queries is broadcast and every point is read once
-    for it; each task keeps its own best before anything is shuffled.
+    ``queries`` has (query_id, query), ``index`` an ``embedding``; ids are unique. Points
+    are filtered before they are scored, pairs by ``but`` before they are ranked. A block
+    of queries is a matrix: each batch of points is multiplied by it once and passes on
+    its best pairs, ties included, whose cosine is then taken in double precision.
     """
     points = index if keep is None else index.filter(keep)
-    asked = queries.select(query_id, "query")
+    slim = points.select(F.col(point).alias("point"), "embedding")
+    asked = queries.select(F.col(query_id).alias("asked"), "query")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    # A pair that ``but`` leaves out takes no place of another one.
+    spare = top if but is None else top + 1
     found = None
     for block in range(blocks):
-        part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block)
-        scored = points.select(point, "embedding").join(F.broadcast(part)).select(query_id, point, cosine(F.col("query"), F.col("embedding")).alias("score"))
-        if least is not None:
-            scored = scored.filter(F.col("score") >= least)
-        found = scored if found is None else found.unionByName(scored)
+        part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("asked"), F.lit(blocks)) == block)
+        rows = part.toArrow()  # a block of queries, QUERY_BLOCK or about as many
+        if rows.num_rows:
+            kinds = f"asked {dict(asked.dtypes)['asked']}, point {dict(slim.dtypes)['point']}"
+            pairs = slim.mapInArrow(_best_pairs(rows.column("asked").combine_chunks(), rows.column("query").to_pylist(), spare), kinds)
+            found = pairs if found is None else found.unionByName(pairs)
+    if found is None:
+        found = slim.join(asked, F.lit(False)).select("asked", "point")
+    scored = found.join(slim, "point").join(asked, "asked").select(F.col("asked").alias(query_id), F.col("point").alias(point), cosine(F.col("query"), F.col("embedding")).alias("score"))
+    if but is not None:
+        scored = scored.filter(~but)
+    if least is not None:
+        scored = scored.filter(F.col("score") >= least)
     best = Window.partitionBy(query_id).orderBy(F.col("score").desc(), F.col(point))
-    # A rank filter over a window is limited within each task first.
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
+    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
+
+
+#: Scores of a matrix product that are so near count as ties.
+NEAR = 1e-9
+
+
+def _unit(vectors: list) -> np.ndarray:
+    x = np.array(vectors, np.float64)
+    size = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+
+def _best_pairs(ids: pa.Array, vectors: list, top: int):
+    """A function over batches of (point, embedding): pairs that may be among the best ``top`` of a query."""
+    wide = {len(v) for v in vectors if v is not None}
+    if len(wide) > 1 or any(v is None for v in vectors):
+        raise ValueError("queries have vectors of one size")
+    matrix = _unit(vectors)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("embedding").value_lengths().fill_null(0).to_numpy()
+            fits = np.flatnonzero(sizes == matrix.shape[1])
+            if not len(fits):
+                continue
+            points = batch.take(pa.array(fits))
+            scores = matrix @ _unit(points.column("embedding").flatten().to_numpy().reshape(len(fits), -1)).T
+            k = min(top, len(fits))
+            edge = np.partition(scores, len(fits) - k, axis=1)[:, len(fits) - k]
+            query, at = np.nonzero(scores >= edge[:, None] - NEAR)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), points.column("point").take(pa.array(at))], names=["asked", "point"])
+
+    return run
 
 
 def revalidated(hits: DataFrame, sources: DataFrame, columns: list[str], current: list[str] = ()) -> DataFrame:

@@ -16,9 +16,18 @@ def inserted(rows: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     return rows.unionByName(stamped.select(*[c for c in rows.columns if c in stamped.columns]), allowMissingColumns=True)
 
 
-def patched(rows: DataFrame, patches: DataFrame, columns: list[str], now: Column | None = None, key: str = "id") -> DataFrame:
-    """Sparse update: ``patches`` has the key and pairs has_x, x. A present null clears, an absent column stays."""
-    side = patches.select(F.col(key).alias("__key"), F.lit(True).alias("__hit"), *[F.col(c).alias(f"__{c}") for p in columns for c in (p, f"has_{p}")])
+def one_per_key(rows: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+    """The last row of each key by ``order``; ties, and all without an order, go to the greatest row, column by column."""
+    whole = F.struct(*([F.col(order).alias("__order")] if order else []), *rows.columns)
+    return rows.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(F.max(whole).alias("__last")).select(*[F.col("__last")[c].alias(c) for c in rows.columns])
+
+
+def patched(rows: DataFrame, patches: DataFrame, columns: list[str], now: Column | None = None, key: str = "id", order: str | None = None) -> DataFrame:
+    """Sparse update: ``patches`` has the key and pairs has_x, x. A present null clears, an absent column stays.
+
+    A key given twice takes its last patch as of ``one_per_key``.
+    """
+    side = one_per_key(patches, [key], order).select(F.col(key).alias("__key"), F.lit(True).alias("__hit"), *[F.col(c).alias(f"__{c}") for p in columns for c in (p, f"has_{p}")])
     joined = rows.join(side, F.col(key) == F.col("__key"), "left")
     out = {c: F.when(F.coalesce(F.col(f"__has_{c}"), F.lit(False)), F.col(f"__{c}")).otherwise(F.col(c)) for c in columns}
     if now is not None:
@@ -42,8 +51,9 @@ def insert_absent(rows: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return rows.unionByName(new.dropDuplicates(key).join(rows.select(*key), key, "left_anti").select(*rows.columns))
 
 
-def upserted(rows: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """The new rows take the place of those with their keys."""
+def upserted(rows: DataFrame, new: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+    """The new rows take the place of those with their keys; a key given twice comes in once, as of ``one_per_key``."""
+    new = one_per_key(new, key, order)
     return rows.join(new.select(*key), key, "left_anti").select(*rows.columns).unionByName(new.select(*rows.columns))
 
 

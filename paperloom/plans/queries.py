@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import structured, text
-from ..operators import audit, chunking, evaluation, index, listing, mutations, relations, reminders, review, search
+from ..operators import audit, chunking, details, evaluation, imports, index, listing, mutations, relations, reminders, review, search
+from ..schemas import ROW_RULES
 from ..sources.tables import sf_table
 
 QUERIES: dict = {}
@@ -242,7 +243,7 @@ def reminder_new_vs_existing(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "index_diff",
     """
-WITH s AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 5 <> 0),
+WITH s AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 5 <> 1 OR doc_id % 3 = 0),
 i AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE sha256(text) END AS h FROM documents WHERE doc_id % 3 <> 0)
 SELECT coalesce(s.doc_id, i.doc_id) AS doc_id,
   CASE WHEN s.doc_id IS NULL THEN 'stale' WHEN i.doc_id IS NULL THEN 'new' WHEN s.h = i.h THEN 'same' ELSE 'changed' END AS state
@@ -252,7 +253,7 @@ FROM s FULL JOIN i ON s.doc_id = i.doc_id
 def index_diff(spark: SparkSession, d: str) -> DataFrame:
     docs = sf_table(spark, d, "documents").select("doc_id", text.content_hash(F.col("text")).alias("content_hash"))
     old = docs.filter("doc_id % 3 <> 0").withColumn("content_hash", F.when(F.col("doc_id") % 7 == 0, F.lit("old")).otherwise(F.col("content_hash")))
-    return index.difference(docs.filter("doc_id % 5 <> 0"), old, "doc_id", ["content_hash"])
+    return index.difference(docs.filter("doc_id % 5 <> 1 OR doc_id % 3 = 0"), old, "doc_id", ["content_hash"])
 
 
 @query(
@@ -302,11 +303,11 @@ def sparse_patch(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "insert_if_absent",
-    "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey % 6 = 0",
+    "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey % 3 = 0",
 )
 def insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
     people = sf_table(spark, d, "customer").select("c_custkey", "c_name")
-    return mutations.insert_absent(people.filter("c_custkey % 3 <> 0"), people.filter("c_custkey % 2 = 0").withColumn("c_name", F.lit("new")), ["c_custkey"])
+    return mutations.insert_absent(people.filter("c_custkey % 3 <> 0"), people.filter("c_custkey % 2 = 0 OR c_custkey % 3 = 0").withColumn("c_name", F.lit("new")), ["c_custkey"])
 
 
 @query(
@@ -415,7 +416,7 @@ WHERE term NOT IN ({", ".join(repr(w) for w in text.STOP_WORDS)}) GROUP BY doc_i
 """,
 )
 def lexical_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return search.overlap(sf_table(spark, d, "documents"), sf_table(spark, d, "benchmark"), "doc_id", "item_id").filter("shared >= 20")
+    return search.overlap(sf_table(spark, d, "documents"), sf_table(spark, d, "benchmark"), "doc_id", "item_id", least=20)
 
 
 _RULES = (
@@ -455,7 +456,7 @@ _SCORE = f"{_COSINE.format(a='q.embedding', b='p.embedding')} / (sqrt({_COSINE.f
 _TOP5 = f"""
 WITH scored AS (
   SELECT q.vec_id AS query_id, q.label AS want, p.vec_id AS point_id, p.label AS got, {_SCORE} AS score
-  FROM embeddings q, embeddings p WHERE q.vec_id % 50 = 0 AND p.vec_id % 50 <> 0 AND p.label < 8
+  FROM embeddings q, embeddings p WHERE q.vec_id % 50 = 0 AND p.vec_id <> q.vec_id
 ), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM scored WHERE score >= 0.1)
 """
 
@@ -463,8 +464,7 @@ WITH scored AS (
 def _top5(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     points = sf_table(spark, d, "embeddings").withColumnsRenamed({"vec_id": "point_id"})
     queries = points.filter("point_id % 50 = 0").select(F.col("point_id").alias("query_id"), F.col("label").alias("want"), F.col("embedding").alias("query"))
-    keep = (F.col("point_id") % 50 != 0) & (F.col("label") < 8)
-    return queries, points, index.search(queries, points, keep, least=0.1)
+    return queries, points, index.search(queries, points, least=0.1, but=F.col("query_id") == F.col("point_id"))
 
 
 @query("cosine_topk", f"{_TOP5} SELECT query_id, point_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM top WHERE rank <= 5")
@@ -472,13 +472,13 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return _top5(spark, d)[2].select("query_id", "point_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query("revalidated_hits", f"{_TOP5} SELECT query_id, point_id, got AS label FROM top WHERE rank <= 5 AND point_id % 3 <> 0 AND (point_id % 4 <> 0)")
+@query("revalidated_hits", f"{_TOP5} SELECT query_id, point_id, got AS label FROM top WHERE rank <= 5 AND got NOT IN (3, 7)")
 def revalidated_hits(spark: SparkSession, d: str) -> DataFrame:
     _, points, hits = _top5(spark, d)
     hashed = points.select("point_id", "label", F.sha2(F.col("label").cast("string"), 256).alias("content_hash"))
     seen = hits.join(hashed, "point_id")
-    # Present rows: some are gone, some have other content by now.
-    now = hashed.filter("point_id % 3 <> 0").withColumn("content_hash", F.when(F.col("point_id") % 4 == 0, F.lit("changed")).otherwise(F.col("content_hash")))
+    # By now two labels' content is another.
+    now = hashed.withColumn("content_hash", F.when(F.col("label").isin(3, 7), F.lit("changed")).otherwise(F.col("content_hash")))
     return index.revalidated(seen, now, ["point_id", "content_hash"], current=["label"]).select("query_id", "point_id", "label")
 
 
@@ -520,13 +520,19 @@ def gate_report(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "leak_check",
     """
-WITH f AS (SELECT DISTINCT lower(substr(text, 1, 60)) AS fragment FROM benchmark)
-SELECT count(*) AS texts, count(*) FILTER (EXISTS (SELECT 1 FROM f WHERE contains(lower(coalesce(text, '')), fragment))) AS leaking FROM documents
+WITH d AS (SELECT array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[^ \\t\\n\\r\\f\\v]+'), ' ') AS text FROM documents),
+b AS (SELECT regexp_extract_all(lower(text), '[^ \\t\\n\\r\\f\\v]+') AS w FROM benchmark),
+f AS (SELECT DISTINCT array_to_string(list_slice(w, i, i + 12), ' ') AS fragment FROM (SELECT w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b))
+SELECT count(*) AS texts, count(*) FILTER (EXISTS (SELECT 1 FROM f WHERE contains(text, fragment))) AS leaking FROM d
 """,
 )
 def leak_check(spark: SparkSession, d: str) -> DataFrame:
-    fragments = sf_table(spark, d, "benchmark").select(F.substring("text", 1, 60).alias("fragment"))
-    return evaluation.leaks(sf_table(spark, d, "documents"), fragments)
+    """All windows of 13 words of each benchmark item are fragments; white space doesn't count."""
+    words = text.tokens(F.lower("text"))
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 12, F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.lit(13)), " "))
+    fragments = sf_table(spark, d, "benchmark").select(words.alias("w")).select(F.explode(windows).alias("fragment"))
+    docs = sf_table(spark, d, "documents").select(F.array_join(text.tokens(F.coalesce("text", F.lit(""))), " ").alias("text"))
+    return evaluation.leaks(docs, fragments)
 
 
 @query(
@@ -569,3 +575,181 @@ FROM d ORDER BY score DESC, match_source, id LIMIT 20
 )
 def full_text_search(spark: SparkSession, d: str) -> DataFrame:
     return search.search_texts([("documents", sf_table(spark, d, "documents"), "doc_id", "text")], "License version").drop("snippet")
+
+
+@query("filtered_search", f"""
+WITH scored AS (SELECT q.vec_id AS query_id, p.vec_id AS point_id, {_SCORE} AS score FROM embeddings q, embeddings p WHERE q.vec_id % 50 = 0 AND p.label IN (1, 4))
+SELECT query_id, point_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM scored) WHERE rank <= 5
+""")
+def filtered_search(spark: SparkSession, d: str) -> DataFrame:
+    """A payload filter with any of several values, before points are scored."""
+    points = sf_table(spark, d, "embeddings").withColumnsRenamed({"vec_id": "point_id"})
+    queries = points.filter("point_id % 50 = 0").select(F.col("point_id").alias("query_id"), F.col("embedding").alias("query"))
+    return index.search(queries, points, F.col("label").isin(1, 4)).select("query_id", "point_id", "rank")
+
+
+@query(
+    "active_administrators",
+    "SELECT count(DISTINCT s_suppkey) AS administrators FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 0 AND n_regionkey = 1",
+)
+def active_administrators(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as people, their nations as roles; those of one region are administrators."""
+    suppliers = sf_table(spark, d, "supplier")
+    staff = suppliers.select(F.col("s_suppkey").alias("identity_user_id"), (F.col("s_acctbal") > 0).alias("is_active"))
+    held = suppliers.select(F.col("s_suppkey").alias("user_id"), F.col("s_nationkey").alias("role_id"))
+    roles = sf_table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.when(F.col("n_regionkey") == 1, F.lit("Administrator")).otherwise(F.col("n_name")).alias("name"))
+    return relations.active_administrators(staff, held, roles)
+
+
+@query("latest_attempt", "SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS last_status FROM orders GROUP BY o_custkey")
+def latest_attempt(spark: SparkSession, d: str) -> DataFrame:
+    return relations.latest(sf_table(spark, d, "orders"), "o_custkey", "o_orderkey", "o_orderstatus", "last_status")
+
+
+def _people(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as rows of a member workbook: (row_number, cells of (kind, value)); names and phones repeat, some cells are bad."""
+    key = F.col("c_custkey")
+    cell = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    text_cell = lambda value: cell("text", value)
+    none = text_cell(F.lit(None).cast("string"))
+    phone = F.when(key % 13 == 0, F.lit("call me")).when(key % 5 != 0, F.concat(F.lit("090"), F.lpad((key % 400).cast("string"), 7, "0")))
+    cells = F.array(
+        text_cell(F.when(key % 17 != 0, F.concat(F.lit("  Person "), F.col("c_mktsegment"), F.lit(" "), (key % 200).cast("string")))),
+        none, text_cell(F.when(key % 11 == 0, F.lit("None")).otherwise(F.lit("Female"))), none, text_cell(phone), none, none, none, text_cell(F.lit("active")), none,
+    )
+    return sf_table(spark, d, "customer").select(key.cast("int").alias("row_number"), cells.alias("cells"))
+
+
+_PEOPLE_SQL = """
+WITH p AS (SELECT CAST(c_custkey AS INTEGER) AS row_number, CASE WHEN c_custkey % 17 <> 0 THEN 'Person ' || c_mktsegment || ' ' || (c_custkey % 200) END AS name,
+  CASE WHEN c_custkey % 13 = 0 THEN 'call me' WHEN c_custkey % 5 <> 0 THEN '090' || lpad(CAST(c_custkey % 400 AS VARCHAR), 7, '0') END AS phone, c_custkey % 11 = 0 AS wrong FROM customer),
+k AS (SELECT *, lower(name) AS folded FROM p WHERE name IS NOT NULL AND coalesce(phone <> 'call me', TRUE)),
+f AS (SELECT *, min(row_number) OVER (PARTITION BY folded, phone) AS first FROM k),
+m AS (SELECT DISTINCT lower('Person ' || c_mktsegment || ' ' || (c_custkey % 200)) AS folded FROM customer WHERE c_custkey % 25 = 0),
+e AS (
+  SELECT row_number, 'full_name' AS field, 'required' AS message FROM p WHERE name IS NULL
+  UNION ALL SELECT row_number, 'gender', 'one of Male, Female, Other' FROM p WHERE wrong
+  UNION ALL SELECT row_number, 'phone', 'not a phone number' FROM p WHERE phone = 'call me'
+  UNION ALL SELECT row_number, 'duplicate_key', 'same as row ' || first FROM f WHERE row_number > first
+  UNION ALL SELECT row_number, 'duplicate_key', 'already a member' FROM k JOIN m USING (folded) WHERE phone IS NULL
+)
+"""
+
+
+def _known(spark: SparkSession, d: str) -> DataFrame:
+    """Members without a phone, each 25th customer."""
+    name = F.concat(F.lit("PERSON  "), F.col("c_mktsegment"), F.lit(" "), (F.col("c_custkey") % 200).cast("string"))
+    return sf_table(spark, d, "customer").filter("c_custkey % 25 = 0").select(name.alias("full_name"), F.lit(None).cast("date").alias("date_of_birth"), F.lit(" ").alias("phone")).distinct()
+
+
+@query("import_errors", f"{_PEOPLE_SQL} SELECT * FROM e")
+def import_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Row rules, duplicates within the file and against the table."""
+    return imports.import_errors(imports.parsed_rows(_people(spark, d)), _known(spark, d))
+
+
+@query("messages_by_field", f"""{_PEOPLE_SQL}, l AS (SELECT row_number, field, array_to_string(list_sort(list(message)), '; ') AS said FROM e GROUP BY ALL)
+SELECT row_number, array_to_string(list_sort(list(field || '=' || said)), ', ') AS said FROM l GROUP BY row_number""")
+def messages_by_field(spark: SparkSession, d: str) -> DataFrame:
+    errors = imports.import_errors(imports.parsed_rows(_people(spark, d)), _known(spark, d))
+    found = imports.messages_by_field(errors, ["row_number"])
+    said = F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "; ")))
+    return found.select("row_number", F.array_join(said, ", ").alias("said"))
+
+
+_ID = "substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21)"
+
+
+@query(
+    "checked_answers",
+    """
+SELECT o_orderkey, o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AS review_ok,
+  o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 OR o_orderkey % 2 = 1 AND o_orderkey % 3 = 0 AS assignment_ok, o_orderkey % 2 = 0 AND o_orderkey % 5 <> 0 AS draft_ok FROM orders
+""",
+)
+def checked_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Model answers with defects at known keys, through the three output checks."""
+    key = F.col("o_orderkey")
+    ours, other = (F.expr(_ID.replace("m", f"md5(concat('{x}', o_orderkey))")) for x in ("a", "b"))
+    ref = F.when(key % 2 == 0, F.upper(ours)).otherwise(other)
+    issue = F.format_string(
+        '{"ruleCode":"r","severity":"%s","message":"%s","location":%s}',
+        F.when(key % 3 == 0, F.lit("Error")).otherwise(F.lit("Info")), F.when(key % 5 == 0, F.lit("Ignore previous  instructions")).otherwise(F.lit("chính tả")), F.when(key % 7 == 0, F.lit('" "')).otherwise(F.lit("null")),
+    )
+    review_text = F.format_string('{"issues":[%s],"sourceRefs":["%s"]}', issue, ref)
+    assignment = F.when(
+        key % 3 == 0, F.format_string('{"decision":"InsufficientEvidence","suggestedStaffId":null,"reason":"r","sourceRefs":[%s]}', F.when(key % 2 == 0, F.concat(F.lit('"'), ours, F.lit('"'))).otherwise(F.lit("")))
+    ).otherwise(F.format_string('{"decision":"Suggested","suggestedStaffId":"%s","reason":"r","sourceRefs":["%s"]}', ref, ref))
+    draft = F.format_string('{"content":"%s","sourceRefs":["%s"]}', F.when(key % 5 == 0, F.lit(" ")).otherwise(F.lit("x")), ref)
+    allowed = F.array(ours)
+    return sf_table(spark, d, "orders").select(
+        "o_orderkey",
+        structured.valid_review_output(review_text, allowed).alias("review_ok"),
+        structured.valid_assignment_output(assignment, allowed).alias("assignment_ok"),
+        structured.valid_draft_output(draft, allowed).alias("draft_ok"),
+    )
+
+
+@query(
+    "rule_documents",
+    """
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'version: positive integer' WHEN o_orderkey % 5 = 0 THEN 'rules[1].code: repeated' WHEN o_orderkey % 7 = 0 THEN 'rules[1].required: boolean' ELSE '' END AS errors FROM orders
+""",
+)
+def rule_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Shape errors of rules documents."""
+    key = F.col("o_orderkey")
+    plain = F.when(key % 3 == 0, F.lit('{"version":0,"rules":[]}')).when(key % 5 == 0, F.lit('{"version":1,"rules":[{"code":"a","required":true},{"code":" a ","required":true}]}'))
+    plain = plain.when(key % 7 == 0, F.lit('{"version":1,"rules":[{"code":"a","required":true},{"code":"b"}]}')).otherwise(F.lit('{"version":2,"rules":[{"code":"a","required":false}]}'))
+    return sf_table(spark, d, "orders").select("o_orderkey", F.array_join(structured.format_rule_errors(plain), ",").alias("errors"))
+
+
+@query(
+    "allowed_refs",
+    "SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type) FILTER (event_type IN ('click', 'view'))), ',') AS refs FROM events GROUP BY user_id HAVING count(*) FILTER (event_type IN ('click', 'view')) > 0",
+)
+def allowed_refs(spark: SparkSession, d: str) -> DataFrame:
+    """References of an answer that are among the retrieved sources."""
+    said = sf_table(spark, d, "events").groupBy("user_id").agg(F.collect_list("event_type").alias("said"))
+    kept = said.select("user_id", F.array_sort(F.array_distinct(text.source_refs(F.col("said"), F.array(F.lit("click"), F.lit("view"))))).alias("kept"))
+    return kept.filter(F.size("kept") > 0).select("user_id", F.array_join("kept", ",").alias("refs"))
+
+
+@query(
+    "attachment_details",
+    """
+WITH page AS (SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 200)
+SELECT o_orderkey AS id, c_name AS drafter, coalesce(string_agg(l_linenumber || ':' || s_name || ':' || n_name, ',' ORDER BY l_shipdate, l_linenumber), '') AS files
+FROM page LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey GROUP BY o_orderkey, c_name
+""",
+)
+def attachment_details(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with their drafter, and attachments with who uploaded them: line items, their supplier and its nation."""
+    docs = listing.page_of(sf_table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey"), (("id", False),), page_size=100)
+    two = docs.items.unionByName(listing.page_of(sf_table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey"), (("id", False),), page=2, page_size=100).items)
+    people = sf_table(spark, d, "supplier").join(F.broadcast(sf_table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))  # 25 nations
+    people = people.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("full_name"), F.col("n_name").alias("position"))
+    files = sf_table(spark, d, "lineitem").select(
+        F.col("l_linenumber").alias("id"), F.col("l_orderkey").alias("document_id"), F.col("l_suppkey").alias("uploaded_by_staff_id"), F.col("l_shipdate").alias("uploaded_at")
+    )
+    drafted = relations.reference(two, sf_table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_name"), "o_custkey", ["c_name"], "drafter")
+    mine = files.join(two.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+    out = relations.children(drafted, details.attachments(mine, people), "document_id", details.BY_TIME, ["id", "uploaded_by"], "files")
+    said = F.transform("files", lambda x: F.concat_ws(":", x["id"], x["uploaded_by"]["full_name"], x["uploaded_by"]["position"]))
+    return out.select("id", F.col("drafter.c_name").alias("drafter"), F.array_join(said, ",").alias("files"))
+
+
+@query(
+    "table_rules",
+    """
+WITH r AS (SELECT o_orderkey AS id, o_orderstatus = 'P' AS closed, o_orderkey % 4 = 0 AS read_known, CASE WHEN o_orderkey % 9 = 0 THEN 'Soon' ELSE 'DueDate' END AS kind FROM orders)
+SELECT id, unnest(list_filter([CASE WHEN kind = 'Soon' THEN 'reminder_kind' END, CASE WHEN closed <> read_known THEN 'read_at' END], lambda x: x IS NOT NULL)) AS rule FROM r
+""",
+)
+def table_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The declared row rules of the reminder table on orders that play reminders."""
+    rows = sf_table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "P", F.lit("Read")).otherwise(F.lit("Unread")).alias("delivery_status"),
+        F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderdate")).alias("read_at"), F.when(F.col("o_orderkey") % 9 == 0, F.lit("Soon")).otherwise(F.lit("DueDate")).alias("reminder_kind"),
+    )
+    return audit.row_violations(rows, ROW_RULES["reminder_history"])

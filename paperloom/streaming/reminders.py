@@ -6,7 +6,10 @@ history isn't written again, so a repeated or retried batch is harmless.
 
 from __future__ import annotations
 
+import datetime as dt
+import logging
 from collections.abc import Callable
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,26 +19,49 @@ from ..functions.text import business_date
 from ..operators.reminders import run_day
 
 EVERY_MINUTES = 15
+ZONE = "Asia/Ho_Chi_Minh"
 
+log = logging.getLogger(__name__)
 
-def reminder_batches(read_docs: Callable[[], DataFrame], read_history: Callable[[], DataFrame], append: Callable[[DataFrame], None], zone: str = "Asia/Ho_Chi_Minh"):
+
+def reminder_cycle(read_docs: Callable[[], DataFrame], read_history: Callable[[], DataFrame], save: Callable[[DataFrame, DataFrame], None]) -> Callable[[dt.date], bool]:
+    """One run of a business date: ``save`` gets the documents as they are now and the new reminders.
+
+    A run that fails is logged and gives False; the next one does its work.
+    """
+
+    def run(day: dt.date) -> bool:
+        try:
+            docs, new, counts = run_day(read_docs(), read_history(), F.lit(day), F.current_timestamp())
+            done = counts.first()
+            save(docs, new)
+        except Exception:
+            log.exception("the reminder run of %s failed; the next one retries", day)
+            return False
+        log.info("reminder run of %s: %d overdue, %d created, %d there already", day, done.overdue, done.created, done.existing)
+        return True
+
+    return run
+
+
+def reminder_batches(cycle: Callable[[dt.date], bool], zone: str = ZONE):
     """A ``foreachBatch`` function over ticks of (timestamp): one run for each business date among them."""
 
     def run(ticks: DataFrame, batch_id: int) -> None:
         days = ticks.select(business_date(F.col("timestamp"), zone).alias("day")).distinct().orderBy("day")
         for row in days.toLocalIterator():  # a few dates
-            _, new, _ = run_day(read_docs(), read_history(), F.lit(row.day), F.current_timestamp())
-            append(new)
+            cycle(row.day)
 
     return run
 
 
-def start_reminders(spark: SparkSession, run, checkpoint: str, minutes: int = EVERY_MINUTES) -> StreamingQuery:
+def start_reminders(spark: SparkSession, cycle: Callable[[dt.date], bool], checkpoint: str, minutes: int = EVERY_MINUTES, zone: str = ZONE) -> StreamingQuery:
     """Runs at once and then every ``minutes``; the checkpoint belongs on a shared file system."""
     if not 1 <= minutes <= 1440:
         raise ValueError("minutes are 1 to 1440")
+    cycle(dt.datetime.now(ZoneInfo(zone)).date())
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    return ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(processingTime=f"{minutes} minutes").start()
+    return ticks.writeStream.foreachBatch(reminder_batches(cycle, zone)).option("checkpointLocation", checkpoint).trigger(processingTime=f"{minutes} minutes").start()
 
 
 def pending_files(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -80,6 +80,8 @@ def test_access(spark):
     assert ids(listing.reminders(history, "s1", False).items) == ["r1"] and ids(listing.reminders(history, "s1", True, "s2").items) == ["r2"]
     with pytest.raises(PermissionError):
         listing.reminders(history, "s1", False, "s2")
+    with pytest.raises(PermissionError):
+        listing.reminders(history, "s1", False, "s1")
 
 
 def test_navigation(spark):
@@ -347,3 +349,27 @@ def test_audit(spark):
     assert got == {("a", "status"), ("a", "received_before_deadline"), ("b", "completed_at"), ("c", "suggestion_tuple"), ("d", "assignment_tuple")}
     keys = spark.createDataFrame([("1", None), ("2", None), ("3", "x"), ("4", "x")], "id string, reference_number string")
     assert [tuple(r) for r in audit.repeated_keys(keys, list(UNIQUE_KEYS["outgoing_documents"][0])).collect()] == [("x", 2)]
+
+
+def test_keys_given_twice(spark):
+    rows = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, v string")
+    patches = spark.createDataFrame([("a", "1", True, 2), ("a", "2", True, 1)], "id string, v string, has_v boolean, at int")
+    assert sorted(tuple(r) for r in mutations.patched(rows, patches, ["v"], order="at").collect()) == [("a", "1"), ("b", "y")]
+    assert sorted(tuple(r) for r in mutations.patched(rows, patches, ["v"]).collect()) == [("a", "2"), ("b", "y")]
+    new = spark.createDataFrame([("b", "1"), ("b", "2"), ("c", None)], "id string, v string")
+    assert sorted(map(str, (tuple(r) for r in mutations.upserted(rows, new, ["id"]).collect()))) == ["('a', 'x')", "('b', '2')", "('c', None)"]
+
+
+def test_leaks_of_any_length(spark):
+    texts = spark.createDataFrame([("The quick brown fox JUMPS over",), ("short words",), (None,), ("quick  brown fox jumps",), ("thequick brown foxes",)], "text string")
+    count = lambda *f: tuple(evaluation.leaks(texts, spark.createDataFrame([(x,) for x in f], "fragment string")).first())
+    assert count("he quick brown fox j") == (5, 1) and count("ORT") == (5, 1) and count("quick brown fo", "short") == (5, 3)
+    assert count("x quick brown fox jumps y") == (5, 0) and count("") == (5, 5) and count() == (5, 0)
+
+
+def test_search_counts_ties_and_odd_vectors(spark):
+    points = spark.createDataFrame([(i, [1.0, 0.0] if i < 8 else [0.0, 0.0] if i == 8 else None) for i in range(10)], "point_id long, embedding array<float>")
+    queries = spark.createDataFrame([(3, [2.0, 0.0])], "query_id long, query array<float>")
+    got = index.search(queries, points, but=F.col("query_id") == F.col("point_id")).orderBy("rank").collect()
+    assert [r.point_id for r in got] == [0, 1, 2, 4, 5]
+    assert index.search(queries.limit(0), points).count() == 0

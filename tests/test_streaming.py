@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from paperloom.operators.reminders import KEY
 from paperloom.plans.reports import write_report
 from paperloom.sources.tables import empty_table, read_fixture, read_table
-from paperloom.streaming.reminders import drain, pending_files, reminder_batches
+from paperloom.streaming.reminders import drain, pending_files, reminder_batches, reminder_cycle, start_reminders
 
 
 def test_repeated_ticks_write_once(spark, tmp_path):
@@ -15,7 +15,8 @@ def test_repeated_ticks_write_once(spark, tmp_path):
     docs = docs.withColumn("updated_at", F.lit(None).cast("timestamp"))
     history = str(tmp_path / "history")
     empty_table(spark, "reminder_history").write.parquet(history)
-    run = reminder_batches(lambda: docs, lambda: read_table(spark, history, "reminder_history"), lambda new: new.write.mode("append").parquet(history))
+    cycle = reminder_cycle(lambda: docs, lambda: read_table(spark, history, "reminder_history"), lambda _, new: new.write.mode("append").parquet(history))
+    run = reminder_batches(cycle)
     ticks = str(tmp_path / "ticks")
 
     def tick(hour):
@@ -29,6 +30,24 @@ def test_repeated_ticks_write_once(spark, tmp_path):
     assert stored.count() == 2 == stored.dropDuplicates(KEY).count()
 
 
+def test_runs_at_once_saves_both_and_retries(spark, tmp_path):
+    docs = spark.createDataFrame([("1", dt.date(2020, 1, 1), "New", "s"), ("2", dt.date(2020, 1, 1), "Completed", "s"), ("3", dt.date(2020, 1, 1), "New", None)], "id string, deadline date, status string, assigned_to_staff_id string")
+    docs = docs.withColumn("updated_at", F.lit(None).cast("timestamp"))
+    tries, saved = [], {}
+
+    def save(now, new):
+        tries.append(1)
+        if len(tries) == 1:
+            raise OSError("no disk")
+        saved["docs"], saved["new"] = {r.id: r.status for r in now.collect()}, new.count()
+
+    cycle = reminder_cycle(lambda: docs, lambda: empty_table(spark, "reminder_history"), save)
+    query = start_reminders(spark, cycle, str(tmp_path / "cp"), minutes=60)
+    query.stop()
+    assert tries and not saved  # the run at the start failed, and the stream began all the same
+    assert cycle(dt.date(2020, 1, 2)) and saved == {"docs": {"1": "Overdue", "2": "Completed", "3": "Overdue"}, "new": 1}
+
+
 def test_pending_queue(spark, tmp_path):
     path = str(tmp_path / "attachments")
     schema = "id string, extraction_status string"
