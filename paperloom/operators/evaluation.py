@@ -67,25 +67,26 @@ def leaks(texts: DataFrame, fragments: DataFrame, text: str = "text", fragment:
     each text; they are phrases of a few words.
     """
     asked = fragments.select(F.lower(fragment).alias("fragment")).filter("fragment IS NOT NULL").distinct()
-    inner = F.regexp_extract_all("fragment", F.lit(r"(?<=\s)\S+(?=\s)"), F.lit(0))
-    pairs = _word_pairs(inner)
-    seeded = asked.select("fragment", F.xxhash64(F.array_max(F.transform(pairs, lambda p: F.struct(F.length(p).alias("n"), p.alias("seed"))))["seed"]).alias("seed"), (F.size(pairs) > 0).alias("long"))
+    inner = asked.select("fragment", _neighbours(F.regexp_extract_all("fragment", F.lit(r"(?<=\s)\S+(?=\s)"), F.lit(0))).alias("pairs"))
+    longest = F.array_max(F.transform("pairs", lambda p: F.struct((F.length(p["a"]) + F.length(p["b"])).alias("n"), p.alias("p"))))["p"]
+    seeded = inner.filter(F.size("pairs") > 0).select("fragment", F.xxhash64(longest["a"], longest["b"]).alias("seed"))
+    short = inner.filter(F.size("pairs") <= 0).select("fragment")
+
     lowered = texts.select(F.lower(F.coalesce(text, F.lit(""))).alias("text"))
-    words = F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))
-    seeds = lowered.select("text", F.explode_outer(F.array_distinct(F.transform(_word_pairs(words), lambda p: F.xxhash64(p)))).alias("seed"))
+    keyed = lowered.select("text", F.xxhash64("text").alias("found"), F.length("text").alias("size"))
+    pairs = keyed.select("found", "size", F.explode(_neighbours(F.split(F.trim("text"), r"\s+"))).alias("p"))
+    met = pairs.select("found", "size", F.xxhash64("p.a", "p.b").alias("seed")).join(seeded, "seed").select("found", "size", "fragment").distinct()
     held = lambda f: F.contains(F.col("text"), f)
-    by_seed = seeds.join(seeded.filter("long"), "seed").filter(held(F.col("fragment"))).select(F.xxhash64("text").alias("found"), F.length("text").alias("size"))
-    short = lowered.join(seeded.filter("NOT long").select("fragment"), held(F.col("fragment")), "left_semi").select(F.xxhash64("text").alias("found"), F.length("text").alias("size"))
-    marked = by_seed.unionByName(short).distinct()
-    keyed = lowered.select(F.xxhash64("text").alias("found"), F.length("text").alias("size"))
-    leaking = keyed.join(marked, ["found", "size"], "left_semi").agg(F.count(F.lit(1)).alias("leaking"))
+    by_seed = keyed.join(met, ["found", "size"]).filter(held(F.col("fragment"))).select("found", "size")
+    marked = by_seed.unionByName(keyed.join(short, held(F.col("fragment")), "left_semi").select("found", "size")).distinct()
+    leaking = keyed.select("found", "size").join(marked, ["found", "size"], "left_semi").agg(F.count(F.lit(1)).alias("leaking"))
     return keyed.agg(F.count(F.lit(1)).alias("texts")).join(leaking)  # one row each
 
 
-def _word_pairs(words: Column) -> Column:
-    """Neighbouring words, joined by a space."""
-    after = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
-    return F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), after, lambda a, b: F.concat(a, F.lit(" "), b))
+def _neighbours(words: Column) -> Column:
+    """Structs (a, b) of each word and the next."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(words, F.lit(1), n).alias("a"), F.slice(words, F.lit(2), n).alias("b"))
 
 
 def gates(metrics: DataFrame, limits: dict[str, tuple[str, float]]) -> DataFrame:

@@ -681,12 +681,14 @@ def checked_answers(spark: SparkSession, d: str) -> DataFrame:
         key % 3 == 0, F.format_string('{"decision":"InsufficientEvidence","suggestedStaffId":null,"reason":"r","sourceRefs":[%s]}', F.when(key % 2 == 0, F.concat(F.lit('"'), ours, F.lit('"'))).otherwise(F.lit("")))
     ).otherwise(F.format_string('{"decision":"Suggested","suggestedStaffId":"%s","reason":"r","sourceRefs":["%s"]}', ref, ref))
     draft = F.format_string('{"content":"%s","sourceRefs":["%s"]}', F.when(key % 5 == 0, F.lit(" ")).otherwise(F.lit("x")), ref)
-    allowed = F.array(ours)
-    return sf_table(spark, d, "orders").select(
+    said = sf_table(spark, d, "orders").select(
+        "o_orderkey", review_text.alias("review"), assignment.alias("assignment"), draft.alias("draft"), F.array(ours).alias("allowed")
+    )
+    return said.select(
         "o_orderkey",
-        structured.valid_review_output(review_text, allowed).alias("review_ok"),
-        structured.valid_assignment_output(assignment, allowed).alias("assignment_ok"),
-        structured.valid_draft_output(draft, allowed).alias("draft_ok"),
+        structured.valid_review_output(F.col("review"), F.col("allowed")).alias("review_ok"),
+        structured.valid_assignment_output(F.col("assignment"), F.col("allowed")).alias("assignment_ok"),
+        structured.valid_draft_output(F.col("draft"), F.col("allowed")).alias("draft_ok"),
     )
 
 
