@@ -17,7 +17,11 @@ BROADCAST_BYTES = 16 << 20
 #: What a row of a broadcast table takes besides its values, about.
 ROW_BYTES = 32
 
+#: Rows in an Arrow batch while a table is stored, at most: rows hold whole texts or sets, and a batch is held whole on both sides.
+BATCH_ROWS = 1000
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _scratch: list[str] = []
 
 
@@ -41,19 +45,20 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
 
     The table is a plain Parquet folder, so a lost executor costs nothing and later
     readers take only the columns they need. It goes with the application, or earlier
-    with ``settled``. The shuffle files behind it go as soon as it is written.
+    with ``settled``. The shuffle files behind it go as soon as it is written. The session's
+    settings are as they were afterwards.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/paperloom-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
+    before = {name: spark.conf.get(name) for name in (_CLEANUP, _BATCH)}
+    rows = int(before[_BATCH])
     spark.conf.set(_CLEANUP, "true")
+    spark.conf.set(_BATCH, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))
     try:
         df.write.parquet(path, compression=compression)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     _scratch.append(path)
