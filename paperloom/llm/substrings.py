@@ -17,7 +17,7 @@ one bucket instead of twelve. Only equality matters here, so a rank is a 64-bit
 2. Runs of a bucket whose whole strings are equal are tied throughout: all their suffixes
    repeat, without looking at any of them.
 3. The suffixes of what is left, one run for each different string, are ranked over their
-   full length; those that share a rank repeat.
+   full length; those that share bucket and rank repeat.
 """
 
 from __future__ import annotations
@@ -101,14 +101,14 @@ def cover_runs(keyed: DataFrame, length: int, gap: int) -> DataFrame:
 
 
 def suffix_ranks(texts: DataFrame, length: int) -> DataFrame:
-    """(rank, key, at, open) of the suffixes of chosen runs; ``texts`` has (key, text, runs of (low, high, open))."""
+    """(bucket, rank, key, at, open) of the suffixes of chosen runs; ``texts`` has (key, text, runs of (low, high, open, bucket))."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, runs = batch.column("key").to_numpy(), batch.column("runs")
             for first, end, data, offsets in text_blocks(batch.column("text")):
                 chosen = runs.slice(first, end - first).flatten()
-                low, high, single = (chosen.field(k).to_numpy(zero_copy_only=False) for k in ("low", "high", "open"))
+                low, high, single, bucket = (chosen.field(k).to_numpy(zero_copy_only=False) for k in ("low", "high", "open", "bucket"))
                 row = np.repeat(np.arange(end - first), np.diff(runs.offsets.to_numpy()[first : end + 1]))
                 for start, piece, cuts in _pieces(data, offsets, length):
                     if len(piece) < length:
@@ -124,11 +124,11 @@ def suffix_ranks(texts: DataFrame, length: int) -> DataFrame:
                     at = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                     hashes = _all_hashes(running_sum(piece), length)[at]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(hashes.view(np.int64)), pa.array(keys[first + row[which]]), pa.array(at - base[which] + low[which]), pa.array(single[which])],
-                        names=["rank", "key", "at", "open"],
+                        [pa.array(x) for x in (bucket[which], hashes.view(np.int64), keys[first + row[which]], at - base[which] + low[which], single[which])],
+                        names=["bucket", "rank", "key", "at", "open"],
                     )
 
-    return texts.select("key", "text", "runs").mapInArrow(run, "rank long, key long, at long, open boolean")
+    return texts.select("key", "text", "runs").mapInArrow(run, "bucket long, rank long, key long, at long, open boolean")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -150,12 +150,13 @@ def repeated_starts(keyed: DataFrame, length: int = LENGTH, gap: int = GAP) -> D
     spans = tied.filter("NOT open").unionByName(closed).select("key", "low", "high")
 
     unsettled = strings.filter("n = 1").select("rank").distinct()
-    asked = strings.join(unsettled, "rank", "left_semi").select("one.*", (F.col("n") == 1).alias("open"))
-    asked = stored(asked.groupBy("key").agg(F.collect_list(F.struct("low", "high", "open")).alias("runs")), "asked")
+    asked = strings.join(unsettled, "rank", "left_semi").select("one.*", (F.col("n") == 1).alias("open"), F.col("rank").alias("bucket"))
+    asked = stored(asked.groupBy("key").agg(F.collect_list(F.struct("low", "high", "open", "bucket")).alias("runs")), "asked")
     held = keyed.select("key", "text").join(broadcast_if_small(asked.select("key")), "key", "left_semi").dropDuplicates(["key"])
     suffixes = stored(suffix_ranks(held.join(asked, "key"), length), "suffixes")
-    shared = suffixes.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("rank")
-    found = suffixes.filter("open").join(shared, "rank", "left_semi")
+    # Equal suffixes have one sample string, so they share their bucket, too: 128 bits in all.
+    shared = suffixes.groupBy("bucket", "rank").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "rank")
+    found = suffixes.filter("open").join(shared, ["bucket", "rank"], "left_semi")
     return spans.unionByName(found.select("key", F.col("at").alias("low"), F.col("at").alias("high")))
 
 
@@ -177,7 +178,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gap: int = GAP) -> Dat
     Matches never cross texts. Null texts are empty; texts under ``length`` bytes stay
     whole; repeated rows are different places, so they go if long enough; null ids are
     kept; an empty table gives no rows; other columns are not read. ``kept`` is binary, as
-    a cut may fall inside a character. Strings are compared by 64-bit hashes.
+    a cut may fall inside a character. Strings are compared by two 64-bit hashes, of their
+    sample string and of the whole; bytes themselves aren't.
     """
     keyed = _keyed(docs)
     starts = repeated_starts(keyed, length, gap)
