@@ -28,7 +28,7 @@ WORD_SLOTS = 256
 #: Labelled documents of each class that the model is fitted on, at most.
 SAMPLE_PER_CLASS = 1500
 #: Passages of all of them together, at most: a document whose passages no longer fit in isn't taken into the sample.
-SAMPLE_PASSAGES = 30_000
+SAMPLE_PASSAGES = 20_000
 #: Passages that are scored at once.
 BLOCK = 2048
 HIDDEN, GATE = 24, 12
@@ -209,8 +209,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     wide = TRIGRAM_SLOTS + 6 + 4
     bags = [np.frombuffer(r.features, np.float32).reshape(-1, wide) for r in ordered]
     begin = np.concatenate([[0], np.cumsum([len(b) for b in bags])])
+    features = np.concatenate(bags)
+    del found, ordered, bags
     weights = np.where(y == 1, totals[1] / max(1, (y == 1).sum()), totals[0] / max(1, (y == 0).sum())).astype(np.float32)
-    return fit(np.concatenate(bags), begin, y, weights)
+    return fit(features, begin, y, weights)
 
 
 def _scores(model: Model | float, texts: pa.Array) -> np.ndarray:

@@ -95,9 +95,9 @@ def find_overlaps(
     )
 
     hit = texts.join(broadcast_if_small(diagonals.select("key").distinct()), "key", "left_semi").dropDuplicates(["key"])
-    pairs = diagonals.join(hit.select("key", "doc_id", word_hashes(F.col("text")).alias("doc_words")), "key")
     aimed = items.select(item_key, "item_id", F.col("words").alias("item_words"))
-    pairs = pairs.join(broadcast_if_small(aimed), "item_key")
+    # Items first: a document's words are cut to the diagonal right where they are joined, and move no further.
+    pairs = diagonals.join(broadcast_if_small(aimed), "item_key").join(hit.select("key", "doc_id", word_hashes(F.col("text")).alias("doc_words")), "key")
     start = F.greatest("shift", F.lit(0))
     length = F.least(F.size("doc_words") - start, F.size("item_words") + F.least("shift", F.lit(0)))
     flags = F.zip_with(

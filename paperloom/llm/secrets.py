@@ -19,18 +19,29 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` is matched leftmost and non-overlapping; matches whose ``group`` is shorter than ``least`` are dropped."""
+    """``pattern`` is matched leftmost and non-overlapping; matches whose ``group`` is shorter than ``least`` are dropped.
+
+    A rule that drops matches has a ``bounded`` pattern besides, which short values don't
+    match in the first place; redaction goes by that.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 0
+    bounded: str = ""
+
+    def redacted(self) -> str:
+        if self.least and not self.bounded:
+            raise ValueError(f"the rule {self.kind} drops short values and needs a bounded pattern for redaction")
+        return self.bounded or self.pattern
 
 
 # The base rules. Runs of one class are maximal, so a repeat of {24,} or {16,} finds the
 # same spans as an open repeat from which short matches are dropped; the first rule must drop afterwards.
+_ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]"""
 BASE_RULES = (
-    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    Rule("assign", _ASSIGN + "+)", 2, 6, _ASSIGN + "{6,})"),
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
@@ -206,8 +217,7 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str =
     rows = _with_candidates(docs, rules)
     text = F.col("text")
     for rule in rules:
-        pattern = f"{rule.pattern[:-2]}{{{rule.least},}})" if rule.least else rule.pattern
-        text = F.when(_asked(rule), F.regexp_replace(text, pattern, mark)).otherwise(text)
+        text = F.when(_asked(rule), F.regexp_replace(text, rule.redacted(), mark)).otherwise(text)
     rows = rows.select("row", F.when(F.col("row.text").isNotNull(), text).alias("clean"))
     changed = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
     return rows.select(

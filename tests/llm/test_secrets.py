@@ -67,3 +67,12 @@ def test_redaction(documents):
     assert got[1].text == "a [SECRET] b" and got[1].n_chars == len("a [SECRET] b") and got[2].text is None and got[3].text == "clean" and got[4].text == "é [SECRET]"
     assert got[5].text == "secret=ab [SECRET]" and got[1].rank == "rank"
     assert redact_secrets(documents([])).columns == documents([]).columns
+
+
+def test_rules_of_ones_own(documents):
+    pin = Rule("pin", r"pin=([0-9]+) z", 1, 4)
+    with pytest.raises(ValueError):
+        redact_secrets(documents([(1, "pin=12345 z")]), (pin,))
+    bounded = Rule("pin", r"pin=([0-9]+) z", 1, 4, r"pin=([0-9]{4,}) z")
+    rows = redact_secrets(documents([(1, "a pin=12345 z b"), (2, "pin=12 z"), (3, None)]), (bounded,)).collect()
+    assert {r.doc_id: r.text for r in rows} == {1: "a [SECRET] b", 2: "pin=12 z", 3: None}
