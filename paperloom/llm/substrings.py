@@ -10,7 +10,9 @@ The cover is content-defined: of the ``gap`` + 1 first positions of a string, th
 ``length - gap`` bytes hash lowest. Equal strings have it at one offset, so any two equal
 suffixes share a sample position, as with a fixed difference set modulo v, but one position
 in 64 is enough for a gap of 128 where a fixed set takes one in eleven, and a suffix is in
-one bucket instead of twelve. Only equality matters here, so a rank is a 64-bit hash.
+one bucket instead of twelve. Only equality matters here, so a rank is a name and no place:
+a 64-bit hash that brings candidates together. What is equal is decided by BLAKE2b digests of
+128 bits over the bytes themselves, so that colliding ranks cost work and remove nothing.
 
 1. Consecutive suffixes with one sample position form a run. A bucket is a rank; buckets
    with one run hold no repeat and end here.
@@ -23,6 +25,7 @@ one bucket instead of twelve. Only equality matters here, so a rank is a 64-bit
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +33,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, stored
-from .hashing import BLOCK_BYTES, mixed, running_sum, span_hashes, text_blocks
+from .hashing import BLOCK_BYTES, mixed, running_sum, text_blocks
 
 LENGTH = 400
 GAP = 128
 
+#: The two halves of a digest, as columns.
+DIGEST = ["whole", "other"]
+
 
 def _pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(start, bytes, offsets) of a block, a very long text cut into pieces that overlap by length - 1."""
@@ -46,6 +52,14 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tupl
         yield start, piece, np.array([0, len(piece)])
 
 
+def _digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of the digest of the bytes from each start to its end."""
+    view = memoryview(np.ascontiguousarray(data))
+    found = b"".join([blake2b(view[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    halves = np.frombuffer(found, np.int64).reshape(-1, 2)
+    return halves[:, 0].copy(), halves[:, 1].copy()
+
+
 def _all_hashes(sums: tuple[np.ndarray, np.ndarray], length: int) -> np.ndarray:
     """Hash of the ``length`` bytes from every position."""
     total, inverse = sums
@@ -63,14 +77,14 @@ def _sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(down[: n - width + 1], up[width - 1 : n])
 
 
-def block_runs(data: np.ndarray, offsets: np.ndarray, length: int, gap: int) -> tuple[np.ndarray, ...]:
-    """Runs of a block: row, rank of the sample position, hash of the whole string, first and last start (in the row)."""
+def block_runs(data: np.ndarray, offsets: np.ndarray, length: int, gap: int, bits: int = 64) -> tuple[np.ndarray, ...]:
+    """Runs of a block: row, rank of the sample position, first and last start (in the row), digest of the whole string in halves."""
     sizes = np.diff(offsets) - length + 1
     rows = np.flatnonzero(sizes > 0)
     if not len(rows):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64, np.int64, np.int64))
     sums = running_sum(data)
-    ranks = _all_hashes(sums, length - gap)
+    ranks = _all_hashes(sums, length - gap) & np.uint64((1 << 64) - (1 << (64 - bits)))
     keys = (ranks & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(ranks), dtype=np.uint64)
     sample = (_sliding_least(keys, gap + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     starts = np.repeat(offsets[rows] - np.concatenate([[0], np.cumsum(sizes[rows])[:-1]]), sizes[rows]) + np.arange(sizes[rows].sum())
@@ -79,29 +93,28 @@ def block_runs(data: np.ndarray, offsets: np.ndarray, length: int, gap: int) ->
     last = np.append(first[1:], len(at)) - 1
     low, high, at = starts[first], starts[last], at[first]
     row = np.searchsorted(offsets, low, side="right") - 1
-    whole = mixed(span_hashes(sums, low, high + length) + (at - low).astype(np.uint64))
-    return row, ranks[at], whole, low - offsets[row], high - offsets[row]
+    return row, ranks[at], low - offsets[row], high - offsets[row], *_digests(data, low, high + length)
 
 
-def cover_runs(keyed: DataFrame, length: int, gap: int) -> DataFrame:
-    """(rank, whole, key, low, high) of all runs of the texts of (key, text)."""
+def cover_runs(keyed: DataFrame, length: int, gap: int, bits: int = 64) -> DataFrame:
+    """(rank, whole, other, key, low, high) of all runs of the texts of (key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("key").to_numpy()
             for first, _, data, offsets in text_blocks(batch.column("text")):
                 for start, piece, cuts in _pieces(data, offsets, length):
-                    row, rank, whole, low, high = block_runs(piece, cuts, length, gap)
+                    row, rank, low, high, whole, other = block_runs(piece, cuts, length, gap, bits)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (rank.view(np.int64), whole.view(np.int64), keys[first + row], low + start, high + start)],
-                        names=["rank", "whole", "key", "low", "high"],
+                        [pa.array(x) for x in (rank.view(np.int64), whole, other, keys[first + row], low + start, high + start)],
+                        names=["rank", *DIGEST, "key", "low", "high"],
                     )
 
-    return keyed.mapInArrow(run, "rank long, whole long, key long, low long, high long")
+    return keyed.mapInArrow(run, "rank long, whole long, other long, key long, low long, high long")
 
 
 def suffix_ranks(texts: DataFrame, length: int) -> DataFrame:
-    """(bucket, rank, key, at, open) of the suffixes of chosen runs; ``texts`` has (key, text, runs of (low, high, open, bucket))."""
+    """(bucket, whole, other, key, at, open) of the suffixes of chosen runs; ``texts`` has (key, text, runs of (low, high, open, bucket))."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,31 +135,33 @@ def suffix_ranks(texts: DataFrame, length: int) -> DataFrame:
                     n = np.maximum(0, stop - begin + 1)
                     which = np.repeat(np.arange(len(n)), n)
                     at = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                    hashes = _all_hashes(running_sum(piece), length)[at]
+                    whole, other = _digests(piece, at, at + length)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (bucket[which], hashes.view(np.int64), keys[first + row[which]], at - base[which] + low[which], single[which])],
-                        names=["bucket", "rank", "key", "at", "open"],
+                        [pa.array(x) for x in (bucket[which], whole, other, keys[first + row[which]], at - base[which] + low[which], single[which])],
+                        names=["bucket", *DIGEST, "key", "at", "open"],
                     )
 
-    return texts.select("key", "text", "runs").mapInArrow(run, "bucket long, rank long, key long, at long, open boolean")
+    return texts.select("key", "text", "runs").mapInArrow(run, "bucket long, whole long, other long, key long, at long, open boolean")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
 
 
-def repeated_starts(keyed: DataFrame, length: int = LENGTH, gap: int = GAP) -> DataFrame:
+def repeated_starts(keyed: DataFrame, length: int = LENGTH, gap: int = GAP, bits: int = 64) -> DataFrame:
     """(key, low, high): every start from low to high has its ``length`` bytes elsewhere, too."""
-    runs = stored(cover_runs(keyed.select("key", "text"), length, gap), "runs")
-    buckets = runs.groupBy("rank").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most")).filter("n > 1")
+    runs = stored(cover_runs(keyed.select("key", "text"), length, gap, bits), "runs")
+    # Halves one by one: a struct or binary buffer would have to be sorted.
+    bounds = [f(c).alias(f"{f.__name__}_{c}") for c in DIGEST for f in (F.min, F.max)]
+    buckets = runs.groupBy("rank").agg(F.count(F.lit(1)).alias("n"), *bounds).filter("n > 1")
     # Stored, so that the join may split the rows of a hot rank.
-    buckets = stored(buckets.select("rank", (F.col("least") != F.col("most")).alias("open")), "buckets")
+    buckets = stored(buckets.selectExpr("rank", "min_whole <> max_whole OR min_other <> max_other AS open"), "buckets")
     tied = stored(runs.join(buckets.hint("shuffle_hash"), "rank"), "tied")
     strings = stored(
-        tied.filter("open").groupBy("rank", "whole").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("key", "low", "high"), F.struct("key", "low")).alias("one")),
+        tied.filter("open").groupBy("rank", *DIGEST).agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("key", "low", "high"), F.struct("key", "low")).alias("one")),
         "strings",
     )
-    closed = tied.filter("open").join(strings.filter("n > 1").select("rank", "whole"), ["rank", "whole"], "left_semi")
+    closed = tied.filter("open").join(strings.filter("n > 1").select("rank", *DIGEST), ["rank", *DIGEST], "left_semi")
     spans = tied.filter("NOT open").unionByName(closed).select("key", "low", "high")
 
     unsettled = strings.filter("n = 1").select("rank").distinct()
@@ -154,9 +169,9 @@ def repeated_starts(keyed: DataFrame, length: int = LENGTH, gap: int = GAP) -> D
     asked = stored(asked.groupBy("key").agg(F.collect_list(F.struct("low", "high", "open", "bucket")).alias("runs")), "asked")
     held = keyed.select("key", "text").join(broadcast_if_small(asked.select("key")), "key", "left_semi").dropDuplicates(["key"])
     suffixes = stored(suffix_ranks(held.join(asked, "key"), length), "suffixes")
-    # Equal suffixes have one sample string, so they share their bucket, too: 128 bits in all.
-    shared = suffixes.groupBy("bucket", "rank").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "rank")
-    found = suffixes.filter("open").join(shared, ["bucket", "rank"], "left_semi")
+    # Equal suffixes have one sample string, so they share their bucket, too.
+    shared = suffixes.groupBy("bucket", *DIGEST).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", *DIGEST)
+    found = suffixes.filter("open").join(shared, ["bucket", *DIGEST], "left_semi")
     return spans.unionByName(found.select("key", F.col("at").alias("low"), F.col("at").alias("high")))
 
 
@@ -170,7 +185,7 @@ def merged(starts: DataFrame, length: int) -> DataFrame:
     return run.groupBy("key", "run").agg(F.min("low").alias("low"), F.max("high").alias("high")).select("key", "low", "high")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gap: int = GAP) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gap: int = GAP, bits: int = 64) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): per input row, the removed byte runs (start, end) and the bytes left.
 
     A byte goes if it is within ``length`` bytes that also start at another place of any
@@ -178,11 +193,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gap: int = GAP) -> Dat
     Matches never cross texts. Null texts are empty; texts under ``length`` bytes stay
     whole; repeated rows are different places, so they go if long enough; null ids are
     kept; an empty table gives no rows; other columns are not read. ``kept`` is binary, as
-    a cut may fall inside a character. Strings are compared by two 64-bit hashes, of their
-    sample string and of the whole; bytes themselves aren't.
+    a cut may fall inside a character. Strings are equal if their 128-bit BLAKE2b
+    digests are; a collision of ranks, which have ``bits`` bits,
+    removes nothing.
     """
     keyed = _keyed(docs)
-    starts = repeated_starts(keyed, length, gap)
+    starts = repeated_starts(keyed, length, gap, bits)
     cuts = stored(merged(starts, length).groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("starts")), "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,8 +29,8 @@ def brute(texts, length):
     return out
 
 
-def compare(documents, texts, length, gap):
-    got = {r.doc_id: (r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept)) for r in remove_repeats(documents(list(enumerate(texts))), length, gap).collect()}
+def compare(documents, texts, length, gap, bits=64):
+    got = {r.doc_id: (r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept)) for r in remove_repeats(documents(list(enumerate(texts))), length, gap, bits).collect()}
     want = brute(texts, length)
     assert [got[i] for i in range(len(texts))] == want
 
@@ -44,6 +44,15 @@ def test_random_overlaps(documents, length, gap):
     compare(documents, texts, length, gap)
 
 
+@pytest.mark.parametrize("bits", [1, 6])
+def test_colliding_ranks_remove_nothing(documents, bits):
+    """With ranks of a few bits most strings share buckets; the bytes removed are the same."""
+    rng = random.Random(bits)
+    blocks = ["".join(rng.choices("abcdefghé", k=rng.randint(5, 80))) for _ in range(30)]
+    texts = ["".join(rng.choices(blocks, k=rng.randint(0, 4))) for _ in range(60)] + ["a" * 90, "", None]
+    compare(documents, texts, 20, 7, bits)
+
+
 def test_exact_edges(documents):
     rng = random.Random(3)
     unit = "".join(rng.choices("abcdefghijklmnop", k=60))
@@ -74,7 +83,7 @@ def test_equal_strings_share_a_sample_position():
     seen = []
     for before in (0, 13, 250):
         data = np.concatenate([rng.integers(48, 58, before, dtype=np.uint8), unit])
-        row, rank, _, low, high = substrings.block_runs(data, np.array([0, len(data)]), 400, 128)
+        row, rank, low, high, _, _ = substrings.block_runs(data, np.array([0, len(data)]), 400, 128)
         inside = low >= before
         seen.append(set(rank[inside].tolist()))
     assert len(set.intersection(*seen)) == min(map(len, seen))
