@@ -19,7 +19,7 @@ a 64-bit hash that brings candidates together. What is equal is decided by BLAKE
 2. Runs of a bucket whose whole strings are equal are tied throughout: all their suffixes
    repeat, without looking at any of them.
 3. The suffixes of what is left, one run for each different string, are ranked over their
-   full length; those that share bucket and rank repeat.
+   full length; those with one digest repeat.
 """
 
 from __future__ import annotations
@@ -114,14 +114,14 @@ def cover_runs(keyed: DataFrame, length: int, gap: int, bits: int = 64) -> DataF
 
 
 def suffix_ranks(texts: DataFrame, length: int) -> DataFrame:
-    """(bucket, whole, other, key, at, open) of the suffixes of chosen runs; ``texts`` has (key, text, runs of (low, high, open, bucket))."""
+    """(whole, other, key, at, open) of the suffixes of chosen runs; ``texts`` has (key, text, runs of (low, high, open))."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, runs = batch.column("key").to_numpy(), batch.column("runs")
             for first, end, data, offsets in text_blocks(batch.column("text")):
                 chosen = runs.slice(first, end - first).flatten()
-                low, high, single, bucket = (chosen.field(k).to_numpy(zero_copy_only=False) for k in ("low", "high", "open", "bucket"))
+                low, high, single = (chosen.field(k).to_numpy(zero_copy_only=False) for k in ("low", "high", "open"))
                 row = np.repeat(np.arange(end - first), np.diff(runs.offsets.to_numpy()[first : end + 1]))
                 for start, piece, cuts in _pieces(data, offsets, length):
                     if len(piece) < length:
@@ -137,11 +137,11 @@ def suffix_ranks(texts: DataFrame, length: int) -> DataFrame:
                     at = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                     whole, other = _digests(piece, at, at + length)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (bucket[which], whole, other, keys[first + row[which]], at - base[which] + low[which], single[which])],
-                        names=["bucket", *DIGEST, "key", "at", "open"],
+                        [pa.array(x) for x in (whole, other, keys[first + row[which]], at - base[which] + low[which], single[which])],
+                        names=[*DIGEST, "key", "at", "open"],
                     )
 
-    return texts.select("key", "text", "runs").mapInArrow(run, "bucket long, whole long, other long, key long, at long, open boolean")
+    return texts.select("key", "text", "runs").mapInArrow(run, "whole long, other long, key long, at long, open boolean")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -165,13 +165,13 @@ def repeated_starts(keyed: DataFrame, length: int = LENGTH, gap: int = GAP, bits
     spans = tied.filter("NOT open").unionByName(closed).select("key", "low", "high")
 
     unsettled = strings.filter("n = 1").select("rank").distinct()
-    asked = strings.join(unsettled, "rank", "left_semi").select("one.*", (F.col("n") == 1).alias("open"), F.col("rank").alias("bucket"))
-    asked = stored(asked.groupBy("key").agg(F.collect_list(F.struct("low", "high", "open", "bucket")).alias("runs")), "asked")
+    asked = strings.join(unsettled, "rank", "left_semi").select("one.*", (F.col("n") == 1).alias("open"))
+    asked = stored(asked.groupBy("key").agg(F.collect_list(F.struct("low", "high", "open")).alias("runs")), "asked")
     held = keyed.select("key", "text").join(broadcast_if_small(asked.select("key")), "key", "left_semi").dropDuplicates(["key"])
     suffixes = stored(suffix_ranks(held.join(asked, "key"), length), "suffixes")
-    # Equal suffixes have one sample string, so they share their bucket, too.
-    shared = suffixes.groupBy("bucket", *DIGEST).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", *DIGEST)
-    found = suffixes.filter("open").join(shared, ["bucket", *DIGEST], "left_semi")
+    # Equal suffixes have one sample string, so the digest names their bucket, too.
+    shared = suffixes.groupBy(*DIGEST).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*DIGEST)
+    found = suffixes.filter("open").join(shared, DIGEST, "left_semi")
     return spans.unionByName(found.select("key", F.col("at").alias("low"), F.col("at").alias("high")))
 
 
