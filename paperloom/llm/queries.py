@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +15,11 @@ from .jaccard import near_duplicates
 from .licenses import scan_licenses
 from .lines import remove_units
 from .mixing import mix
+from .repair import damage, repair_conversations
 from .secrets import BASE_RULES, RULES, find_secrets, span_list
+from .spelling import group_variants
 from .substrings import remove_repeats
+from .tokens import count_tokens
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -186,3 +190,18 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("doc_id") % 10 == 0, F.lit("LICENSE")).otherwise(F.concat("doc_id", F.lit(".txt")))
     part = F.pmod(F.floor(F.col("doc_id") / 10), F.lit(1000)).cast("string")
     return scan_licenses(docs.select("doc_id", F.concat_ws("/", "source", "lang", part, name).alias("path"), "text"))
+
+
+@query("op11_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damage(table(spark, sf_dir, "conversations")), missing="dropped")
+
+
+@query("op12_spelling")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_tokens")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

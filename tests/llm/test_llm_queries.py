@@ -18,11 +18,14 @@ COLUMNS = {
     "op5_substrings": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
     "op9_quality": "doc_id bigint, held_out boolean, score double, predicted int",
     "op10_jaccard": "doc_id bigint, n_shingles bigint, component_id bigint",
+    "op11_repair": "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string",
+    "op12_spelling": "word string, form string, root string, n bigint, n_near bigint, form_n bigint",
+    "op13_tokens": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
 }
 
 
-def test_ten_operators():
-    assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
+def test_thirteen_operators():
+    assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 14)]
 
 
 @pytest.mark.parametrize("name", sorted(COLUMNS))
