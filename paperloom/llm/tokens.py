@@ -1,12 +1,13 @@
 """Token counts: pieces are counted once for each distinct pre-token, and summed by document.
 
-A tokenizer of the ``tokenizers`` library normalises a text, cuts it into pre-tokens and
-cuts each of these into pieces. How many pieces a pre-token has depends on it alone, so
+How many pieces a text has is the sum over its pre-tokens, and how many a pre-token has
+depends on it alone. Where a tokenizer drops white space, which is tried out when it is
+loaded, no piece crosses it, and the pre-tokens are what stands between it; otherwise they
+are those of the tokenizer's own pre-tokenizer.
 
-1. each document becomes its pre-tokens with their frequencies (the library's normaliser
-   and pre-tokenizer, called once for each different piece of a block between white space);
-2. the distinct pre-tokens of all documents are counted in pieces, once each;
-3. frequencies meet pieces in a join, and n * pieces is summed by document. Ids are never made.
+1. Each document becomes its pre-tokens with their frequencies.
+2. The distinct pre-tokens of all documents are counted in pieces by the library, once each.
+3. Frequencies meet pieces in a join, and n * pieces is summed by document. Ids are never kept.
 
 The pre-tokens that most documents share are broadcast, as many as fit into a fixed number
 of bytes (found by a histogram of their document counts); only rows of the rarer ones are
@@ -15,6 +16,7 @@ shuffled to meet the table of pieces.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -29,10 +31,11 @@ from .common import BROADCAST_BYTES, ROW_BYTES, stored
 
 #: Bytes of text that are counted at once; a longer text is counted alone.
 SLICE_BYTES = 4 << 20
-#: Units whose pre-tokens a worker remembers.
-REMEMBERED = 1 << 18
 SPACE = r"[\x20\x09-\x0D]+"
 
+# Tasks run side by side already.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 _loaded: dict[str, PreTokens] = {}
 
 
@@ -44,10 +47,8 @@ class PreTokens:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # Where white space is dropped anyway, a text is the sum of what stands between it.
-        alone = self._cut("a1,") + self._cut("b's")
-        self.spaced = self._cut(" a1, \n\t b's ") == alone and self._cut("a1,\x0b\x0c\rb's") == alone
-        self.known: dict[str, tuple[str, ...]] = {}
+        alone = self._own("a1,") + self._own("b's")
+        self.spaced = self._own(" a1, \n\t b's ") == alone and self._own("a1,\x0b\x0c\rb's") == alone
 
     @classmethod
     def of(cls, source: str) -> PreTokens:
@@ -56,48 +57,39 @@ class PreTokens:
             _loaded[source] = cls(source)
         return _loaded[source]
 
-    def _cut(self, unit: str) -> tuple[str, ...]:
+    def _own(self, text: str) -> list[str]:
+        """The tokenizer's pre-tokens, marked; a text with a special string is one of its own."""
         t = self.tokenizer
-        clean = t.normalizer.normalize_str(unit) if t.normalizer else unit
-        if any(m in unit or m in clean for m in self.marks):
-            return ("\1" + unit,)  # a unit with a special string is a pre-token of its own
+        clean = t.normalizer.normalize_str(text) if t.normalizer else text
+        if any(m in text or m in clean for m in self.marks):
+            return ["\1" + text]
         pieces = [p for p, _ in t.pre_tokenizer.pre_tokenize_str(clean)] if t.pre_tokenizer else [clean]
-        return tuple("\2" + p for p in pieces if p)
+        return ["\2" + p for p in pieces if p]
 
-    def cut(self, unit: str) -> tuple[str, ...]:
-        found = self.known.get(unit)
-        if found is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            found = self.known[unit] = self._cut(unit)
-        return found
+    def pieces(self, pretokens: list[str]) -> list[int]:
+        t = self.tokenizer
+        if self.spaced:
+            return [len(e.ids) for e in t.encode_batch_fast(pretokens, add_special_tokens=False)]
+        return [len(t.encode(p[1:], add_special_tokens=False).ids if p[0] == "\1" else t.model.tokenize(p[1:])) for p in pretokens]
 
-    def pieces(self, pretoken: str) -> int:
-        if pretoken[0] == "\1":
-            return len(self.tokenizer.encode(pretoken[1:], add_special_tokens=False).ids)
-        return len(self.tokenizer.model.tokenize(pretoken[1:]))
+    def parts(self, texts: pa.Array) -> pa.ListArray:
+        """The pre-tokens of each text."""
+        if self.spaced:
+            return pc.split_pattern_regex(texts, SPACE)
+        return pa.array([self._own(t) for t in texts.to_pylist()], pa.list_(pa.string()))
 
     def frequencies(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-        """(offsets of the rows, pre-tokens, counts): each row's distinct pre-tokens, and as the first of each row an empty one with count 1."""
-        parts = pc.split_pattern_regex(texts, SPACE) if self.spaced else pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32), texts)
-        sizes = np.diff(parts.offsets.to_numpy())
-        units = parts.flatten().dictionary_encode()
-        cuts = [self.cut(u) for u in units.dictionary.to_pylist()]
-        names: dict[str, int] = {"": 0}
-        flat = np.array([names.setdefault(p, len(names)) for c in cuts for p in c], np.int64)
-        each = np.array([len(c) for c in cuts], np.int64)
-        begin = np.cumsum(each) - each
-        # Frequencies of units first, then of what they hold.
-        met, n = np.unique(np.repeat(np.arange(len(texts)), sizes) * max(1, len(cuts)) + units.indices.to_numpy(), return_counts=True)
-        row, unit = np.divmod(met, max(1, len(cuts)))
-        held = each[unit]
-        at = np.repeat(begin[unit] - (np.cumsum(held) - held), held) + np.arange(held.sum())
-        token = np.concatenate([np.repeat(row, held) * len(names) + flat[at], np.arange(len(texts)) * len(names)])
-        weight = np.concatenate([np.repeat(n, held), np.ones(len(texts), np.int64)])
-        token, where = np.unique(token, return_inverse=True)
+        """(offsets of the rows, pre-tokens, counts): each row's distinct pre-tokens, and an empty one with count 1."""
+        parts = self.parts(texts)
+        held = parts.flatten().dictionary_encode()
+        names = pa.concat_arrays([pa.array([""]), held.dictionary])
+        sizes, code = np.diff(parts.offsets.to_numpy()), held.indices.to_numpy().astype(np.int64) + 1
+        row = np.repeat(np.arange(len(texts)), sizes)
+        real = pc.not_equal(names, "").to_numpy(zero_copy_only=False)[code]  # splitting leaves empty ends
+        token = np.concatenate([row[real] * len(names) + code[real], np.arange(len(texts)) * len(names)])
+        token, counts = np.unique(token, return_counts=True)
         row, token = np.divmod(token, len(names))
-        offsets = np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)
-        return offsets, pa.array(list(names), pa.string()).take(pa.array(token)), np.bincount(where, weight).astype(np.int64)
+        return np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32), names.take(pa.array(token)), counts.astype(np.int64)
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -136,7 +128,7 @@ def pretoken_pieces(frequencies: DataFrame, source) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = PreTokens.of(source.value)
         for batch in batches:
-            pieces = [cutter.pieces(p) for p in batch.column("pretoken").to_pylist()]
+            pieces = cutter.pieces(batch.column("pretoken").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces, pa.int64())], names=["pretoken", "docs", "pieces"])
 
     distinct = frequencies.filter("pretoken <> ''").groupBy("pretoken").agg(F.count(F.lit(1)).alias("docs"))

@@ -62,9 +62,10 @@ def test_each_pretoken_once(spark):
 
     cutter = PreTokens(open(WORDS, encoding="utf-8").read())
     assert cutter.spaced
-    offsets, tokens, counts = cutter.frequencies(pa.array(["the cat, the CAT.", "", "cat"]))
-    rows = [dict(zip((t[1:] for t in tokens.to_pylist()[a:b]), counts[a:b].tolist(), strict=True)) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    assert rows == [{"": 1, "the": 2, "cat": 2, ",": 1, ".": 1}, {"": 1}, {"": 1, "cat": 1}]
+    offsets, tokens, counts = cutter.frequencies(pa.array(["the cat, the CAT.", "", " cat "]))
+    rows = [dict(zip(tokens.to_pylist()[a:b], counts[a:b].tolist(), strict=True)) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    assert rows == [{"": 1, "the": 2, "cat,": 1, "CAT.": 1}, {"": 1}, {"": 1, "cat": 1}]
+    assert cutter.pieces(["the", "cat,", "CAT.", "<|endoftext|>"]) == [1, 2, 2, 1]
 
 
 def test_what_is_broadcast_fits(spark):
