@@ -16,10 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, broadcast_if_small, stored
 from .hashing import text_blocks, words_in
 
 PASSAGE_WORDS = 64
@@ -27,8 +27,10 @@ TRIGRAM_SLOTS = 256
 WORD_SLOTS = 256
 #: Labelled documents of each class that the model is fitted on, at most.
 SAMPLE_PER_CLASS = 1500
-#: Passages of all of them together, at most: a document whose passages no longer fit in isn't taken into the sample.
+#: Passages of all of them together, at most, half of them for each class.
 SAMPLE_PASSAGES = 20_000
+#: Passages of one document that the model is fitted on, at most: of a longer one so many at even distances, from the first to the last.
+DOCUMENT_PASSAGES = 256
 #: Passages that are scored at once.
 BLOCK = 2048
 HIDDEN, GATE = 24, 12
@@ -163,39 +165,54 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> Model | float:
-    """A model fitted to the labelled documents that aren't held out; the share of label 1 if there is only one class.
+def _spread(begin: int, end: int, most: int) -> np.ndarray:
+    """All places from begin to end, or ``most`` of them at even distances."""
+    return np.arange(begin, end) if end - begin <= most else np.linspace(begin, end - 1, most).round().astype(np.int64)
+
 
-    The sample takes the ``per_class`` ids of least hash of each class, as far as all their
-    passages fit into ``SAMPLE_PASSAGES``; losses are weighted so that the classes count as
-    in all labels. Ids with contradicting labels are left out; of an id with several texts
-    the least text counts.
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> Model | float:
+    """A model fitted to the labelled documents that aren't held out; the share of label 1 if only one class has any.
+
+    Of each class, documents are taken in the order of their ids' hashes, ``per_class`` at
+    most. A long document counts with ``DOCUMENT_PASSAGES`` passages from all over it; one
+    that doesn't fit into what is left of its class's half of ``SAMPLE_PASSAGES`` is passed
+    over, and those after it are still tried. Losses are weighted so that the classes count
+    as in all labels. Ids with contradicting labels or without a document are left out; of
+    an id with several texts the least text counts.
     """
     known = (
         labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
         .groupBy("doc_id").agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("other"))
         .filter("y = other").select("doc_id", "y")
     )
-    totals = {y: n for y, n in known.groupBy("y").count().collect()}  # two rows at most
+    known = broadcast_if_small(stored(known, "labels"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    present = stored(texts.select("doc_id").join(known, "doc_id").distinct(), "present")
+    totals = {y: n for y, n in present.groupBy("y").count().collect()}  # two rows at most
     if len(totals) < 2:
         return float(next(iter(totals), 0.5))
     sample = None
     for y in (0, 1):
-        part = known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        part = present.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         sample = part if sample is None else sample.unionByName(part)
     # A row per id of the sample, and never more.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     chosen = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    passages = F.greatest(F.ceil(F.regexp_count("text", F.lit(WORD)) / PASSAGE_WORDS), F.lit(1))
+    passages = F.greatest(F.ceil(F.regexp_count("text", F.lit(WORD)) / PASSAGE_WORDS), F.lit(1)).cast("int")
     chosen = stored(chosen.withColumn("passages", passages), "sample")
-    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # over 2 * per_class ids at most
-    fits = chosen.select("doc_id", F.sum("passages").over(order).alias("upto")).filter(F.col("upto") <= SAMPLE_PASSAGES).select("doc_id")
+    most = min(DOCUMENT_PASSAGES, max(1, SAMPLE_PASSAGES // 4))
+    left, taken = {0: SAMPLE_PASSAGES // 2, 1: SAMPLE_PASSAGES // 2}, []
+    for r in chosen.select("doc_id", "y", "passages").orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # 2 * per_class rows at most
+        size = min(r.passages, most)
+        if size <= left[r.y]:
+            left[r.y] -= size
+            taken.append((r.doc_id,))
+    fits = docs.sparkSession.createDataFrame(taken, "doc_id long")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, end, data, offsets in text_blocks(batch.column("text")):
                 features, begin = passage_features(data, offsets)
-                packed = [features[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
+                packed = [features[_spread(a, b, most)].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c).slice(row, end - row) for c in ("doc_id", "y")), pa.array(packed, pa.binary())], names=["doc_id", "y", "features"]
                 )
@@ -204,8 +221,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     found = {r.doc_id: r for r in rows.collect()}  # bounded: SAMPLE_PASSAGES passages of 2 * per_class documents at most
     ordered = [found[k] for k in sorted(found)]
     y = np.array([r.y for r in ordered], np.float32)
-    if len(set(y.tolist())) < 2:
-        return float(totals[1] / sum(totals.values()))
     wide = TRIGRAM_SLOTS + 6 + 4
     bags = [np.frombuffer(r.features, np.float32).reshape(-1, wide) for r in ordered]
     begin = np.concatenate([[0], np.cumsum([len(b) for b in bags])])

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from paperloom.llm import classifier
 from paperloom.llm.hashing import text_blocks
@@ -106,3 +107,44 @@ def test_the_sample_is_bounded(spark, documents, monkeypatch):
     monkeypatch.setattr(classifier, "fit", lambda x, begin, y, w: seen.update(passages=len(x), documents=len(y)) or 0.5)
     classifier.train(documents([(i, t) for i, _, t in rows] * 3), marks)
     assert 0 < seen["passages"] <= 150 and seen["documents"] <= 150
+
+
+def sampled(monkeypatch, documents, spark, rows, cap=150):
+    monkeypatch.setattr(classifier, "SAMPLE_PASSAGES", cap)
+    seen = {}
+    monkeypatch.setattr(classifier, "fit", lambda x, begin, y, w: seen.update(sizes=np.diff(begin).tolist(), y=y.tolist()) or 0.5)
+    out = classifier.train(documents([(i, t) for i, _, t in rows]), labels(spark, [(i, int(q), 0) for i, q, _ in rows]))
+    return seen, out
+
+
+def hashed_first(spark, rows):
+    ids = [i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    return df.orderBy(F.xxhash64("doc_id"), "doc_id").first()[0]
+
+
+def test_one_long_document_changes_no_other(spark, documents, monkeypatch):
+    """The first document by hash, with more passages than all may have together, takes its share and no more."""
+    rows = corpus(60)
+    first = hashed_first(spark, rows)
+    plain, _ = sampled(monkeypatch, documents, spark, rows)
+    long = [(i, q, " ".join(f"{t} {k}" for k in range(1500)) if i == first else t) for i, q, t in rows]
+    seen, _ = sampled(monkeypatch, documents, spark, long)
+    assert set(seen["y"]) == {0.0, 1.0} and max(seen["sizes"]) == 150 // 4
+    assert sum(seen["sizes"]) <= 150 and len(seen["y"]) >= len(plain["y"]) - 37
+
+
+def test_a_single_document_over_the_cap(spark, documents):
+    """Two labelled classes never give a constant."""
+    rows = [(i, q, t) for i, q, t in corpus(60)]
+    first = hashed_first(spark, rows)
+    kind = next(q for i, q, _ in rows if i == first)
+    marks = [(i, int(q), 0) for i, q, _ in rows if i == first or q != kind]
+    texts = [(i, " ".join([t] * 3000) if i == first else t) for i, _, t in rows]
+    scores = {r.score for r in score_quality(documents(texts), labels(spark, marks)).collect()}
+    assert len(scores) > 30
+
+
+def test_spread_covers_all_of_a_document():
+    assert classifier._spread(5, 9, 4).tolist() == [5, 6, 7, 8]
+    assert classifier._spread(10, 1010, 5).tolist() == [10, 260, 510, 759, 1009]
