@@ -10,9 +10,11 @@ twice, so documents that can't have a partner leave first:
    counted; documents with too few shingles there that any other document has are out.
 2. The sets of what is left are kept, their shingles counted exactly, and each set's prefix
    in rare-first order taken.
-3. Prefixes join by shingle. Pairs pass a length, a positional and a suffix filter (how
-   many shingles fall into each of 64 hash ranges; the smaller counts bound the overlap)
-   before their sets are compared, once for each pair.
+3. Prefixes join by shingle. Where they meet, a pair passes a length and a positional
+   filter and one of bitmaps (each set's shingles by 256 hash slots, odd or even; slots that
+   differ bound how much the sets differ), or no row is made of it. Pairs then pass a suffix
+   filter (how many shingles fall into each of 64 hash ranges; the smaller counts bound the
+   overlap) before their sets are compared, once for each pair.
 
 Documents of one set are one node from the start. A large group of near copies would meet
 in all pairs, so each shared shingle names a leader, the document whose prefix meets most
@@ -36,6 +38,9 @@ from .hashing import shingle_sets
 
 #: Hash ranges of the suffix filter.
 PARTS = 64
+#: The bitmap filter's slots, 64 to a column.
+SLOTS = 256
+BITS = [f"bits{i}" for i in range(SLOTS // 64)]
 #: The longer prefix has a shingle more for each so many of the set.
 LONGER = 12
 #: Shingles that a task counts before it passes them on.
@@ -125,7 +130,7 @@ def shared_counts(docs: DataFrame, percent: int, width: int) -> DataFrame:
 
 
 def open_sets(docs: DataFrame, summaries: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, n, parts, hashes) of the sets in ``nodes``; hashes: the sorted shingles, 8 bytes each; parts: how many fall into each of 64 ranges."""
+    """(node, n, parts, bits, hashes) of the sets in ``nodes``; hashes: the sorted shingles, 8 bytes each; parts: how many fall into each of 64 ranges; bits: which slots hold an odd number."""
     first = summaries.filter("n > 0 AND doc_id IS NOT NULL").join(broadcast_if_small(nodes.select("node")), "node", "left_semi")
     first = stored(first.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("one")).select("one.*"), "firsts")
     texts = docs.join(broadcast_if_small(first), ["doc_id", "text_key"], "left_semi").select("doc_id", "text_key", "text").dropDuplicates(["doc_id", "text_key"])
@@ -135,20 +140,22 @@ def open_sets(docs: DataFrame, summaries: DataFrame, nodes: DataFrame, width: in
             held, rows = 0, []
             for i, hashes in shingle_sets(batch.column("text"), width):
                 parts = np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=PARTS).astype(np.int32)
-                rows.append((_node(hashes), len(hashes), parts, hashes.tobytes()))
+                odd = np.bincount((hashes % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS) % 2
+                rows.append((_node(hashes), len(hashes), parts, np.packbits(odd.astype(np.uint8)).view(np.int64), hashes.tobytes()))
                 held += len(hashes)
                 if held > FLUSH or i == len(batch) - 1:
-                    node, n, parts, sets = zip(*rows, strict=True)
+                    node, n, parts, bits, sets = zip(*rows, strict=True)
+                    bits = [pa.array(b) for b in np.array(bits).T]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(parts, pa.list_(pa.int32())), pa.array(sets, pa.binary())], names=["node", "n", "parts", "hashes"]
+                        [pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(parts, pa.list_(pa.int32())), *bits, pa.array(sets, pa.binary())], names=["node", "n", "parts", *BITS, "hashes"]
                     )
                     held, rows = 0, []
 
-    return texts.select("text").mapInArrow(run, "node long, n int, parts array<int>, hashes binary")
+    return texts.select("text").mapInArrow(run, f"node long, n int, parts array<int>, {', '.join(f'{b} long' for b in BITS)}, hashes binary")
 
 
 def rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, node, n, place, weight) of each set's prefix, rarest shingle first, ties by hash; shingles of one set only are left out.
+    """(token, node, n, place, weight, bits) of each set's prefix, rarest shingle first, ties by hash; shingles of one set only are left out.
 
     ``weight`` is how often the prefix's shingles occur in all.
     """
@@ -173,7 +180,9 @@ def rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
     place = (F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("held", "token")) - 1).cast("int")
     least = F.ceil(F.col("n") * percent / 100 - F.lit(1e-9))
     prefix = met.select("token", "node", "n", "held", place.alias("place")).filter(F.col("place") <= F.col("n") - least)
-    return prefix.select("token", "node", "n", "place", F.sum("held").over(own).alias("weight"))
+    weighed = prefix.select("token", "node", "n", "place", F.sum("held").over(own).alias("weight"))
+    # Rows are dealt by node for the windows, so only a row for each set moves here.
+    return weighed.join(sets.select("node", *BITS), "node")
 
 
 def _least_overlap(a: str, b: str, percent: int) -> Column:
@@ -182,16 +191,20 @@ def _least_overlap(a: str, b: str, percent: int) -> Column:
 
 
 def meetings(left: DataFrame, right: DataFrame, percent: int, apart: str) -> DataFrame:
-    """``left`` (as a) and ``right`` (as b) where they share a prefix token, differ in ``apart`` and pass the length and positional filters."""
+    """``left`` (as a) and ``right`` (as b) where they share a prefix token, differ in ``apart`` and pass the length, positional and bitmap filters."""
     a, b = left.alias("a"), right.alias("b")
     small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
     after = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
+    least = _least_overlap("a.n", "b.n", percent)
+    # A shingle of one set only turns one slot, so that many slots differ at most as shingles do.
+    differ = sum((F.bit_count(F.col(f"a.{b}").bitwiseXOR(F.col(f"b.{b}"))) for b in BITS), F.lit(0))
     # This bounds the overlap if the token is the first common one, which every similar pair has within both prefixes.
     met = (
         (F.col("a.token") == F.col("b.token"))
         & (F.col(f"a.{apart}") != F.col(f"b.{apart}"))
         & (small * 100 >= large * percent)
-        & (after >= _least_overlap("a.n", "b.n", percent))
+        & (after >= least)
+        & (differ <= F.col("a.n") + F.col("b.n") - 2 * least)
     )
     return a.join(b, met)
 
@@ -228,7 +241,7 @@ def similar_pairs(docs: DataFrame, summaries: DataFrame, percent: int, width: in
     sets = stored(open_sets(docs, summaries, nodes, width), "sets")
     met = stored(rare_prefixes(sets, percent), "prefixes")
 
-    best = F.struct((-F.col("weight")).alias("order"), "node", "n", "place")
+    best = F.struct((-F.col("weight")).alias("order"), "node", "n", "place", *BITS)
     leaders = met.groupBy("token").agg(F.min(best).alias("first"), F.count(F.lit(1)).alias("held")).filter("held > 1")
     leaders = stored(leaders.select("token", "first.*"), "leaders")
     led = meetings(met, leaders, percent, "node").groupBy("a.node").agg(F.min(F.struct("b.order", "b.node")).alias("best"))
@@ -237,7 +250,7 @@ def similar_pairs(docs: DataFrame, summaries: DataFrame, percent: int, width: in
     grouped = stored(components(near), "groups")
 
     # Pairs across groups: of each token, the documents outside its largest group against all.
-    placed = met.join(grouped, "node", "left").select("token", "node", "n", "place", F.coalesce("component", "node").alias("part"))
+    placed = met.join(grouped, "node", "left").select("token", "node", "n", "place", *BITS, F.coalesce("component", "node").alias("part"))
     placed = stored(placed, "placed")
     by_part = placed.groupBy("token", "part").agg(F.count(F.lit(1)).alias("held"))
     largest = by_part.groupBy("token").agg(F.max_by("part", F.struct("held", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")

@@ -4,7 +4,9 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from paperloom.llm import jaccard
 from paperloom.llm.graph import components
 from paperloom.llm.hashing import shingle_sets
 from paperloom.llm.jaccard import keep_one, near_duplicates
@@ -108,3 +110,18 @@ def test_sets_of_words():
     texts = ["A b  c d E f", "a b c d e f", "a b", "b a", "", None, "x" * 3_000_000 + " y"]
     sets = [s for _, s in shingle_sets(pa.array(texts))]
     assert np.array_equal(sets[0], sets[1]) and [len(s) for s in sets] == [2, 2, 1, 1, 0, 0, 1] and sets[2][0] != sets[3][0]
+
+
+def test_templated_texts_make_few_rows(spark, documents):
+    """Texts of 6 of 30 sentences share shingles everywhere and are not similar: the rows of the joins stay in proportion to the texts."""
+    draw = random.Random(30)
+    sentences = [" ".join(f"s{i}w{j}" for j in range(14)) for i in range(30)]
+    made = {}
+    for n in (300, 600):
+        docs = jaccard._prepared(documents([(i, " ".join(draw.sample(sentences, 6))) for i in range(n)]))
+        summaries = jaccard.set_summaries(docs, 5)
+        sets = jaccard.open_sets(docs, summaries, summaries.select("node"), 5)
+        met = jaccard.rare_prefixes(sets, 75)
+        every = met.alias("a").join(met.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node"))).count()
+        made[n] = jaccard.meetings(met, met, 75, "node").count()
+        assert every > 10 * n and made[n] <= n
