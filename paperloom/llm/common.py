@@ -25,6 +25,17 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _scratch: list[str] = []
 
 
+#: The two halves of ``text_keys``, as columns.
+TEXT_KEY = ["key", "other"]
+
+
+def text_keys(bits: int = 64) -> list[Column]:
+    """A row's name by doc_id and text, 128 bits in two columns; the first has ``bits`` bits."""
+    whole = F.xxhash64("doc_id", "text")
+    first = whole if bits >= 64 else F.shiftleft(whole, 64 - bits) if bits else F.lit(0).cast("long")
+    return [first.alias(TEXT_KEY[0]), F.xxhash64(F.lit(128), "text", "doc_id").alias(TEXT_KEY[1])]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

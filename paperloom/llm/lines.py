@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, broadcast_if_small, stored
+from .common import TEXT_KEY, WORD, broadcast_if_small, stored, text_keys
 
 #: Unit breaks by kind, and what joins units again.
 BREAKS = {"line": "\n", "paragraph": "\n\n"}
@@ -25,30 +25,32 @@ def normalised(unit: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(unit), r"[\x20\x09-\x0D]+", " "))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+def _keyed(docs: DataFrame, bits: int = 64) -> DataFrame:
+    slim = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return slim.select("doc_id", "text", *text_keys(bits))
 
 
 def unit_digests(keyed: DataFrame, kind: str = "line", least_words: int = 1) -> DataFrame:
-    """(key, doc_id, place, digest) of the units that have enough words; place counts units of the text from 0."""
-    units = keyed.select("key", "doc_id", F.posexplode(F.split("text", f"\\Q{BREAKS[kind]}\\E", -1)).alias("place", "unit"))
-    clean = units.select("key", "doc_id", "place", normalised(F.col("unit")).alias("unit")).filter(F.regexp_count("unit", F.lit(WORD)) >= least_words)
+    """(key, other, doc_id, place, digest) of the units that have enough words; place counts units of the text from 0."""
+    units = keyed.select(*TEXT_KEY, "doc_id", F.posexplode(F.split("text", f"\\Q{BREAKS[kind]}\\E", -1)).alias("place", "unit"))
+    clean = units.select(*TEXT_KEY, "doc_id", "place", normalised(F.col("unit")).alias("unit")).filter(F.regexp_count("unit", F.lit(WORD)) >= least_words)
     # Two independent hashes: a digest of 128 bits.
-    return clean.select("key", "doc_id", "place", F.xxhash64("unit").alias("d1"), F.xxhash64(F.lit(6), F.reverse("unit")).alias("d2"))
+    return clean.select(*TEXT_KEY, "doc_id", "place", F.xxhash64("unit").alias("d1"), F.xxhash64(F.lit(6), F.reverse("unit")).alias("d2"))
 
 
 def later_occurrences(keyed: DataFrame, kind: str = "line", least_words: int = 1) -> DataFrame:
-    """(key, place) of all occurrences but the first by (doc_id with null last, key, place)."""
+    """(key, other, place) of all occurrences but the first by (doc_id with null last, key, place)."""
     units = stored(unit_digests(keyed, kind, least_words), "units")
-    rank = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key", "place")
+    rank = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", *TEXT_KEY, "place")
     groups = units.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).filter("n > 1")
     # Stored, so that the join may split the rows of a hot digest.
-    groups = stored(groups.select("d1", "d2", F.col("first.key").alias("first_key"), F.col("first.place").alias("first_place")), "groups")
+    firsts = [F.col(f"first.{c}").alias(f"first_{c}") for c in (*TEXT_KEY, "place")]
+    groups = stored(groups.select("d1", "d2", *firsts), "groups")
     met = units.join(groups, ["d1", "d2"])
-    return met.filter("key <> first_key OR place <> first_place").select("key", "place")
+    return met.filter("key <> first_key OR other <> first_other OR place <> first_place").select(*TEXT_KEY, "place")
 
 
-def remove_units(docs: DataFrame, kind: str = "line", least_words: int = 1) -> DataFrame:
+def remove_units(docs: DataFrame, kind: str = "line", least_words: int = 1, bits: int = 64) -> DataFrame:
     """(doc_id, n_units, removed, text): per input row, the text without its later occurrences.
 
     ``removed`` is an array of (start, end) of the removed units in the original text, in
@@ -57,11 +59,12 @@ def remove_units(docs: DataFrame, kind: str = "line", least_words: int = 1) -> D
     rank by doc_id, null last, then by a hash; within one text the earlier unit comes
     first. Rows that repeat both id and text are one document: they share its fate. Null
     texts are empty, and empty texts have one empty unit, which stays; a text all of whose
-    units go becomes empty. An empty table gives no rows; other columns are not read.
+    units go becomes empty. An empty table gives no rows; other columns are not read. Documents are told apart by 128 bits, of whose first
+    half ``bits`` are used.
     """
-    keyed = _keyed(docs)
+    keyed = _keyed(docs, bits)
     later = later_occurrences(keyed, kind, least_words)
-    gone = stored(later.groupBy("key").agg(F.collect_set("place").alias("gone")), "gone")
+    gone = stored(later.groupBy(*TEXT_KEY).agg(F.collect_set("place").alias("gone")), "gone")
     brk = BREAKS[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,10 +80,10 @@ def remove_units(docs: DataFrame, kind: str = "line", least_words: int = 1) -> D
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), spans, pa.array(texts, pa.string())], names=["doc_id", "n_units", "removed", "text"])
 
     spans = "array<struct<start:bigint,end:bigint>>"
-    ids = broadcast_if_small(gone.select("key"))
-    touched = keyed.join(ids, "key", "left_semi").join(gone.hint("shuffle_hash"), "key").select("doc_id", "text", "gone")
+    ids = broadcast_if_small(gone.select(*TEXT_KEY))
+    touched = keyed.join(ids, TEXT_KEY, "left_semi").join(gone.hint("shuffle_hash"), TEXT_KEY).select("doc_id", "text", "gone")
     changed = touched.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_units long, removed {spans}, text string")
-    same = keyed.join(ids, "key", "left_anti").select(
+    same = keyed.join(ids, TEXT_KEY, "left_anti").select(
         "doc_id", F.size(F.split("text", f"\\Q{brk}\\E", -1)).cast("long").alias("n_units"), F.expr(f"CAST(array() AS {spans})").alias("removed"), "text"
     )
     return changed.unionByName(same)

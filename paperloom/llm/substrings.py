@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, stored
+from .common import broadcast_if_small, stored, text_keys
 from .hashing import BLOCK_BYTES, mixed, running_sum, text_blocks
 
 LENGTH = 400
@@ -144,8 +144,22 @@ def suffix_ranks(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("key", "text", "runs").mapInArrow(run, "whole long, other long, key long, at long, open boolean")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+def _keyed(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """(doc_id, text, key): different rows have different keys.
+
+    Rows of the runs carry the key, so it has 64 bits. Documents that share one, told by 128
+    bits, get another of 64 bits, until none does.
+    """
+    keyed = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    keyed = keyed.select("doc_id", "text", *text_keys(bits))
+    for salt in range(1, 10):
+        shared = keyed.groupBy("key").agg(F.min("other").alias("least"), F.max("other").alias("most")).filter("least <> most").select("key", F.lit(True).alias("shared"))
+        shared = stored(shared, "keys")
+        if shared.isEmpty():
+            return keyed.select("doc_id", "text", "key")
+        keyed = keyed.join(broadcast_if_small(shared), "key", "left")
+        keyed = keyed.withColumn("key", F.when(F.col("shared"), F.xxhash64(F.lit(salt), "other", "key")).otherwise(F.col("key"))).drop("shared")
+    raise RuntimeError("documents of one key can't be told apart")
 
 
 def repeated_starts(keyed: DataFrame, length: int = LENGTH, gap: int = GAP, bits: int = 64) -> DataFrame:
@@ -185,7 +199,7 @@ def merged(starts: DataFrame, length: int) -> DataFrame:
     return run.groupBy("key", "run").agg(F.min("low").alias("low"), F.max("high").alias("high")).select("key", "low", "high")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gap: int = GAP, bits: int = 64) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gap: int = GAP, bits: int = 64, key_bits: int = 64) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): per input row, the removed byte runs (start, end) and the bytes left.
 
     A byte goes if it is within ``length`` bytes that also start at another place of any
@@ -195,9 +209,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gap: int = GAP, bits:
     kept; an empty table gives no rows; other columns are not read. ``kept`` is binary, as
     a cut may fall inside a character. Strings are equal if their 128-bit BLAKE2b
     digests are; a collision of ranks, which have ``bits`` bits,
-    removes nothing.
+    removes nothing, nor does one of document keys, which have ``key_bits`` at first.
     """
-    keyed = _keyed(docs)
+    keyed = _keyed(docs, key_bits)
     starts = repeated_starts(keyed, length, gap, bits)
     cuts = stored(merged(starts, length).groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("starts")), "cuts")
 

@@ -56,3 +56,10 @@ def test_short_lines_go_by_default(documents):
     got = {r.doc_id: (len(r.removed), r.text) for r in remove_units(documents(rows)).collect()}
     assert got == {1: (0, rows[0][1]), 2: (2, "x\n\n "), 3: (1, ""), 4: (0, "")}
     assert all(not r.removed for r in remove_units(documents(rows), "line", 10).collect())
+
+
+def test_documents_of_one_key_are_told_apart(documents):
+    """With no bits in the first half of the key: texts of many and of few lines, repeated ids too."""
+    rows = [(i, "\n".join(["a b", f"own {i}", *[f"line {k}" for k in range(i % 7)], "a b"])) for i in range(40)] + [(3, "line 5"), (None, "own 1\nnew")]
+    whole = sorted(map(str, remove_units(documents(rows)).collect()))
+    assert sorted(map(str, remove_units(documents(rows), bits=0).collect())) == whole

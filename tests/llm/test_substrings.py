@@ -93,3 +93,12 @@ def test_blocks_of_sliced_arrays():
     texts = pa.array(["skip", "ab", None, "", "cé"]).slice(1)
     got = [(a, b, bytes(d), o.tolist()) for a, b, d, o in hashing.text_blocks(texts, 3)]
     assert [g[:3] for g in got] == [(0, 3, b"ab"), (3, 4, "cé".encode())] and got[0][3] == [0, 2, 2, 2]
+
+
+@pytest.mark.parametrize("key_bits", [0, 2])
+def test_documents_of_one_key_are_told_apart(documents, key_bits):
+    rng = random.Random(key_bits)
+    pool = ["".join(rng.choices("abcd", k=60)) for _ in range(6)]
+    rows = [(i, "".join(rng.choices(pool, k=rng.randint(0, 4))) + str(i)) for i in range(40)] + [(3, pool[0]), (3, pool[0]), (None, pool[1] + pool[0])]
+    whole = sorted(map(str, remove_repeats(documents(rows), 30, 9).collect()))
+    assert sorted(map(str, remove_repeats(documents(rows), 30, 9, key_bits=key_bits).collect())) == whole
