@@ -30,7 +30,7 @@ from tokenizers import Tokenizer
 from .common import BROADCAST_BYTES, ROW_BYTES, stored
 
 #: Bytes of text that are counted at once; a longer text is counted alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 SPACE = r"[\x20\x09-\x0D]+"
 
 # Tasks run side by side already.
@@ -148,7 +148,7 @@ def widespread(pieces: DataFrame, most_bytes: int) -> DataFrame:
     return pieces.filter(F.col("docs") >= F.lit(1 << least))
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = 2048, most_bytes: int = 2 * BROADCAST_BYTES) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, limit: int = 2048, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit): per input row, the tokens of its whole text by the tokenizer file at ``path``.
 
     ``path`` is a JSON file of the ``tokenizers`` library, read by the driver and sent to the
