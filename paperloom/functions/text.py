@@ -73,9 +73,8 @@ def tokens(x: Column) -> Column:
 
 def lexical_terms(x: Column) -> Column:
     """Lower-cased words of letters and digits with two characters or more, each once, without stop words."""
-    words = F.split(F.regexp_replace(F.lower(x), r"[^\p{L}\p{Nd}]", " "), r"\s+")
-    long = F.filter(words, lambda w: F.length(w) >= 2)
-    return F.array_except(F.array_distinct(long), F.array(*[F.lit(w) for w in STOP_WORDS]))
+    words = F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{Nd}]{2,}"), F.lit(0))
+    return F.array_except(words, F.array(*[F.lit(w) for w in STOP_WORDS]))
 
 
 def content_hash(x: Column) -> Column:

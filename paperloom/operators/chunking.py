@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, instant, is_heading, point_id, tokens, trimmed
@@ -17,25 +17,41 @@ def windows(words: Column, size: int = WINDOW, overlap: int = OVERLAP) -> Column
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(words, i * step + 1, F.lit(size)))
 
 
+def _sections(text: Column) -> Column:
+    """Arrays of lines, a section each, of one text; nothing leaves its row."""
+    lines = F.transform(F.split(trimmed(F.replace(text, F.lit("\r\n"), F.lit("\n"))), "\n", -1), trimmed)
+    # The line array is bound once, by a transform over a single element.
+    return F.get(F.transform(F.array(lines), _cut_at_headings), F.lit(0))
+
+
+def _cut_at_headings(lines: Column) -> Column:
+    marked = F.transform(lines, lambda x, i: F.when((i == 0) | ((x != "") & is_heading(x)), i + 1))
+    begins = F.transform(F.array(F.array_compact(marked)), lambda at: F.transform(at, lambda x, i: F.slice(lines, x, F.coalesce(F.get(at, i + 1), F.size(lines) + 1) - x)))
+    return F.get(begins, F.lit(0))
+
+
+def _body(lines: Column) -> Column:
+    return trimmed(F.array_join(lines, "\n"))
+
+
 def sections(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """(key, section, body): a section starts at a heading that follows other lines; lines are trimmed, blank ones inside kept."""
-    whole = trimmed(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")))
-    lines = texts.select(key, F.posexplode(F.split(whole, "\n", -1)).alias("line_no", "raw")).withColumn("line", trimmed(F.col("raw")))
-    before = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    starts = F.when((F.col("line") != "") & is_heading(F.col("line")) & (F.col("line_no") > 0), F.lit(1)).otherwise(F.lit(0))
-    numbered = lines.withColumn("section", F.sum(starts).over(before).cast("int"))
-    grouped = numbered.groupBy(key, "section").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("lines"))
-    body = trimmed(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))
-    return grouped.select(key, "section", body.alias("body")).filter("body <> ''")
+    """(key, section, body): a section starts at a heading that follows other lines; lines are trimmed, blank ones inside kept.
+
+    Each text is cut inside its row, so no line is moved.
+    """
+    found = texts.select(key, F.posexplode(_sections(F.col(text))).alias("section", "lines"))
+    return found.select(key, "section", _body(F.col("lines")).alias("body")).filter("body <> ''")
 
 
 def chunks(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """(key, chunk_no, chunk): sections that fit as they are, longer ones as windows joined by spaces; numbers from 1."""
-    parts = sections(texts, key, text).withColumn("words", tokens(F.col("body")))
-    pieces = F.when(F.size("words") <= WINDOW, F.array("body")).otherwise(F.transform(windows(F.col("words")), lambda w: F.array_join(w, " ")))
-    rows = parts.select(key, "section", F.posexplode(pieces).alias("piece", "chunk"))
-    order = Window.partitionBy(key).orderBy("section", "piece")
-    return rows.select(key, F.row_number().over(order).alias("chunk_no"), "chunk")
+
+    def pieces(body: Column) -> Column:
+        words = F.transform(F.array(tokens(body)), lambda w: F.when(F.size(w) <= WINDOW, F.array(body)).otherwise(F.transform(windows(w), lambda x: F.array_join(x, " "))))
+        return F.get(words, F.lit(0))
+
+    bodies = F.filter(F.transform(_sections(F.col(text)), _body), lambda b: b != "")
+    return texts.select(key, F.posexplode(F.flatten(F.transform(bodies, pieces))).alias("n", "chunk")).select(key, (F.col("n") + 1).alias("chunk_no"), "chunk")
 
 
 def oversized(rows: DataFrame, most: int = MOST) -> DataFrame:

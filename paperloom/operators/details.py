@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .listing import ORDERS, Page, page_of
 from .relations import children, reference, references
 
 PERSON = ["id", "full_name", "position"]
 ATTACHMENT = ["id", "file_name", "extraction_status", "extraction_error", "uploaded_at", "uploaded_by"]
+#: What a reminder shows of its document.
+DOCUMENT = ["id", "reference_number", "sender_org", "summary", "deadline", "status"]
 #: Attachments stand in the order in which they came.
 BY_TIME = [("uploaded_at", False), ("id", False)]
 
@@ -38,3 +41,17 @@ def outgoing_details(docs: DataFrame, templates: DataFrame, types: DataFrame, in
     out = reference(out, members, "related_member_id", PERSON, "related_member")
     out = references(out, staff, {"drafted_by_staff_id": "drafted_by", "approved_by_staff_id": "approved_by"}, [*PERSON, "department"])
     return _with_attachments(out, files, staff, "outgoing_document_id")
+
+
+def reminder_page(reminders: DataFrame, incoming: DataFrame, page: int | None = None, page_size: int | None = None) -> Page:
+    """A page of reminders (as ``listing.reminders`` filters them), newest first, each with its incoming document."""
+    cut = page_of(reminders, ORDERS["reminder_history"], page, page_size)
+    with_document = reference(cut.items, incoming, "incoming_document_id", DOCUMENT, "incoming_document", required=True)
+    return Page(with_document, cut.page, cut.page_size, cut.total)
+
+
+def review_page(history: DataFrame, staff: DataFrame, outgoing_document_id, page: int | None = None, page_size: int | None = None) -> Page:
+    """A page of a document's reviews, the last first, each with its reviewer; none for a rule's review."""
+    mine = history.filter(F.col("outgoing_document_id") == F.lit(outgoing_document_id))
+    cut = page_of(mine, ORDERS["review_history"], page, page_size)
+    return Page(reference(cut.items, staff, "reviewed_by_staff_id", PERSON, "reviewed_by"), cut.page, cut.page_size, cut.total)

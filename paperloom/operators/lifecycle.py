@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .mutations import compare_and_set
+from .mutations import compare_and_set, one_per_key
 
 
-def assignment_suggested(docs: DataFrame, suggestions: DataFrame, now: Column) -> DataFrame:
+def assignment_suggested(docs: DataFrame, suggestions: DataFrame, now: Column, order: str | None = None) -> DataFrame:
     """Take in suggestions (id, decision, staff_id, reason): Suggested sets the suggestion columns, any other decision clears them.
 
-    A confirmed assignment is left alone.
+    A confirmed assignment is left alone. Of several suggestions for a document the last by
+    ``order`` holds, as of ``one_per_key``.
     """
-    side = suggestions.select(F.col("id").alias("__id"), "decision", "staff_id", "reason")
+    side = one_per_key(suggestions, ["id"], order).select(F.col("id").alias("__id"), "decision", "staff_id", "reason")
     joined = docs.join(side, F.col("id") == F.col("__id"), "left")
     hit, yes = F.col("__id").isNotNull(), F.col("decision") == "Suggested"
     put = lambda value, old, kind: F.when(hit & yes, value).when(hit, F.lit(None).cast(kind)).otherwise(F.col(old))
@@ -70,19 +71,25 @@ def review_claimed(docs: DataFrame, doc_id: str, seen_at: Column, now: Column) -
     return compare_and_set(docs, (F.col("id") == doc_id) & open_states & (F.col("updated_at") == seen_at), {"status": F.lit("PendingReview"), "updated_at": now})
 
 
-def review_committed(docs: DataFrame, history: DataFrame, reviews: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+def review_committed(docs: DataFrame, history: DataFrame, reviews: DataFrame, now: Column, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Documents and history after reviews (outgoing_document_id, review_source, reviewed_by_staff_id, review_result, review_issues).
 
-    Only documents that were claimed take part; the attempt is one more than the last.
+    Only documents that were claimed take part. Several reviews of a document are attempts
+    one after the other, by ``order`` and then by all columns: each is in the history, with
+    numbers that go on from the last one there, and the last sets the document's state. A
+    review that is repeated in all columns is one attempt.
     """
     claimed = docs.filter("status = 'PendingReview'").select(F.col("id").alias("outgoing_document_id"), F.col("content").alias("content_snapshot"))
     last = history.groupBy("outgoing_document_id").agg(F.max("attempt_no").alias("last"))
-    rows = reviews.join(claimed, "outgoing_document_id").join(last, "outgoing_document_id", "left")
-    rows = rows.withColumn("attempt_no", (F.coalesce("last", F.lit(0)) + 1).cast("int")).drop("last")
+    turn = Window.partitionBy("outgoing_document_id").orderBy(*([order] if order else []), F.struct(*[c for c in reviews.columns if c != order]))
+    numbered = reviews.distinct().withColumn("__turn", F.row_number().over(turn))
+    rows = numbered.join(claimed, "outgoing_document_id").join(last, "outgoing_document_id", "left")
+    rows = rows.withColumn("attempt_no", (F.coalesce("last", F.lit(0)) + F.col("__turn")).cast("int")).drop("last")
     rows = rows.withColumns({"id": F.concat_ws(":", "outgoing_document_id", "attempt_no"), "reviewed_at": now})
-    done = rows.select(
-        F.col("outgoing_document_id").alias("__id"), F.col("review_issues").alias("__issues"),
-        F.when(F.col("review_result") == "Failed", F.lit("ReviewFailed")).otherwise(F.lit("PendingApproval")).alias("__status"),
+    deciding = rows.groupBy("outgoing_document_id").agg(F.max_by(F.struct("review_result", "review_issues"), "__turn").alias("r"))
+    done = deciding.select(
+        F.col("outgoing_document_id").alias("__id"), F.col("r.review_issues").alias("__issues"),
+        F.when(F.col("r.review_result") == "Failed", F.lit("ReviewFailed")).otherwise(F.lit("PendingApproval")).alias("__status"),
     )
     joined = docs.join(done, F.col("id") == F.col("__id"), "left")
     hit = F.col("__id").isNotNull()
@@ -96,15 +103,19 @@ def review_committed(docs: DataFrame, history: DataFrame, reviews: DataFrame, no
     return new_docs, history.unionByName(rows.select(*history.columns))
 
 
-def approval_decided(docs: DataFrame, history: DataFrame, decisions: DataFrame, now: Column) -> DataFrame:
+def approval_decided(docs: DataFrame, history: DataFrame, decisions: DataFrame, now: Column, order: str | None = None) -> DataFrame:
     """Decisions (id, leader_id, decision Approve or Return) on documents that wait for approval and whose last review passed.
 
-    Approve sets the approver, Return clears it and reopens editing; ``changed`` says which took effect.
+    Approve sets the approver, Return clears it and reopens editing; ``changed`` says which
+    took effect. Of several valid decisions on a document the first by ``order`` does (then
+    by all columns): after it the document waits no more.
     """
     passed = history.groupBy(F.col("outgoing_document_id").alias("__id")).agg(F.max_by("review_result", "attempt_no").alias("__result"))
-    side = decisions.select(F.col("id").alias("__doc"), "leader_id", "decision")
+    rank = F.struct(*([F.col(order).alias("__order")] if order else []), "decision", "leader_id")
+    first = decisions.filter(F.col("decision").isin("Approve", "Return")).groupBy(F.col("id").alias("__doc")).agg(F.min(rank).alias("__first"))
+    side = first.select("__doc", "__first.leader_id", "__first.decision")
     joined = docs.join(side, F.col("id") == F.col("__doc"), "left").join(passed, F.col("id") == F.col("__id"), "left")
-    ready = F.col("decision").isin("Approve", "Return") & (F.col("status") == "PendingApproval") & (F.col("__result") == "Passed")
+    ready = F.col("decision").isNotNull() & (F.col("status") == "PendingApproval") & (F.col("__result") == "Passed")
     yes = F.col("decision") == "Approve"
     out = compare_and_set(
         joined,

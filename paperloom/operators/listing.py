@@ -8,7 +8,7 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_PAGE_SIZE = 100
@@ -175,8 +175,10 @@ def reminders(history: DataFrame, caller: str, is_administrator: bool, recipient
 
 
 def by_key(rows: DataFrame, key, column: str = "id") -> DataFrame:
-    """The row of a key, or none."""
-    return rows.filter(F.col(column) == F.lit(key))
+    """The row of a key, or none; it is an error, when the row is read, if there are several."""
+    found = rows.filter(F.col(column) == F.lit(key))
+    alone = F.assert_true(F.count(F.lit(1)).over(Window.partitionBy(column)) == 1, F.lit(f"several rows have one {column}"))
+    return found.withColumn("__alone", alone).filter(F.col("__alone").isNull()).drop("__alone")
 
 
 def in_keys(rows: DataFrame, keys: DataFrame, column: str = "id") -> DataFrame:

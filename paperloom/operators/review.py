@@ -47,7 +47,7 @@ def format_issues(text: Column, codes: list[str], rules: tuple[FormatRule, ...]
     found = [
         F.when(
             ~passes(text, known[c]),
-            F.struct(F.lit(c).alias("code"), F.lit("Error").alias("severity"), F.lit(known[c].message).alias("message"), F.lit(known[c].location).alias("location")),
+            F.struct(F.lit(c).alias("ruleCode"), F.lit("Error").alias("severity"), F.lit(known[c].message).alias("message"), F.lit(known[c].location).alias("location")),
         )
         for c in codes
     ]

@@ -313,13 +313,13 @@ def insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "upsert_and_delete",
     """
-SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN -1 ELSE label END AS label FROM embeddings WHERE vec_id % 5 <> 0 AND (vec_id % 3 = 0 OR vec_id % 2 = 0)
+SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN -1 ELSE label END AS label FROM embeddings WHERE vec_id % 5 <> 0
 """,
 )
 def upsert_and_delete(spark: SparkSession, d: str) -> DataFrame:
     points = sf_table(spark, d, "embeddings").select("vec_id", "label")
     new = points.filter("vec_id % 2 = 0").withColumn("label", F.lit(-1))
-    return mutations.deleted(mutations.upserted(points.filter("vec_id % 3 = 0"), new, ["vec_id"]), points.filter("vec_id % 5 = 0"), ["vec_id"])
+    return mutations.deleted(mutations.upserted(points.filter("vec_id % 2 = 1 OR vec_id % 3 = 0"), new, ["vec_id"]), points.filter("vec_id % 5 = 0"), ["vec_id"])
 
 
 @query(
@@ -439,7 +439,7 @@ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 def format_rules(spark: SparkSession, d: str) -> DataFrame:
     docs = sf_table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("content"))
     found = review.review(docs, ["header", "reference", "signature"], rules=_RULES)
-    return found.select("doc_id", F.array_join(F.transform("issues", lambda i: i["code"]), ",").alias("codes"))
+    return found.select("doc_id", F.array_join(F.transform("issues", lambda i: i["ruleCode"]), ",").alias("codes"))
 
 
 @query(

@@ -30,10 +30,13 @@ def read_files(spark: SparkSession, path: str, most_bytes: int = MOST_FILE_BYTES
 
 
 def open_by_key(files: DataFrame, root: str, key: str) -> DataFrame:
-    """The file of a storage key, or none; keys that leave the root are refused."""
+    """The file of a storage key, or none; keys that leave the root are refused. The whole path decides, in the form that Spark's readers give."""
     if key.startswith("/") or ".." in key.replace("\\", "/").split("/"):
         raise ValueError("a key stays under its root")
-    return files.filter(F.col("path").endswith(f"{root.rstrip('/')}/{key}"))
+    spark = files.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{key}")
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path)
+    return files.filter(F.col("path") == whole.toString())
 
 
 def extension(name: Column) -> Column:

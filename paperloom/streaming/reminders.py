@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.text import business_date
 from ..operators.reminders import run_day
 
 EVERY_MINUTES = 15
@@ -44,13 +43,15 @@ def reminder_cycle(read_docs: Callable[[], DataFrame], read_history: Callable[[]
     return run
 
 
-def reminder_batches(cycle: Callable[[dt.date], bool], zone: str = ZONE):
-    """A ``foreachBatch`` function over ticks of (timestamp): one run for each business date among them."""
+def reminder_batches(cycle: Callable[[dt.date], bool], zone: str = ZONE, clock: Callable[[ZoneInfo], dt.datetime] = dt.datetime.now):
+    """A ``foreachBatch`` function: each batch of ticks is one run of the present business date.
+
+    The ticks' own times don't count. After a downtime they catch up with days on which no
+    run was made, and these are past: reminders are for today.
+    """
 
     def run(ticks: DataFrame, batch_id: int) -> None:
-        days = ticks.select(business_date(F.col("timestamp"), zone).alias("day")).distinct().orderBy("day")
-        for row in days.toLocalIterator():  # a few dates
-            cycle(row.day)
+        cycle(clock(ZoneInfo(zone)).date())
 
     return run
 

@@ -194,7 +194,7 @@ HEAD, NUMBER, SIGN = "CỘNG HÒA XÃ HỘI CHỦ NGHĨA VIỆT NAM\nĐộc lậ
 def test_format_review(spark, content, codes):
     docs = spark.createDataFrame([(content,)], "content string")
     row = review.review(docs, [r.code for r in review.RULES]).first()
-    assert [i.code for i in row.issues] == codes
+    assert [i.ruleCode for i in row.issues] == codes
     assert (row.review_source, row.review_result) == (("Rule", "Failed") if codes else ("Hybrid", None))
 
 

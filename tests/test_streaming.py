@@ -16,7 +16,8 @@ def test_repeated_ticks_write_once(spark, tmp_path):
     history = str(tmp_path / "history")
     empty_table(spark, "reminder_history").write.parquet(history)
     cycle = reminder_cycle(lambda: docs, lambda: read_table(spark, history, "reminder_history"), lambda _, new: new.write.mode("append").parquet(history))
-    run = reminder_batches(cycle)
+    now = [dt.datetime(2026, 8, 2, 1)]
+    run = reminder_batches(cycle, clock=lambda zone: now[0].replace(tzinfo=zone))
     ticks = str(tmp_path / "ticks")
 
     def tick(hour):
@@ -28,6 +29,14 @@ def test_repeated_ticks_write_once(spark, tmp_path):
     tick(2)
     stored = read_table(spark, history, "reminder_history")
     assert stored.count() == 2 == stored.dropDuplicates(KEY).count()
+    # A gap: the ticks of the days between come all at once, and only today counts.
+    now[0] = dt.datetime(2026, 8, 6, 9)
+    tick(3)
+    for day in range(3, 7):
+        spark.createDataFrame([(dt.datetime(2026, 8, day, 1),)], "timestamp timestamp").write.mode("append").parquet(ticks)
+    drain(spark.readStream.schema("timestamp timestamp").parquet(ticks), run, str(tmp_path / "checkpoint")).awaitTermination()
+    later = read_table(spark, history, "reminder_history").filter(F.col("reminder_date") != today)
+    assert {(r.incoming_document_id, r.reminder_kind, r.reminder_date) for r in later.collect()} == {(i, "Overdue", dt.date(2026, 8, 6)) for i in "123"}
 
 
 def test_runs_at_once_saves_both_and_retries(spark, tmp_path):
