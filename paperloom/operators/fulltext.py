@@ -90,6 +90,10 @@ def _any(found: list[Clause]) -> Column:
     return out
 
 
+def _shifted(places: Column, by: int) -> Column:
+    return F.transform(places, lambda p: p - by)
+
+
 def _times(clause: Clause, name: str) -> Column:
     """How often the clause is met in a text, over its postings."""
     if len(clause.words) == 1:
@@ -98,7 +102,7 @@ def _times(clause: Clause, name: str) -> Column:
     # Where the first word starts a phrase, the others stand at the places after it.
     starts = places[0]
     for i, place in enumerate(places[1:], 1):
-        starts = F.array_intersect(starts, F.transform(place, lambda p, i=i: p - i))
+        starts = F.array_intersect(starts, _shifted(place, i))
     return F.size(starts).cast("long").alias(name)
 
 

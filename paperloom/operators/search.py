@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lexical_terms
@@ -12,20 +12,46 @@ LEAST_QUERY = 2
 DEPTH = 2
 
 
+def plain_words(x: Column) -> Column:
+    """The words of a text as phrases are looked for in it: lower-cased, anything but letters and digits made one space."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"[^\p{L}\p{Nd}]", " "), r"\s+", " "))
+
+
+def _grams(x: Column) -> Column:
+    """The distinct runs of three characters."""
+    return F.when(F.length(x) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - 2), lambda i: F.substring(x, i, F.lit(3)))))
+
+
+def phrase_hits(queries: DataFrame, signals: DataFrame, query_id: str, source_id: str) -> DataFrame:
+    """(query_id, source_id): the sources one of whose phrases is in the query's ``plain`` text.
+
+    A phrase is looked for only where its rarest run of three characters is: queries and
+    phrases meet by a join of these. Shorter phrases are looked for in every query; a blank one is in all.
+    """
+    phrases = signals.filter("phrase IS NOT NULL").select(source_id, F.lower("phrase").alias("phrase")).distinct()
+    runs = queries.select(query_id, "plain", F.explode(_grams(F.col("plain"))).alias("gram"))
+    counts = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
+    asked = phrases.select("phrase").distinct().select("phrase", F.explode(_grams(F.col("phrase"))).alias("gram"))
+    # A phrase with a run that no query has is in none: its count stays null and orders first.
+    rarest = asked.join(counts, "gram", "left").groupBy("phrase").agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "gram")).alias("r")).filter("r.held > 0")
+    met = runs.join(rarest.select("phrase", F.col("r.gram").alias("gram")), "gram").filter(F.contains("plain", F.col("phrase"))).select(query_id, "phrase")
+    short = phrases.filter(F.length("phrase") < 3).select("phrase").distinct()
+    near = queries.select(query_id, "plain").join(short, F.contains("plain", F.col("phrase"))).select(query_id, "phrase")
+    return met.unionByName(near).join(phrases, "phrase").select(query_id, source_id).distinct()
+
+
 def lexical_candidates(queries: DataFrame, sources: DataFrame, signals: DataFrame, query_id: str = "query_id", source_id: str = "source_id") -> DataFrame:
     """(query_id, source_id, overlap, rank) of sources with a signal phrase in the query and a common term.
 
     ``queries`` (query_id, query), ``sources`` (source_id, content) active and internal
-    ones only, ``signals`` (source_id, phrase). The join is on common terms; phrases are
-    looked up for pairs that have one.
+    ones only, ``signals`` (source_id, phrase). Phrases decide which pairs there are, and
+    only the terms of these are compared.
     """
-    asked = queries.select(query_id, "query", F.trim(F.regexp_replace(F.regexp_replace(F.lower("query"), r"[^\p{L}\p{Nd}]", " "), r"\s+", " ")).alias("plain"))
-    left = asked.select(query_id, "plain", F.explode(lexical_terms(F.col("query"))).alias("term"))
-    right = sources.select(source_id, F.explode(lexical_terms(F.col("content"))).alias("term"))
-    pairs = left.join(right, "term").groupBy(query_id, "plain", source_id).agg(F.sort_array(F.collect_set("term")).alias("overlap"))
-    phrases = signals.groupBy(source_id).agg(F.collect_set(F.lower("phrase")).alias("phrases"))
-    hit = F.exists("phrases", lambda p: F.contains(F.col("plain"), p))
-    found = pairs.join(phrases, source_id).filter(hit)
+    asked = queries.select(query_id, plain_words(F.col("query")).alias("plain"), lexical_terms(F.col("query")).alias("asked"))
+    pairs = phrase_hits(asked.select(query_id, "plain"), signals, query_id, source_id)
+    held = sources.select(source_id, lexical_terms(F.col("content")).alias("held"))
+    both = held.join(pairs, source_id).join(asked.select(query_id, "asked"), query_id)
+    found = both.select(query_id, source_id, F.sort_array(F.array_intersect("asked", "held")).alias("overlap")).filter(F.size("overlap") > 0)
     order = Window.partitionBy(query_id).orderBy(F.size("overlap").desc(), F.col(source_id))
     return found.select(query_id, source_id, "overlap", F.row_number().over(order).alias("rank"))
 

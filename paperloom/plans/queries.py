@@ -755,3 +755,7 @@ def table_rules(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderdate")).alias("read_at"), F.when(F.col("o_orderkey") % 9 == 0, F.lit("Soon")).otherwise(F.lit("DueDate")).alias("reminder_kind"),
     )
     return audit.row_violations(rows, ROW_RULES["reminder_history"])
+
+
+# The other modules register theirs in the same tables.
+from . import index_queries, workflow_queries  # noqa: E402, F401
