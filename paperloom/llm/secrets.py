@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import broadcast_if_small, stored
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -150,7 +152,8 @@ def _with_candidates(docs: DataFrame, rules) -> DataFrame:
         F.coalesce("text", F.lit("")).alias("text"),
         F.xxhash64("doc_id", "text").alias("key"),
     )
-    found = candidates(keyed.select("key", "text"), rules)
+    # A row for each candidate, without its text: while they are few, no text moves to meet them.
+    found = broadcast_if_small(stored(candidates(keyed.select("key", "text"), rules), "candidates"))
     return keyed.join(found, "key", "left")
 
 
