@@ -141,3 +141,81 @@ def test_standard_wordings(spark):
         1: "GPL-2.0-only", 2: "GPL-2.0-only", 3: "GPL-2.0-or-later", 4: "GPL-3.0-or-later", 5: "BSD-3-Clause", 6: "BSD-3-Clause",
         7: "BSD-2-Clause", 8: "BSD-2-Clause", 9: "Apache-2.0", 10: "MIT", 11: "(GPL-2.0-only WITH Linux-syscall-note) OR Zlib",
     }
+
+
+ZLIB = """Copyright (c) 2020 Somebody
+
+This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software. If you use this software
+   in a product, an acknowledgment in the product documentation would be
+   appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.
+"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+"""
+BOOST = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works of the
+Software, and to permit third-parties to whom the Software is furnished to
+do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including
+the above license grant, this restriction and the following disclaimer,
+must be included in all copies of the Software, in whole or in part, and
+all derivative works of the Software, unless such copies or derivative
+works are solely in the form of machine-executable object code generated by
+a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT.
+"""
+EPL = """/*******************************************************************************
+ * Copyright (c) 2020 Somebody
+ *
+ * This program and the accompanying materials are made available under the
+ * terms of the Eclipse Public License 2.0 which is available at
+ * https://www.eclipse.org/legal/epl-2.0/
+ ******************************************************************************/
+class X {}
+"""
+CC0 = """CC0 1.0 Universal
+
+Statement of Purpose
+
+The laws of most jurisdictions throughout the world automatically confer
+exclusive Copyright and Related Rights (defined below) upon the creator and
+subsequent owner(s) (each and all, an "owner") of an original work of
+authorship and/or a database (each, a "Work").
+"""
+
+
+def test_further_licences_and_false_ones(spark):
+    rows = [
+        (1, "z/LICENSE", ZLIB), (2, "z/x.c", "int x;"), (3, "s/z.c", "/*\n" + "".join(f" * {x}\n" for x in ZLIB.split("\n")) + " */\nint y;\n"), (4, "u/UNLICENSE.md", UNLICENSE), (5, "u/LICENSE", UNLICENSE),
+        (6, "b/LICENSE_1_0.txt", BOOST), (7, "b2/LICENSE", BOOST), (8, "e/X.java", EPL), (9, "e/LICENSE", "Eclipse Public License - v 2.0\n\n    THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE\n    PUBLIC LICENSE\n"),
+        (10, "c/LICENSE", CC0), (11, "p/a.c", "// Use of this source code is governed by a BSD-style license. All rights reserved.\n"), (12, "p/b.c", "// Copyright 2020 Somebody. All rights reserved.\n"),
+        (13, "p/c.c", "// SPDX-License-Identifier: not-a-license\n"), (14, "p/d.py", "# Files start with SPDX-License-Identifier: MIT as a rule.\n\n" + commented(APACHE, "#")), (15, "p/e.html", "<!-- SPDX-License-Identifier: Apache-2.0 OR MIT -->\n"),
+    ]
+    got = {r.doc_id: r.license for r in scan_licenses(table(spark, rows)).collect()}
+    assert got == {
+        1: "Zlib", 2: "Zlib", 3: "Zlib", 4: "Unlicense", 5: "Unlicense", 6: "BSL-1.0", 7: "BSL-1.0", 8: "EPL-2.0", 9: "EPL-2.0", 10: "CC0-1.0", 11: None, 12: "Proprietary", 13: None, 14: "Apache-2.0", 15: "Apache-2.0 OR MIT",
+    }
