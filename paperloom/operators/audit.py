@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -20,3 +22,19 @@ def repeated_keys(rows: DataFrame, key: list[str]) -> DataFrame:
 def missing_parents(rows: DataFrame, parents: DataFrame, key: str, parent_key: str = "id") -> DataFrame:
     """Rows whose key isn't null and has no parent."""
     return rows.filter(F.col(key).isNotNull()).join(parents.select(F.col(parent_key).alias(key)), key, "left_anti")
+
+
+def written_with_counts(rows: DataFrame, write: Callable[[DataFrame], None], counts: dict[str, Column]) -> dict[str, int]:
+    """Let ``write`` write the rows, and count in the same pass: name -> how many rows meet a condition, and ``rows`` of all.
+
+    ``write`` runs one job over what it is given; a task that is retried counts once.
+    """
+    seen = Observation()
+    write(rows.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in counts.items()]))
+    return dict(seen.get)
+
+
+def audited_write(rows: DataFrame, rules: dict[str, str], write: Callable[[DataFrame], None]) -> dict[str, int]:
+    """Write the rows with the names of the rules that each breaks in ``broken``; how many break each rule is counted meanwhile."""
+    broken = F.array_compact(F.array(*[F.when(~F.expr(sql), F.lit(name)) for name, sql in rules.items()]))
+    return written_with_counts(rows.withColumn("broken", broken), write, {name: F.array_contains("broken", name) for name in rules})

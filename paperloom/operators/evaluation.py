@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import nearest_rank
+
 
 def ratio(condition: Column, places: int = 4) -> Column:
     """The share of rows that meet the condition, half-even rounded; 0 for none."""
@@ -36,8 +38,11 @@ def p95(value: str, places: int = 3) -> Column:
 
 
 def durations(rows: DataFrame, operation: str, seconds: str) -> DataFrame:
-    """(operation, runs, p95, longest, total)."""
-    return rows.groupBy(operation).agg(F.count(F.lit(1)).alias("runs"), p95(seconds).alias("p95"), F.max(seconds).alias("longest"), F.sum(seconds).alias("total"))
+    """(operation, runs, p95, longest, total). The percentile is found by counts over ranges, so no group's values are held together."""
+    totals = rows.groupBy(operation).agg(F.count(F.lit(1)).alias("runs"), F.max(seconds).alias("longest"), F.sum(seconds).alias("total"))
+    ranked = nearest_rank(rows, [operation], seconds, 95, "p95").withColumnRenamed(operation, "__operation")
+    joined = totals.join(ranked, F.col(operation).eqNullSafe(F.col("__operation")))
+    return joined.select(operation, "runs", F.bround("p95", 3).alias("p95"), "longest", "total")
 
 
 def decide(candidates: DataFrame, case: str = "case_id", item: str = "source_id") -> DataFrame:

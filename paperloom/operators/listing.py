@@ -11,8 +11,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import far_page
+
 MOST_PAGE_SIZE = 100
 MOST_QUERY_LENGTH = 200
+#: Rows before a page that are still sorted and skipped.
+FAR = 10_000
 
 #: Sort keys of the listings, each ending in a unique one: (column, descending).
 ORDERS = {
@@ -110,9 +114,17 @@ def sort_columns(keys) -> list[Column]:
 
 
 def page_of(rows: DataFrame, keys, page: int | None = None, page_size: int | None = None) -> Page:
-    """One page by stable keys. The count is taken under the same filters and before paging; a page past the end is empty."""
+    """One page by stable keys. The count is taken under the same filters and before paging; a page past the end is empty.
+
+    Beyond ``FAR`` rows the page is found by counts over ranges of the keys, so that the
+    rows before it are neither kept nor sorted.
+    """
     page, page_size = checked_page(page, page_size)
-    items = rows.orderBy(*sort_columns(keys)).offset((page - 1) * page_size).limit(page_size)
+    offset = (page - 1) * page_size
+    if offset > FAR:
+        items = far_page(rows, keys, offset, page_size)
+    else:
+        items = rows.orderBy(*sort_columns(keys)).offset(offset).limit(page_size)
     return Page(items, page, page_size, rows.agg(F.count(F.lit(1)).alias("total_count")))
 
 

@@ -128,3 +128,44 @@ def test_extraction(spark):
     table = spark.createDataFrame([("a.docx", out.getvalue()), ("b.docx", b"x"), ("c.pdf", b"%PDF-")], "path string, content binary")
     got = {r.path: (r.extraction_status, r.extracted_text) for r in files.extract_texts(table).collect()}
     assert got == {"a.docx": ("Succeeded", "Xin chào\n"), "b.docx": ("Failed", None), "c.pdf": ("Unsupported", None)}
+
+
+def test_workbooks_as_a_source(spark, tmp_path, monkeypatch):
+    """One partition for each file, the same rows as from a table of contents, and each file's own problem."""
+    import json
+
+    from paperloom.sources import workbook as source
+
+    source.register(spark)
+    good = {2: row("An", dt.date(1990, 2, 3)), 3: [None], 4: row("Bình", phone=7, notes=("=", "1+1"))}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.xlsx").write_bytes(workbook(good))
+    (tmp_path / "b.XLSX").write_bytes(workbook({2: row("Cường")}))
+    (tmp_path / "c.xlsx").write_bytes(b"not a workbook")
+    (tmp_path / "d.xlsx").write_bytes(b"x" * 5000)
+    (tmp_path / "e.txt").write_bytes(b"text")
+    reader = spark.read.format("workbook").option("sheet", SHEET).option("headers", json.dumps(HEADERS)).option("mostBytes", 4500)
+    df = reader.load(str(tmp_path))
+    assert df.rdd.getNumPartitions() == 4
+    found = {r.path.rsplit("/", 1)[1]: [] for r in df.collect()}
+    for r in df.collect():
+        found[r.path.rsplit("/", 1)[1]].append((r.row_number, r.cells, r.problem))
+    plain = [(r.row_number, r.cells, r.problem) for r in read(spark, workbook(good)).collect()]
+    assert found["a.xlsx"] == plain and len(found["b.XLSX"]) == 1
+    assert [x[2] for x in found["c.xlsx"]] == ["format"] and [x[2] for x in found["d.xlsx"]] == ["too large"] and "e.txt" not in found
+    rows = parsed_rows(df.filter("problem IS NULL"))
+    assert sorted(r.full_name for r in rows.collect()) == ["An", "Bình", "Cường"]
+    with pytest.raises(Exception, match="headers"):
+        spark.read.format("workbook").option("sheet", SHEET).load(str(tmp_path)).collect()
+    monkeypatch.setattr(source, "MOST_EXPANDED_BYTES", 100)
+    assert source._file_rows("p", workbook(good), SHEET, HEADERS, 10) == [("p", None, None, "format")]
+
+
+def test_a_sheet_is_never_a_whole_tree():
+    from paperloom.sources.workbook import _streamed
+
+    xml = b"<w><s>" + b"".join(b"<row r='%d'><c>x</c></row>" % i for i in range(500)) + b"</s><t/></w>"
+    numbers = []
+    for element in _streamed(io.BytesIO(xml), "row"):
+        numbers.append(int(element.get("r")))
+    assert numbers == list(range(500)) and not len(element)
