@@ -27,10 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import BROADCAST_BYTES, ROW_BYTES, stored
+from .common import ROW_BYTES, stored
 
 #: Bytes of text that are counted at once; a longer text is counted alone.
 SLICE_BYTES = 1 << 20
+#: Slices whose pre-tokens are merged before they leave a task.
+SLICES = 16
+#: Bytes of pre-tokens and pieces that are broadcast, at most.
+KNOWN_BYTES = 64 << 20
 SPACE = r"[\x20\x09-\x0D]+"
 
 # Tasks run side by side already.
@@ -122,7 +126,29 @@ def pretoken_frequencies(keyed: DataFrame, source) -> DataFrame:
     return rows.select("doc_id", "text_key", "n_bytes", F.inline(zipped).alias("pretoken", "n"))
 
 
-def pretoken_pieces(frequencies: DataFrame, source) -> DataFrame:
+def pretoken_documents(keyed: DataFrame, source) -> DataFrame:
+    """(pretoken, docs): the distinct pre-tokens of some texts at a time, and how many of these rows have each."""
+
+    def summed(held: list[pa.Table]) -> list[pa.RecordBatch]:
+        return pa.concat_tables(held).group_by("pretoken").aggregate([("docs", "sum")]).rename_columns(["pretoken", "docs"]).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, held = PreTokens.of(source.value), []
+        for batch in batches:
+            texts = batch.column("text")
+            for row, end in _slices(texts):
+                found = cutter.frequencies(texts.slice(row, end - row))[1].value_counts()
+                held.append(pa.table({"pretoken": found.field("values"), "docs": found.field("counts")}))
+                if len(held) == SLICES:
+                    yield from summed(held)
+                    held = []
+        if held:
+            yield from summed(held)
+
+    return keyed.select("text").mapInArrow(run, "pretoken string, docs long").filter("pretoken <> ''")
+
+
+def pretoken_pieces(documents: DataFrame, source) -> DataFrame:
     """(pretoken, docs, pieces) of the distinct pre-tokens; docs: in how many rows each is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +157,7 @@ def pretoken_pieces(frequencies: DataFrame, source) -> DataFrame:
             pieces = cutter.pieces(batch.column("pretoken").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces, pa.int64())], names=["pretoken", "docs", "pieces"])
 
-    distinct = frequencies.filter("pretoken <> ''").groupBy("pretoken").agg(F.count(F.lit(1)).alias("docs"))
+    distinct = documents.groupBy("pretoken").agg(F.sum("docs").alias("docs"))
     return distinct.mapInArrow(run, "pretoken string, docs long, pieces long")
 
 
@@ -148,7 +174,7 @@ def widespread(pieces: DataFrame, most_bytes: int) -> DataFrame:
     return pieces.filter(F.col("docs") >= F.lit(1 << least))
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = 2048, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, limit: int = 2048, most_bytes: int = KNOWN_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit): per input row, the tokens of its whole text by the tokenizer file at ``path``.
 
     ``path`` is a JSON file of the ``tokenizers`` library, read by the driver and sent to the
@@ -163,7 +189,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, most_bytes: int
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
     rows = pretoken_frequencies(keyed, source)
-    pieces = stored(pretoken_pieces(rows, source), "pieces")
+    pieces = stored(pretoken_pieces(pretoken_documents(keyed, source), source), "pieces")
     known = widespread(pieces, most_bytes).select("pretoken", "pieces")
     met = rows.join(F.broadcast(known), "pretoken", "left")  # at most most_bytes
     key = ["doc_id", "text_key", "n_bytes"]
