@@ -186,6 +186,11 @@ def reminders(history: DataFrame, caller: str, is_administrator: bool, recipient
     return page_of(kept, ORDERS["reminder_history"], page, page_size)
 
 
+def all_pages(pages: list[DataFrame]) -> DataFrame:
+    """The rows of pages that were fetched one by one, by column names; a row on two pages is there twice."""
+    return reduce(DataFrame.unionByName, pages)
+
+
 def by_key(rows: DataFrame, key, column: str = "id") -> DataFrame:
     """The row of a key, or none; it is an error, when the row is read, if there are several."""
     found = rows.filter(F.col(column) == F.lit(key))

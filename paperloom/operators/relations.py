@@ -60,6 +60,12 @@ def active_administrators(staff: DataFrame, user_roles: DataFrame, roles: DataFr
     return joined.agg(F.count_distinct("identity_user_id").alias("administrators"))
 
 
+def people_by_role(staff: DataFrame, user_roles: DataFrame, roles: DataFrame) -> DataFrame:
+    """(name, people): how many active people hold each role, a person counted once however often the role is given."""
+    held = staff.filter("is_active").select("identity_user_id").join(user_roles, F.col("identity_user_id") == F.col("user_id"))
+    return held.join(roles.select(F.col("id").alias("role_id"), "name"), "role_id").groupBy("name").agg(F.count_distinct("identity_user_id").alias("people"))
+
+
 def access_state(staff: DataFrame, users: DataFrame, staff_id: str, user_id: str) -> DataFrame:
     """(must_change_password) of an active person whose two ids belong together, else no row."""
     person = staff.filter((F.col("id") == staff_id) & (F.col("identity_user_id") == user_id) & F.col("is_active")).select("identity_user_id")
@@ -72,9 +78,9 @@ def active_under_active_parent(rows: DataFrame, parents: DataFrame, key: str) ->
     return rows.filter("is_active").join(alive, F.col(key) == F.col("__key"), "left_semi")
 
 
-def latest(rows: DataFrame, key: str, order: str, value: str, name: str) -> DataFrame:
-    """(key, name): the value of the greatest order."""
-    return rows.groupBy(key).agg(F.max_by(value, order).alias(name))
+def latest(rows: DataFrame, key: str, order: str | Column, value: str, name: str, count: str | None = None) -> DataFrame:
+    """(key, name): the value of the greatest order; with ``count``, also how many rows the key has."""
+    return rows.groupBy(key).agg(F.max_by(value, order).alias(name), *([F.count(F.lit(1)).alias(count)] if count else []))
 
 
 def next_number(parents: DataFrame, rows: DataFrame, key: str, number: str, name: str = "next", parent_key: str = "id") -> DataFrame:

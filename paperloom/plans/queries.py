@@ -154,12 +154,12 @@ WHERE s_acctbal > 0 GROUP BY r_name
 """,
 )
 def three_way_distinct_count(spark: SparkSession, d: str) -> DataFrame:
-    joined = (
-        sf_table(spark, d, "supplier").filter("s_acctbal > 0")
-        .join(sf_table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(sf_table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    )
-    return joined.groupBy("r_name").agg(F.count_distinct("s_suppkey").alias("suppliers"))
+    """Suppliers as people, and as their role the region of their nation."""
+    suppliers = sf_table(spark, d, "supplier")
+    staff = suppliers.select(F.col("s_suppkey").alias("identity_user_id"), (F.col("s_acctbal") > 0).alias("is_active"))
+    held = suppliers.join(sf_table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("user_id"), F.col("n_regionkey").alias("role_id"))
+    roles = sf_table(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
+    return relations.people_by_role(staff, held, roles).select(F.col("name").alias("r_name"), F.col("people").alias("suppliers"))
 
 
 @query(
@@ -168,7 +168,7 @@ def three_way_distinct_count(spark: SparkSession, d: str) -> DataFrame:
 )
 def latest_per_key(spark: SparkSession, d: str) -> DataFrame:
     orders = sf_table(spark, d, "orders")
-    return orders.groupBy("o_custkey").agg(F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("last_status"), F.count(F.lit(1)).alias("attempts"))
+    return relations.latest(orders, "o_custkey", F.struct("o_orderdate", "o_orderkey"), "o_orderstatus", "last_status", count="attempts")
 
 
 @query(
@@ -541,7 +541,7 @@ def leak_check(spark: SparkSession, d: str) -> DataFrame:
 )
 def page_rows_union(spark: SparkSession, d: str) -> DataFrame:
     pages = [sf_table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")), sf_table(spark, d, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"))]
-    return pages[0].unionByName(pages[1])
+    return listing.all_pages(pages)
 
 
 @query(
