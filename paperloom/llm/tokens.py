@@ -32,7 +32,7 @@ from .common import ROW_BYTES, stored
 #: Bytes of text that are counted at once; a longer text is counted alone.
 SLICE_BYTES = 1 << 20
 #: Slices whose pre-tokens are merged before they leave a task.
-SLICES = 16
+SLICES = 32
 #: Bytes of pre-tokens and pieces that are broadcast, at most.
 KNOWN_BYTES = 64 << 20
 SPACE = r"[\x20\x09-\x0D]+"
@@ -157,7 +157,8 @@ def pretoken_pieces(documents: DataFrame, source) -> DataFrame:
             pieces = cutter.pieces(batch.column("pretoken").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces, pa.int64())], names=["pretoken", "docs", "pieces"])
 
-    distinct = documents.groupBy("pretoken").agg(F.sum("docs").alias("docs"))
+    # They come merged from the tasks, so they are dealt by pre-token first and summed once, there.
+    distinct = documents.repartition("pretoken").groupBy("pretoken").agg(F.sum("docs").alias("docs"))
     return distinct.mapInArrow(run, "pretoken string, docs long, pieces long")
 
 
