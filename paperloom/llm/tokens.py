@@ -32,7 +32,7 @@ from .common import ROW_BYTES, stored
 #: Bytes of text that are counted at once; a longer text is counted alone.
 SLICE_BYTES = 1 << 20
 #: Slices whose pre-tokens are merged before they leave a task.
-SLICES = 32
+SLICES = 8
 #: Bytes of pre-tokens and pieces that are broadcast, at most.
 KNOWN_BYTES = 64 << 20
 SPACE = r"[\x20\x09-\x0D]+"
@@ -130,7 +130,9 @@ def pretoken_documents(keyed: DataFrame, source) -> DataFrame:
     """(pretoken, docs): the distinct pre-tokens of some texts at a time, and how many of these rows have each."""
 
     def summed(held: list[pa.Table]) -> list[pa.RecordBatch]:
-        return pa.concat_tables(held).group_by("pretoken").aggregate([("docs", "sum")]).rename_columns(["pretoken", "docs"]).combine_chunks().to_batches()
+        # One thread: several keep their tables apart, and what they have used.
+        whole = pa.concat_tables(held).group_by("pretoken", use_threads=False).aggregate([("docs", "sum")])
+        return whole.rename_columns(["pretoken", "docs"]).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, held = PreTokens.of(source.value), []
@@ -142,6 +144,7 @@ def pretoken_documents(keyed: DataFrame, source) -> DataFrame:
                 if len(held) == SLICES:
                     yield from summed(held)
                     held = []
+                    pa.default_memory_pool().release_unused()
         if held:
             yield from summed(held)
 
