@@ -121,7 +121,7 @@ _CHANGES_FROM, _CHANGES_DAYS = "1998-03-02", 60
 def _changes(spark: SparkSession, d: str) -> DataFrame:
     """Customers as documents: opened, given a person, for some with a corrected deadline, and completed; the last row only says how late it is."""
     key = F.col("c_custkey")
-    start = F.timestamp_add("DAY", (key % _CHANGES_DAYS).cast("int"), F.lit(dt.datetime.fromisoformat(_CHANGES_FROM)).cast("timestamp"))
+    start = F.timestamp_add("DAY", (key % _CHANGES_DAYS).cast("int"), F.lit(f"{_CHANGES_FROM} 00:00:00").cast("timestamp"))
     due = F.date_add(F.to_date(start), (4 + key % 9).cast("int"))
     row = lambda after, deadline, status, staff: F.struct(F.timestamp_add("HOUR", after, start).alias("at"), deadline.alias("deadline"), F.lit(status).alias("status"), staff.alias("assigned_to_staff_id"))
     person, nobody = F.col("c_nationkey").cast("string"), F.lit(None).cast("string")
@@ -132,7 +132,7 @@ def _changes(spark: SparkSession, d: str) -> DataFrame:
         row((24 * (6 + key % 16) + 2).cast("int"), due, "Completed", F.when(key % 5 != 0, person)),
     )
     rows = sf_table(spark, d, "customer").select(key.cast("string").alias("id"), F.inline(steps)).select("id", "deadline", "status", "assigned_to_staff_id", "at")
-    end = spark.range(1).select(nobody.alias("id"), F.lit(None).cast("date").alias("deadline"), nobody.alias("status"), nobody.alias("assigned_to_staff_id"), F.lit(dt.datetime(1998, 7, 1)).cast("timestamp").alias("at"))
+    end = spark.range(1).select(nobody.alias("id"), F.lit(None).cast("date").alias("deadline"), nobody.alias("status"), nobody.alias("assigned_to_staff_id"), F.lit("1998-07-01 00:00:00").cast("timestamp").alias("at"))
     return rows.unionByName(end)
 
 

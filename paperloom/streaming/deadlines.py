@@ -89,8 +89,7 @@ class DeadlineEvents(StatefulProcessor):
             return
         facts, run, changes = self._state()
         for r in rows:
-            at = r["at"] if r["at"].tzinfo else r["at"].replace(tzinfo=dt.timezone.utc).astimezone(dt.timezone.utc)
-            changes.append((int(at.timestamp() * 1000), r["deadline"], r["status"], r["assigned_to_staff_id"]))
+            changes.append((r["ms"], r["deadline"], r["status"], r["assigned_to_staff_id"]))
         self.waiting.put([tuple(c) for c in changes])
         self._wait(facts, run, changes)
         yield from ()
@@ -132,7 +131,8 @@ def deadline_events(changes: DataFrame, delay: str = "1 day", days_before: int =
     an assigned one calls for one; a key of document, event and date comes once. Changes
     may come late by up to ``delay``. Timers need the RocksDB state store.
     """
-    keyed = changes.withWatermark("at", delay).groupBy("id")
+    # The instant as a number: a timestamp in Python is a session's local time.
+    keyed = changes.withWatermark("at", delay).withColumn("ms", F.unix_millis("at")).groupBy("id")
     return keyed.transformWithState(DeadlineEvents(days_before, zone), EVENTS, "Append", "EventTime")
 
 
