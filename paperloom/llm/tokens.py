@@ -32,7 +32,7 @@ from .common import ROW_BYTES, stored
 #: Bytes of text that are counted at once; a longer text is counted alone.
 SLICE_BYTES = 1 << 20
 #: Slices whose pre-tokens are merged before they leave a task.
-SLICES = 8
+SLICES = 4
 #: Bytes of pre-tokens and pieces that are broadcast, at most.
 KNOWN_BYTES = 64 << 20
 SPACE = r"[\x20\x09-\x0D]+"
@@ -120,6 +120,7 @@ def pretoken_frequencies(keyed: DataFrame, source) -> DataFrame:
                 offsets, tokens, counts = cutter.frequencies(texts.slice(row, end - row))
                 held = [pa.ListArray.from_arrays(pa.array(offsets), x) for x in (tokens, pa.array(counts))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, end - row) for c in ("doc_id", "text_key", "n_bytes")), *held], names=["doc_id", "text_key", "n_bytes", "pretokens", "counts"])
+            pa.default_memory_pool().release_unused()
 
     rows = keyed.select("doc_id", "text_key", "n_bytes", "text").mapInArrow(run, "doc_id long, text_key long, n_bytes long, pretokens array<string>, counts array<long>")
     zipped = F.arrays_zip(F.col("pretokens").alias("pretoken"), F.col("counts").alias("n"))
