@@ -1,7 +1,8 @@
 """Reminders by events: state and timers for each document, over a stream of its changes.
 
 A business date is run when it begins. A batch run looks at every document on every date;
-here each document waits for its own next date: three days before its deadline, at the
+here each bucket of documents waits for the next date of any of them. A document has one
+three days before its deadline, at the
 deadline, each day after it, or the date after a change that has come in but isn't due
 yet. Time is the changes' own, so a stream that is replayed, or that comes in late within
 the watermark, ends in the same events as a run of each date over what was known before it.
@@ -13,7 +14,9 @@ import datetime as dt
 from collections.abc import Iterator
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,22 +26,28 @@ from .reminders import ZONE
 #: A change of a document; a null id only says how late it is.
 CHANGES = "id string, deadline date, status string, assigned_to_staff_id string, at timestamp"
 EVENTS = "incoming_document_id string, event string, recipient_staff_id string, reminder_kind string, reminder_date date"
-_FACTS = "deadline date, status string, assigned_to_staff_id string"
+#: Documents share state and timers by so many buckets.
+BUCKETS = 1024
+_EVENT = ["incoming_document_id", "event", "recipient_staff_id", "reminder_kind", "reminder_date"]
+_STATE = pa.schema([("id", pa.string()), ("run", pa.date32()), ("ms", pa.int64()), ("deadline", pa.date32()), ("status", pa.string()), ("assigned_to_staff_id", pa.string())])
 #: The provider that keeps timers.
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _DAY = dt.timedelta(days=1)
 
 
 class DeadlineEvents(StatefulProcessor):
-    """Of one document: its facts as of the last date that was run, that date, and the changes since, by time."""
+    """Of a bucket of documents, for each: its facts as of the last date that was run, that date, and the changes since, by time.
+
+    A call for state or timers is a message to Spark and back. A bucket makes as many of
+    them for all of its documents as one document would.
+    """
 
     def __init__(self, days_before: int = DAYS_BEFORE, zone: str = ZONE):
         self.days_before, self.zone = days_before, zone
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.facts = handle.getValueState("facts", _FACTS + ", run date")
-        self.waiting = handle.getListState("waiting", "ms long, " + _FACTS)
+        self.held = handle.getValueState("held", "documents binary")
 
     def _begins(self, day: dt.date) -> int:
         return int(dt.datetime.combine(day, dt.time(), ZoneInfo(self.zone)).timestamp() * 1000)
@@ -60,80 +69,101 @@ class DeadlineEvents(StatefulProcessor):
             calls.append(late)
         return min((d for d in calls if after is None or d > after), default=None)
 
-    def _called(self, key: str, facts: tuple, day: dt.date) -> tuple[list[Row], tuple]:
+    def _called(self, key: str, facts: tuple, day: dt.date) -> tuple[list[tuple], tuple]:
         deadline, status, staff = facts
         out = []
         if deadline < day and status != "Overdue":
-            out.append(Row(incoming_document_id=key, event="overdue", recipient_staff_id=None, reminder_kind=None, reminder_date=day))
+            out.append((key, "overdue", None, None, day))
             facts = (deadline, "Overdue", staff)
         kind = "Overdue" if deadline < day else "DueDate" if deadline == day else "BeforeDeadline" if deadline == day + dt.timedelta(days=self.days_before) else None
         if staff is not None and kind:
-            out.append(Row(incoming_document_id=key, event="reminder", recipient_staff_id=staff, reminder_kind=kind, reminder_date=day))
+            out.append((key, "reminder", staff, kind, day))
         return out, facts
 
-    def _wait(self, facts: tuple | None, run: dt.date | None, changes: list[tuple]) -> None:
-        """One timer, at the next date that something is to be done."""
-        dates = [d for d in (self._next_date(facts, run), min((self._first_run(c[0]) for c in changes), default=None)) if d is not None]
+    def _next(self, facts: tuple | None, run: dt.date | None, changes: list[tuple]) -> dt.date | None:
+        """The next date that something is to be done for a document."""
+        dates = (self._next_date(facts, run), min((self._first_run(c[0]) for c in changes), default=None))
+        return min((d for d in dates if d is not None), default=None)
+
+    def _read(self) -> dict[str, list]:
+        """[facts, date of the last run, changes] by document."""
+        documents: dict[str, list] = {}
+        if (held := self.held.get()) is not None:
+            table = pa.ipc.open_stream(held[0]).read_all()
+            for key, run, ms, *facts in zip(*(column.to_pylist() for column in table.columns), strict=True):
+                document = documents.setdefault(key, [None, None, []])
+                if ms is None:
+                    document[:2] = tuple(facts), run
+                else:
+                    document[2].append((ms, *facts))
+        return documents
+
+    def _keep(self, documents: dict[str, list]) -> None:
+        """The bucket's state, a row of each document's facts and of each change that waits, and one timer, at the next date of any of them."""
+        rows = []
+        for key, (facts, run, changes) in documents.items():
+            if facts is not None:
+                rows.append((key, run, None, *facts))
+            rows += [(key, None, *c) for c in changes]
+        table = pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _STATE, strict=True)], schema=_STATE) if rows else _STATE.empty_table()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _STATE) as writer:
+            writer.write_table(table)
+        self.held.update((sink.getvalue().to_pybytes(),))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
-        if dates:
-            self.handle.registerTimer(self._begins(min(dates)))
-
-    def _state(self) -> tuple[tuple | None, dt.date | None, list[tuple]]:
-        held = tuple(self.facts.get()) if self.facts.exists() else None
-        changes = [tuple(c) for c in self.waiting.get()] if self.waiting.exists() else []
-        return held and held[:3], held and held[3], changes
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        if key[0] is None:
-            return
-        facts, run, changes = self._state()
-        for r in rows:
-            changes.append((r["ms"], r["deadline"], r["status"], r["assigned_to_staff_id"]))
-        self.waiting.put([tuple(c) for c in changes])
-        self._wait(facts, run, changes)
+        if (day := min((d for x in documents.values() if (d := self._next(*x)) is not None), default=None)) is not None:
+            self.handle.registerTimer(self._begins(day))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        documents = self._read()
+        for batch in rows:
+            for name, *change in zip(*(batch[c].tolist() for c in ("id", "ms", "deadline", "status", "assigned_to_staff_id")), strict=True):
+                if name is not None:
+                    documents.setdefault(name, [None, None, []])[2].append(tuple(change))
+        if documents:
+            self._keep(documents)
         yield from ()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        facts, run, changes = self._state()
-        now = self._day(timerValues.getCurrentWatermarkInMs())
+    def _run(self, key: str, facts: tuple | None, run: dt.date | None, changes: list[tuple], now: dt.date) -> tuple[list[tuple], list]:
+        """A document's events up to a date, and what it holds then."""
         changes.sort(key=lambda c: (c[0], str(c[1:])))
-        out: list[Row] = []
-        while True:
-            change = self._first_run(changes[0][0]) if changes else None
-            due = self._next_date(facts, run)
-            day = min((d for d in (change, due) if d is not None), default=None)
-            if day is None or day > now:
-                break
+        out: list[tuple] = []
+        while (day := self._next(facts, run, changes[:1])) is not None and day <= now:
             while changes and self._first_run(changes[0][0]) <= day:
                 facts = changes.pop(0)[1:]
             if facts[1] != "Completed" and facts[0] is not None:
-                found, facts = self._called(key[0], facts, day)
+                found, facts = self._called(key, facts, day)
                 out += found
             run = day
-        if facts is not None:
-            self.facts.update((*facts, run))
-        if changes:
-            self.waiting.put(changes)
-        else:
-            self.waiting.clear()
-        self._wait(facts, run, changes)
-        yield from out
+        return out, [facts, run, changes]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        documents = self._read()
+        now = self._day(timerValues.getCurrentWatermarkInMs())
+        out: list[tuple] = []
+        for name, document in documents.items():
+            found, documents[name] = self._run(name, *document, now)
+            out += found
+        self._keep(documents)
+        if out:
+            yield pd.DataFrame(out, columns=_EVENT, dtype=object)
 
     def close(self) -> None:
         pass
 
 
-def deadline_events(changes: DataFrame, delay: str = "1 day", days_before: int = DAYS_BEFORE, zone: str = ZONE) -> DataFrame:
+def deadline_events(changes: DataFrame, delay: str = "1 day", days_before: int = DAYS_BEFORE, zone: str = ZONE, buckets: int = BUCKETS) -> DataFrame:
     """A stream of events (incoming_document_id, event, recipient_staff_id, reminder_kind, reminder_date) of a stream of changes.
 
     ``event`` is overdue where an open document's state becomes Overdue, and reminder where
     an assigned one calls for one; a key of document, event and date comes once. Changes
-    may come late by up to ``delay``. Timers need the RocksDB state store.
+    may come late by up to ``delay``. Timers need the RocksDB state store. Documents share
+    state and timers by ``buckets`` of their ids' hashes; a checkpoint keeps its number.
     """
     # The instant as a number: a timestamp in Python is a session's local time.
-    keyed = changes.withWatermark("at", delay).withColumn("ms", F.unix_millis("at")).groupBy("id")
-    return keyed.transformWithState(DeadlineEvents(days_before, zone), EVENTS, "Append", "EventTime")
+    keyed = changes.withWatermark("at", delay).withColumn("ms", F.unix_millis("at")).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets))).groupBy("bucket")
+    return keyed.transformWithStateInPandas(DeadlineEvents(days_before, zone), EVENTS, "Append", "EventTime")
 
 
 def replayed(changes: DataFrame, until: Column, days_before: int = DAYS_BEFORE, zone: str = ZONE) -> DataFrame:
@@ -160,14 +190,14 @@ def replayed(changes: DataFrame, until: Column, days_before: int = DAYS_BEFORE,
     return marked.unionByName(sent)
 
 
-def replay_files(spark: SparkSession, path: str, out: str, checkpoint: str, delay: str = "1 day", files: int | None = None, days_before: int = DAYS_BEFORE, zone: str = ZONE) -> DataFrame:
+def replay_files(spark: SparkSession, path: str, out: str, checkpoint: str, delay: str = "1 day", files: int | None = None, days_before: int = DAYS_BEFORE, zone: str = ZONE, buckets: int = BUCKETS) -> DataFrame:
     """Run the stream over the files of changes that are there, and stop; the events so far. The next call goes on from the checkpoint."""
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     try:
         reader = spark.readStream.schema(CHANGES)
         stream = (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(path)
-        deadline_events(stream, delay, days_before, zone).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+        deadline_events(stream, delay, days_before, zone, buckets).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return spark.read.schema(EVENTS).parquet(out)

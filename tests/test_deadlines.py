@@ -3,12 +3,13 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from paperloom.operators.reminders import run_day
 from paperloom.sources.tables import empty_table
-from paperloom.streaming.deadlines import CHANGES, replay_files, replayed
+from paperloom.streaming.deadlines import CHANGES, DeadlineEvents, replay_files, replayed
 
 START = dt.date(2026, 3, 1)
 UTC = dt.timezone.utc
@@ -76,3 +77,50 @@ def test_replay_is_the_daily_run(spark):
                 state[r.id] = (*state[r.id][:2], "Overdue", *state[r.id][3:])
         history.append(date)
     assert events(replayed(table, F.lit(history[-1]))) == sorted(want)
+
+
+class Counted:
+    """Stands for state and timers of one key, and counts what is asked of them."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = 0, None, []
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name == "update":
+                self.value = args[0]
+            elif name == "registerTimer":
+                self.timers = [args[0]]
+            elif name == "getCurrentWatermarkInMs":
+                return int(day(30).timestamp() * 1000)
+            return {"getValueState": self, "get": self.value, "listTimers": self.timers}.get(name)
+
+        return call
+
+
+def test_calls_for_state_do_not_grow_with_documents():
+    """Each is a message to Spark and back: a bucket of many documents asks as often as one document."""
+    asked = []
+    for documents in (1, 400):
+        held, processor = Counted(), DeadlineEvents()
+        processor.init(held)
+        rows = pd.DataFrame([(f"d{i}", int(day(n).timestamp() * 1000), START + dt.timedelta(days=6), "New", "s1") for i in range(documents) for n in (0, 2)], columns=["id", "ms", "deadline", "status", "assigned_to_staff_id"])
+        assert not list(processor.handleInputRows((7,), iter([rows]), held))
+        out = pd.concat(list(processor.handleExpiredTimer((7,), held, None)))
+        assert set(out["incoming_document_id"]) == {f"d{i}" for i in range(documents)}
+        assert len(out) == 27 * documents
+        asked.append(held.calls)
+    assert asked[0] == asked[1]
+
+
+def test_one_bucket_for_all_documents(spark, tmp_path):
+    """Documents that share a bucket keep their own facts; other starts go on from its state."""
+    rows = random_changes(5, 30)
+    path, out, cp = (str(tmp_path / x) for x in ("changes", "out", "cp"))
+    rows.sort(key=lambda r: r[4])
+    written(spark, path, rows[:40])
+    replay_files(spark, path, out, cp, buckets=1)
+    written(spark, path, [*rows[40:], (None, None, None, None, day(40))])
+    found = replay_files(spark, path, out, cp, buckets=1)
+    assert events(found) == events(replayed(spark.createDataFrame(rows, CHANGES), F.lit(dt.date(2026, 4, 9))))
