@@ -47,14 +47,36 @@ def clauses(words: tuple[str, ...] = (), phrases: tuple[tuple[str, ...], ...] =
     return list(dict.fromkeys(found))
 
 
+def _posted(texts: DataFrame) -> DataFrame:
+    """(term, match_source, id, positions) of each row of (match_source, id, words): a row's words in order, cut where the term changes. Nothing is shuffled."""
+    held = texts.select(*DOC, F.sort_array(F.transform("words", lambda w, i: F.struct(w.alias("term"), i.alias("position")))).alias("held")).filter(F.size("held") > 0)
+    term = lambda i: F.get(F.col("held"), i)["term"]
+    firsts = F.filter(F.sequence(F.lit(0), F.size("held") - 1), lambda i: (i == 0) | (term(i) != term(i - 1)))
+    cut = held.select(*DOC, "held", firsts.alias("firsts"))
+    size = lambda i, j: F.coalesce(F.get(F.col("firsts"), j + 1), F.size("held")) - i
+    places = lambda i, j: F.transform(F.slice(F.col("held"), i + 1, size(i, j)), lambda x: x["position"])
+    rows = cut.select(*DOC, F.inline(F.transform("firsts", lambda i, j: F.struct(term(i).alias("term"), places(i, j).alias("positions")))))
+    return rows.select("term", *DOC, "positions")
+
+
 def built(sources: list[tuple[str, DataFrame, str, str]]) -> TextIndex:
-    """The index of texts; ``sources`` are (name, rows, id column, text column). Null texts have no postings."""
+    """The index of texts; ``sources`` are (name, rows, id column, text column). Null texts have no postings.
+
+    A row's postings are made inside it. Whether ids repeat is looked up first; only the
+    postings of those that do are grouped.
+    """
     found = None
     for name, rows, key, text in sources:
         words = F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
-        part = rows.select(F.lit(name).alias("match_source"), F.col(key).cast("string").alias("id"), F.posexplode(words).alias("position", "term"))
+        part = rows.filter(F.col(text).isNotNull()).select(F.lit(name).alias("match_source"), F.col(key).cast("string").alias("id"), words.alias("words"))
         found = part if found is None else found.unionByName(part)
-    postings = found.groupBy("term", *DOC).agg(F.sort_array(F.collect_list("position")).alias("positions"))
+    repeated = found.groupBy(*DOC).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(F.col("match_source").alias("source"), F.col("id").alias("name"))
+    if repeated.isEmpty():
+        postings = _posted(found)
+    else:
+        same = F.col("match_source").eqNullSafe(F.col("source")) & F.col("id").eqNullSafe(F.col("name"))
+        merged = _posted(found.join(repeated, same, "left_semi")).groupBy("term", *DOC).agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+        postings = _posted(found.join(repeated, same, "left_anti")).unionByName(merged)
     return TextIndex(postings, _terms(postings))
 
 

@@ -188,3 +188,16 @@ def test_sections_move_no_text(spark):
         assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+
+
+def test_postings_are_made_inside_rows(spark):
+    """Without repeated ids nothing is shuffled; rows that share an id are one text's."""
+    rows = [(1, "b a b"), (2, ""), (3, None), (4, "đá a"), (None, "c")]
+    shape = "id long, text string"
+    index = fulltext.built([("docs", spark.createDataFrame(rows, shape), "id", "text")])
+    assert "Exchange" not in index.postings._jdf.queryExecution().executedPlan().toString()
+    want = {("a", "1", (1,)), ("b", "1", (0, 2)), ("đá", "4", (0,)), ("a", "4", (1,)), ("c", None, (0,))}
+    shown = lambda x: {(r.term, r.id, tuple(r.positions)) for r in x.postings.collect()}
+    assert shown(index) == want
+    again = fulltext.built([("docs", spark.createDataFrame([*rows, (4, "b a"), (None, "c d c")], shape), "id", "text")])
+    assert shown(again) == want - {("a", "4", (1,)), ("c", None, (0,))} | {("a", "4", (1, 1)), ("b", "4", (0,)), ("c", None, (0, 0, 2)), ("d", None, (1,))}
