@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lexical_terms
+from ..sources.scratch import scratch_folder
 
 LEAST_QUERY = 2
 #: Rare terms in which two texts meet before they are compared.
@@ -56,6 +57,13 @@ def lexical_candidates(queries: DataFrame, sources: DataFrame, signals: DataFram
     return found.select(query_id, source_id, "overlap", F.row_number().over(order).alias("rank"))
 
 
+def _kept(terms: DataFrame) -> DataFrame:
+    """``terms`` as a table that was written, so that texts are cut into words once for all that reads it."""
+    path = scratch_folder(terms.sparkSession, "terms")
+    terms.write.parquet(path)
+    return terms.sparkSession.read.schema(terms.schema).parquet(path)
+
+
 def overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_text: str = "text", right_text: str = "text", least: int = 1, depth: int = DEPTH) -> DataFrame:
     """(left_id, right_id, shared): the number of common terms of each pair that has at least ``least``.
 
@@ -65,11 +73,15 @@ def overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left
     side doesn't have are out from the start, and so are texts that then have too few. Pairs
     that meet in fewer than d = ``depth`` of these terms are dropped, the others compared
     in whole. So what is joined grows with the pairs that have rare terms in common, and a
-    frequent term meets only where a text has hardly any other. Texts without an
+    frequent term meets only where a text has hardly any other. The terms of both sides are
+    written once under the scratch folder, as several steps read them. Texts without an
     id or with null text are in no pair; ids name one text each.
     """
-    a = left.select(left_id, lexical_terms(F.col(left_text)).alias("terms")).filter(F.size("terms") >= least)
-    b = right.select(right_id, lexical_terms(F.col(right_text)).alias("terms")).filter(F.size("terms") >= least)
+    a = left.select(left_id, lexical_terms(F.col(left_text)).alias("terms"))
+    b = right.select(right_id, lexical_terms(F.col(right_text)).alias("terms"))
+    if least > 1:
+        a, b = _kept(a), _kept(b)
+    a, b = a.filter(F.size("terms") >= least), b.filter(F.size("terms") >= least)
     posted = a.select(left_id, F.explode("terms").alias("term"))
     asked = b.select(right_id, F.explode("terms").alias("term"))
     if least <= 1:
@@ -81,7 +93,9 @@ def overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left
     rare = ranked.filter(F.col("place") <= F.col("n") - least + depth).filter(F.col("n") >= least).select(right_id, "term")
     met = posted.join(rare, "term").groupBy(left_id, right_id).agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") >= depth).select(left_id, right_id)
     sides = a.withColumnRenamed("terms", "__a").join(met, left_id).join(b.withColumnRenamed("terms", "__b"), right_id)
-    return sides.select(left_id, right_id, F.size(F.array_intersect("__a", "__b")).cast("long").alias("shared")).filter(F.col("shared") >= least)
+    # As a generated column: the filter on it would be moved below, where it compares each pair a second time.
+    shared = F.explode(F.array(F.size(F.array_intersect("__a", "__b")).cast("long"))).alias("shared")
+    return sides.select(left_id, right_id, shared).filter(F.col("shared") >= least)
 
 
 def search_texts(sources: list[tuple[str, DataFrame, str, str]], q: str, top: int = 20) -> DataFrame:

@@ -201,3 +201,15 @@ def test_postings_are_made_inside_rows(spark):
     assert shown(index) == want
     again = fulltext.built([("docs", spark.createDataFrame([*rows, (4, "b a"), (None, "c d c")], shape), "id", "text")])
     assert shown(again) == want - {("a", "4", (1,)), ("c", None, (0,))} | {("a", "4", (1, 1)), ("b", "4", (0,)), ("c", None, (0, 0, 2)), ("d", None, (1,))}
+
+
+def test_overlap_cuts_texts_into_words_once(spark):
+    """Its steps read the terms that were written: no step sees a text again."""
+    rows = spark.createDataFrame([(i, " ".join(f"w{(i + j) % 50}" for j in range(12))) for i in range(30)], "doc_id long, text string")
+    found = search.overlap(rows, rows.withColumnRenamed("doc_id", "item_id"), "doc_id", "item_id", least=6)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
+    assert plan.count("array_intersect") == 1
+    words = {r.doc_id: set(r.text.split()) for r in rows.collect()}
+    want = {(a, b, len(words[a] & words[b])) for a in words for b in words if len(words[a] & words[b]) >= 6}
+    assert {tuple(r) for r in found.collect()} == want
