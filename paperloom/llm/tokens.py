@@ -37,9 +37,6 @@ SLICES = 4
 KNOWN_BYTES = 64 << 20
 SPACE = r"[\x20\x09-\x0D]+"
 
-# Tasks run side by side already.
-os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-
 _loaded: dict[str, PreTokens] = {}
 
 
@@ -56,6 +53,9 @@ class PreTokens:
 
     @classmethod
     def of(cls, source: str) -> PreTokens:
+        # Tasks run side by side already, and each thread of the library keeps memory of its own. Set in the
+        # task: set at import, it was missing in workers whose JVM had started without it.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         if source not in _loaded:
             _loaded.clear()
             _loaded[source] = cls(source)

@@ -1,8 +1,10 @@
 """Token counts against the library's own encoding of whole texts."""
 
+import os
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -73,3 +75,19 @@ def test_what_is_broadcast_fits(spark):
     held = [r.docs for r in widespread(pieces, 5000).collect()]
     assert held == [] and [r.docs for r in widespread(pieces, 25_000).collect()] == list(range(512, 1000))
     assert widespread(pieces, 1 << 20).count() == 999
+
+
+def test_workers_count_on_one_thread(spark):
+    """The library's own threads would each keep tens of MB in every worker; a worker's environment doesn't say so by itself."""
+    source = spark.sparkContext.broadcast(open(WORDS, encoding="utf-8").read())
+
+    def run(batches):
+        for batch in batches:
+            os.environ.pop("TOKENIZERS_PARALLELISM", None)
+            cutter, before = PreTokens.of(source.value), set(os.listdir("/proc/self/task"))
+            for _ in range(3):
+                cutter.pieces([f"word{i}" for i in range(1000)])
+            added = set(os.listdir("/proc/self/task")) - before
+            yield pa.RecordBatch.from_arrays([pa.array([len(added)], pa.int64())], names=["added"])
+
+    assert [r.added for r in spark.range(1).coalesce(1).mapInArrow(run, "added long").collect()] == [0]
