@@ -102,3 +102,12 @@ def test_documents_of_one_key_are_told_apart(documents, key_bits):
     rows = [(i, "".join(rng.choices(pool, k=rng.randint(0, 4))) + str(i)) for i in range(40)] + [(3, pool[0]), (3, pool[0]), (None, pool[1] + pool[0])]
     whole = sorted(map(str, remove_repeats(documents(rows), 30, 9).collect()))
     assert sorted(map(str, remove_repeats(documents(rows), 30, 9, key_bits=key_bits).collect())) == whole
+
+
+def test_joins_of_hot_strings_can_be_split(documents):
+    """Both sides of the last joins are stored tables: a join on what an aggregate has dealt can't be split."""
+    text = "".join(random.Random(8).choices("abcdefgh", k=300))
+    rows = [(i, f"{i:04d}" * (i % 3) + text + f"{i:04d}") for i in range(40)]
+    starts = substrings.repeated_starts(substrings._keyed(documents(rows)), 40, 12)
+    assert "Aggregate" not in starts._jdf.queryExecution().optimizedPlan().toString()
+    assert starts.select("key").distinct().count() == 40
