@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, broadcast_if_small, stored
+from .common import WORD, broadcast_if_small, local_table, stored
 from .hashing import text_blocks, words_in
 
 PASSAGE_WORDS = 64
@@ -206,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
         if size <= left[r.y]:
             left[r.y] -= size
             taken.append((r.doc_id,))
-    fits = docs.sparkSession.createDataFrame(taken, "doc_id long")
+    fits = local_table(docs.sparkSession, taken, "doc_id long")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, stored
+from .common import broadcast_if_small, local_table, stored
 
 
 @dataclass(frozen=True)
@@ -134,8 +134,8 @@ def candidates(keyed: DataFrame, rules=RULES) -> DataFrame:
         for i, clause in enumerate(trigram_query(rule.pattern) or ()):
             plan += [(rule.kind, i, t, 1 << n, (1 << len(clause)) - 1) for n, t in enumerate(sorted(clause))]
     if not plan:
-        return spark.createDataFrame([], "key long, rules array<string>")
-    asked = spark.createDataFrame(plan, "rule string, clause int, trigram string, bit long, full long")
+        return local_table(spark, [], "key long, rules array<string>")
+    asked = local_table(spark, plan, "rule string, clause int, trigram string, bit long, full long")
     posted = trigram_postings(keyed, sorted({t for _, _, t, _, _ in plan}))
     met = (
         posted.join(F.broadcast(asked), "trigram")  # bounded: a row per trigram of the rules

@@ -3,13 +3,15 @@
 import os
 import re
 
+import pyarrow as pa
 import pytest
+from pyspark import SparkContext
 from test_jaccard import brute as components_of
 from test_mixing import WORD, targets
 
 import corpus_pipeline
 from paperloom.llm.classifier import score_quality
-from paperloom.llm.common import table
+from paperloom.llm.common import BATCH_BYTES, local_table, stored, table
 from paperloom.llm.decontaminate import MASKS
 from paperloom.llm.secrets import RULES
 
@@ -70,3 +72,26 @@ def test_each_stage_and_the_whole(spark):
     taken = {s: sum(r.taken for r in whole if r.source == s) for s in sizes}
     assert all(r.target == pytest.approx(want[r.source]) for r in whole)
     assert all(abs(taken[s] - want[s]) <= max(r.size for r in whole if r.source == s) for s in sizes)
+
+
+def test_no_list_of_the_driver_passes_through_python_workers(spark, monkeypatch):
+    def refused(self, *rows, **how):
+        raise AssertionError("a list of rows starts Python workers on the executors")
+
+    want = sorted(corpus_pipeline.run(spark, SF).collect())
+    monkeypatch.setattr(SparkContext, "parallelize", refused)
+    assert sorted(corpus_pipeline.run(spark, SF).collect()) == want
+    assert local_table(spark, [], "key long, rules array<string>").collect() == []
+    assert local_table(spark, [(1, ["a"]), (2, None)], "key int, rules array<string>").dtypes == [("key", "int"), ("rules", "array<string>")]
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"size": [batch.nbytes]})
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    texts = spark.range(0, 900, 1, 1).selectExpr("repeat('0123456789', 1000) AS text")
+    found = [r.size for r in stored(texts.mapInArrow(sizes, "size long"), "sizes").collect()]
+    assert sum(found) > 9_000_000 and max(found) < BATCH_BYTES + 20_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
